@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name -> module of this subpackage with query(spark, sf_dir) and, where SQL can say it, ORACLE_SQL.
 MODULES = {
     "op2_quality_rules": "quality_rules",
+    "op4_quality_classifier": "quality_classifier",
+    "op6_license_scan": "license_scan",
     "op7_byte_bpe": "byte_bpe",
     "op9_url_filter": "url_filter",
 }
