@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader, sparse scoring.
 
 Tokens are runs of letters and digits (lower-cased; a run in capitals also counts as the token <caps>) and
-runs of one punctuation character. Unigrams and bigrams are hashed to `2 ** LOG_BUCKETS` buckets; a feature's
+runs of one punctuation character; a bigram of equal tokens also counts as <again>. Unigrams and bigrams are hashed to `2 ** LOG_BUCKETS` buckets; a feature's
 value is its count over the text's number of features. Weights are learnt by FTRL-proximal on a bounded sample
 of labelled rows (`sample_docs`, those with the smallest xxhash64 of doc_id) whose crc32(doc_id as text) mod 3
 is not 1; the other rows are held out. Labels, lang, source and doc_id are no inputs of a score. The weight
@@ -28,7 +28,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _tokens = re.compile(r"[^\W_]+|([^\w\s]|_)\1*").finditer
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Scale of the feature values, so that a text's dot product can move far enough from the intercept.
-SCALE = 20.0
+SCALE = 60.0
 
 
 def features(strings: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +58,14 @@ def features(strings: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.
     pair = text[1:] == text[:-1]
     bi = ((h[:-1] * np.uint64(0x100000001B3) + h[1:]) * _MIX >> down)[pair]
     cap = np.full(int(caps.sum()), 7, np.uint64) * _MIX >> down
-    owner = np.concatenate([text, text[:-1][pair], text[caps]])
+    twice = pair & (h[1:] == h[:-1])
+    again = np.full(int(twice.sum()), 11, np.uint64) * _MIX >> down
+    owner = np.concatenate([text, text[:-1][pair], text[caps], text[1:][twice]])
     order = np.argsort(owner, kind="stable")
-    return np.concatenate([uni, bi, cap])[order].astype(np.int32), np.bincount(owner, minlength=len(size))
+    return np.concatenate([uni, bi, cap, again])[order].astype(np.int32), np.bincount(owner, minlength=len(size))
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 2, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 2, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1) -> np.ndarray:
     """FTRL-proximal over rows of (buckets with repeats, label), in the given order; the last weight is the intercept."""
     n = (1 << LOG_BUCKETS) + 1
     z, g2, w = np.zeros(n), np.zeros(n), np.zeros(n)
