@@ -10,6 +10,7 @@ MODULES = {
     "op4_quality_classifier": "quality_classifier",
     "op6_license_scan": "license_scan",
     "op7_byte_bpe": "byte_bpe",
+    "op8_decontaminate": "decontaminate",
     "op9_url_filter": "url_filter",
 }
 
