@@ -37,11 +37,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pelagia-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, **options) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
