@@ -9,6 +9,7 @@ MODULES = {
     "op2_quality_rules": "quality_rules",
     "op3_warc": "warc",
     "op4_quality_classifier": "quality_classifier",
+    "op5_simhash": "simhash",
     "op6_license_scan": "license_scan",
     "op7_byte_bpe": "byte_bpe",
     "op8_decontaminate": "decontaminate",
