@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage with query(spark, sf_dir) and, where SQL can say it, ORACLE_SQL.
 MODULES = {
+    "op1_suffix_dedup": "suffix_dedup",
     "op2_quality_rules": "quality_rules",
     "op3_warc": "warc",
     "op4_quality_classifier": "quality_classifier",
