@@ -15,6 +15,7 @@ MODULES = {
     "op7_byte_bpe": "byte_bpe",
     "op8_decontaminate": "decontaminate",
     "op9_url_filter": "url_filter",
+    "op10_substring_dedup": "substring_dedup",
 }
 
 

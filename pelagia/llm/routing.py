@@ -211,7 +211,7 @@ def wanted(rows: DataFrame, p: Plan) -> DataFrame:
     return met.groupBy("row").agg(F.collect_list("anchor").alias("anchors"))
 
 
-_SENT = "k long, d long, row long, start int, n int, text binary"
+_SENT = "k long, d long, row long, start int, n int, text binary, more array<int>"
 _GONE = "row long, d long, start int, n int"
 
 
@@ -221,16 +221,19 @@ def repeats(rows: DataFrame, p: Plan) -> DataFrame:
     joined = dealt.join(wanted(rows, p), "row")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, tuple] = {}
+        # the earliest row of each text: [d, start, row, n, anchor, other starts in that row]
+        first: dict[object, list] = {}
         gone: list[tuple] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            keep = [(h, d, r, s, n, t) for t, (d, s, r, n, h) in first.items()]
-            lost = [(int(mix(np.array([r], np.int64).view(np.uint64)).view(np.int64)[0]), d, r, s, n, None) for d, s, r, n in gone]
+            keep = [(h, d, r, s, n, t if isinstance(t, bytes) else t[0], m) for t, (d, s, r, n, h, m) in first.items()]
+            lost = [(r, d, r, s, n, None, None) for d, s, r, n in gone]
             cols = list(zip(*keep, *lost))
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["k", "d", "row", "start", "n", "text"])
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(cols, kinds)], ["k", "d", "row", "start", "n", "text", "more"]
+            )
 
         for batch in batches:
             for part in cut(batch, p.batch):
@@ -238,7 +241,7 @@ def repeats(rows: DataFrame, p: Plan) -> DataFrame:
                 doc, begin, size, h = stretches(u, p.length, p.gram)
                 if not len(h):
                     continue
-                d, row = part.column("d").to_numpy(), part.column("row").to_numpy()
+                d, row = part.column("d").to_numpy().tolist(), part.column("row").to_numpy().tolist()
                 lists = part.column("anchors")
                 want = lists.flatten().to_numpy().view(np.uint64)
                 owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
@@ -246,19 +249,24 @@ def repeats(rows: DataFrame, p: Plan) -> DataFrame:
                 a = mix(h ^ mix(doc.astype(np.uint64)))
                 pick = np.flatnonzero(np.isin(a, mix(want ^ mix(owner.astype(np.uint64)))))
                 hs = h.view(np.int64)[pick].tolist()
+                unit = u.first.tolist()
                 for i, b, n, x in zip(doc[pick].tolist(), begin[pick].tolist(), size[pick].tolist(), hs):
-                    text = u.slice(b, b + n - 1 + p.length)
-                    here = (int(d[i]), b - int(u.first[i]), int(row[i]), n)
+                    text: object = u.slice(b, b + n - 1 + p.length)
+                    di, ri, s = d[i], row[i], b - unit[i]
                     seen = first.get(text)
+                    if seen is not None and seen[0] == di and seen[2] != ri:
+                        text = (text, ri)  # another row with the same doc_id
+                        seen = first.get(text)
                     if seen is None:
-                        first[text] = (*here, x)
-                        held += len(text)
-                    elif p.within or here[0] != seen[0]:
-                        if here[:2] < seen[:2]:
-                            first[text] = (*here, x)
-                            here = seen[:4]
-                        if here[:2] != first[text][:2]:
-                            gone.append(here)
+                        first[text] = [di, s, ri, n, x, None]
+                        held += n + p.length if u.start is None else 8 * (n + p.length)
+                    elif seen[0] == di and not p.within:
+                        seen[5] = [*(seen[5] or ()), s]
+                    elif (di, s) < (seen[0], seen[1]):
+                        gone += [(seen[0], y, seen[2], n) for y in (seen[1], *(seen[5] or ()))]
+                        first[text] = [di, s, ri, n, x, None]
+                    else:
+                        gone.append((di, s, ri, n))
                 if held + 60 * len(gone) > p.held:
                     yield flush()
                     first, gone, held = {}, [], 0
@@ -268,17 +276,19 @@ def repeats(rows: DataFrame, p: Plan) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["k"], 60_000):
             k, d, row, start, n = (t[c].to_numpy() for c in ("k", "d", "row", "start", "n"))
-            text = t["text"].to_pylist()
+            text, more = t["text"].to_pylist(), t["more"].to_pylist()
             known = np.fromiter((x is None for x in text), bool, len(text))
             at = np.flatnonzero(~known)
             i, first, count = p.resolve(k[at], d[at], start[at].astype(np.int64), [text[j] for j in at.tolist()])
             i = at[i]
+            extra = [(j, f, c, s) for j, f, c in zip(i.tolist(), first.tolist(), count.tolist()) for s in more[j] or ()]
+            ei, ef, ec, es = (np.array(x, np.int64) for x in (zip(*extra) if extra else ((), (), (), ())))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([row[known], row[i]])),
-                    pa.array(np.concatenate([d[known], d[i]])),
-                    pa.array(np.concatenate([start[known], start[i] + first]), pa.int32()),
-                    pa.array(np.concatenate([n[known], count]), pa.int32()),
+                    pa.array(np.concatenate([row[known], row[i], row[ei]])),
+                    pa.array(np.concatenate([d[known], d[i], d[ei]])),
+                    pa.array(np.concatenate([start[known], start[i] + first, es + ef]), pa.int32()),
+                    pa.array(np.concatenate([n[known], count, ec]), pa.int32()),
                 ],
                 ["row", "d", "start", "n"],
             )
