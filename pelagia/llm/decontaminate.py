@@ -312,6 +312,20 @@ def without_spans(text: str, spans: bytes) -> str:
     return b"".join(out).decode(errors="ignore")
 
 
+def without_hits(found: DataFrame) -> DataFrame:
+    """Rows of hits() with the hit spans cut out of their texts; n_words, spans and items go."""
+    plain = [c for c in found.columns if c not in ("n_words", "spans", "items")]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = batch.column("spans").to_pylist()
+        text = [without_spans(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
+        cols = [pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in plain]
+        return pa.RecordBatch.from_arrays(cols, plain)
+
+    kept = found.select(*[f"`{c}`" for c in plain])
+    return arrow_map(found.select(*[f"`{c}`" for c in plain], "spans"), run, kept.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
     found = hits(docs.select(F.col("doc_id").cast("long"), "text"), benchmark)
 

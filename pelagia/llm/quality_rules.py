@@ -180,39 +180,53 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> tuple[
     return fit(lines, [int(r["quality"] == 0) for r in got])
 
 
+def _judge(batch: pa.RecordBatch, w: np.ndarray, stay: float, least_share: float) -> list[list]:
+    cols: list[list] = [[] for _ in range(8)]
+    for raw, text in zip(texts(batch), batch.column("text").to_pylist()):
+        words = raw.split()
+        n = len(words)
+        rep = repeat_words(words)
+        rows, chars, dup = line_features(raw)
+        failed = n < 50 or 100 * rep > 50 * n
+        share = 0.0
+        if rows:
+            marks = viterbi((np.asarray(rows, np.float32).astype(float) @ w).tolist(), stay)
+            share = sum(c for c, bad in zip(chars, marks) if not bad) / sum(chars)
+        gone = sum(map((text or "").count, " \t\n\v\f\r"))
+        values = (
+            n,
+            len(text or "") - gone,
+            len(raw) - len(raw.translate(None, _SYMBOLS)),
+            dup,
+            rep,
+            failed,
+            share,
+            not failed and share >= least_share,
+        )
+        for col, value in zip(cols, values):
+            col.append(value)
+    return cols
+
+
 def quality_rules(docs: DataFrame, weights: np.ndarray, stay: float, least_share: float = 0.5) -> DataFrame:
-    w = weights
-
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(8)]
-        for raw, text in zip(texts(batch), batch.column("text").to_pylist()):
-            words = raw.split()
-            n = len(words)
-            rep = repeat_words(words)
-            rows, chars, dup = line_features(raw)
-            failed = n < 50 or 100 * rep > 50 * n
-            share = 0.0
-            if rows:
-                marks = viterbi((np.asarray(rows, np.float32).astype(float) @ w).tolist(), stay)
-                share = sum(c for c, bad in zip(chars, marks) if not bad) / sum(chars)
-            gone = sum(map((text or "").count, " \t\n\v\f\r"))
-            values = (
-                n,
-                len(text or "") - gone,
-                len(raw) - len(raw.translate(None, _SYMBOLS)),
-                dup,
-                rep,
-                failed,
-                share,
-                not failed and share >= least_share,
-            )
-            for col, value in zip(cols, values):
-                col.append(value)
+    """Counts and verdict for each document."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols = _judge(batch, weights, stay, least_share)
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([long_ids(batch), *map(pa.array, cols, kinds)], names)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), judge, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
+
+
+def keep(docs: DataFrame, weights: np.ndarray, stay: float, least_share: float = 0.5) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(_judge(batch, weights, stay, least_share)[-1], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
 
 
 def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -147,11 +147,12 @@ class Plan:
     held: int = 48_000_000  # bytes of stretches that a task holds before it sends them
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """d (doc_id, null last), row (hash of doc_id and text), text; dealt out by row."""
+def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """d (doc_id, null last), row (hash of doc_id and text), text; with rest, a struct of all columns but the text."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(d.alias("d"), text.alias("text")).withColumn("row", F.xxhash64("d", "text"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if rest else []
+    return docs.select(d.alias("d"), text.alias("text"), F.xxhash64(d, text).alias("row"), *more)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -293,14 +294,15 @@ def repeats(rows: DataFrame, p: Plan) -> DataFrame:
                 ["row", "d", "start", "n"],
             )
 
-    sent = joined.select("d", "row", "text", "anchors").mapInArrow(send, _SENT)
+    # all columns of `rows` go in, so that this exchange of the texts is the one that with_repeats() joins again
+    sent = joined.mapInArrow(send, _SENT)
     met = sent.repartition("k").sortWithinPartitions("k").mapInArrow(meet, _GONE)
     return met.groupBy("row").agg(F.collect_list(F.struct("d", "start", "n")).alias("gone"))
 
 
-def with_repeats(docs: DataFrame, p: Plan) -> DataFrame:
-    """d, text, row, gone (null: nothing) for every row of docs."""
-    rows = keyed(docs)
+def with_repeats(docs: DataFrame, p: Plan, rest: bool = False) -> DataFrame:
+    """d, text, row, gone (null: nothing) for every row of docs; with rest, a struct of the other columns."""
+    rows = keyed(docs, rest)
     return rows.repartition("row").join(repeats(rows, p), "row", "left")
 
 

@@ -282,5 +282,18 @@ def simhash(docs: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFr
     )
 
 
+#: Up to so many ids of later copies (8 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component; rows without doc_id stay."""
+    copies = simhash(docs, radius).filter("doc_id != component_id").select("doc_id").distinct()
+    copies = materialise(copies)
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents"))

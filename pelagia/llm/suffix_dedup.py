@@ -19,6 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pelagia.llm.common import arrow_map, table
 from pelagia.llm.routing import LAST, Plan, byte_units, covered, identical, with_repeats
@@ -170,10 +171,10 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text: what is left, on whole characters (one that a removed byte belongs to goes as a whole)."""
+    """docs with the text that is left, on whole characters (one that a removed byte belongs to goes as a whole)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, out = [], []
+        out = []
         for d, t, gone in zip(
             batch.column("d").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist()
         ):
@@ -182,11 +183,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 mask = removed(t, d, gone, length)
                 char = np.cumsum((raw & 0xC0) != 0x80)
                 t = raw[~np.isin(char, char[mask])].tobytes()
-            ids.append(None if d == LAST else d)
             out.append(t.decode(errors="replace"))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["doc_id", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("rest")], ["text", "rest"])
 
-    return arrow_map(suffix_dedup(docs, length).select("d", "text", "gone"), run, "doc_id long, text string")
+    found = with_repeats(docs, plan(length), rest=True).select("d", "text", "gone", "rest")
+    kind = found.schema["rest"].dataType.simpleString()
+    left = arrow_map(found, run, f"text string, rest {kind}")
+    return left.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
