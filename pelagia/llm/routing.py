@@ -3,16 +3,17 @@
 A window is `length` consecutive units (bytes or words) of one document. Each picks an anchor: the leftmost
 of its `gram`-unit grams with the least hash. Equal windows pick the same anchor at the same place, and
 consecutive windows mostly share theirs; a run of windows with one anchor is a stretch, about twice a window
-long. The corpus is narrowed in two rounds, both aggregated in the task before any shuffle:
+long. Two exchanges, both aggregated in the task first, settle what repeats:
 
-1. anchors: every task sends each distinct anchor hash once (with one row that has it), so a passage in a third
-   of all rows costs a row for each task. Anchors seen twice are worth a look.
-2. stretches: rows with such anchors send the text of the stretch; identical stretches of a task are sent once,
-   by the earliest row, and the others are resolved on the spot.
+1. stretches, as hashes: a task sends each distinct (anchor, text hash) once, by its earliest row, so a
+   passage in a third of all rows costs a row for each task; the others are settled on the spot. Where they meet,
+   all but the earliest of an identical stretch are settled.
+2. texts: only where one anchor has different stretches do their texts meet, one for each distinct stretch, and
+   the caller's `resolve` decides which of their windows are repeats. An anchor with a crowd of different stretches
+   is dealt out window by window, by the window's own hash, so no anchor fills a task.
 
-All stretches of an anchor then meet in one place (one row for each task and distinct text), where the caller's
-`resolve` decides which windows are repeats. Rows are told apart by doc_id and a hash of their text, so repeated
-rows share one answer; a null doc_id counts as larger than all others.
+Identity of stretches is decided on 128 bits (anchor and text hash). Rows are told apart by doc_id and a hash of their
+text, so repeated rows share one answer; a null doc_id counts as larger than all others.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,23 +60,13 @@ class Units:
     first: np.ndarray  # of each document, its first unit; one more at the end
     start: np.ndarray | None  # byte offsets; None: units are bytes
     end: np.ndarray | None
+    sums: np.ndarray  # of the bytes times powers of a base, before each byte
 
-    def slice(self, a: int, b: int) -> bytes:
-        """Bytes of units a..b-1."""
-        return self.text[a:b] if self.start is None else self.text[self.start[a] : self.end[b - 1]]
-
-
-def byte_units(docs: list[bytes]) -> Units:
-    """Grams of 16 bytes."""
-    text = b"".join(docs)
-    first = np.r_[0, np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)))]
-    n = len(text)
-    pad = text + bytes(32)
-    eight = np.empty(n + 8, np.uint64)
-    for o in range(8):
-        m = len(range(o, n + 8, 8))
-        eight[o::8] = np.frombuffer(pad, "<u8", m, o)
-    return Units(text, mix(eight[:n] * _B ^ mix(eight[8 : n + 8])), first, None, None)
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of units a..b-1."""
+        x, y = (a, b) if self.start is None else (self.start[a], self.end[b - 1])
+        _, down = _power_tables(len(self.text) + 1)
+        return mix((self.sums[y] - self.sums[x]) * down[x] + (y - x).astype(np.uint64))
 
 
 _powers: list[np.ndarray] = []
@@ -90,6 +82,27 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _sums(raw: np.ndarray) -> np.ndarray:
+    up, _ = _power_tables(len(raw) + 1)
+    return np.r_[np.uint64(0), np.cumsum(raw * up[: len(raw)], dtype=np.uint64)]
+
+
+def byte_units(docs: list[bytes], gram: int) -> Units:
+    """Grams of `gram` bytes, 8 to 64."""
+    text = b"".join(docs)
+    first = np.r_[0, np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)))]
+    n = len(text)
+    pad = text + bytes(72)
+    eight = np.empty(n + 64, np.uint64)
+    for o in range(8):
+        m = len(range(o, n + 64, 8))
+        eight[o::8] = np.frombuffer(pad, "<u8", m, o)
+    h = eight[:n] * _B
+    for at in (*range(8, gram - 8, 8), gram - 8):
+        h = (h ^ (h >> np.uint64(31)) ^ eight[at : at + n]) * _A
+    return Units(text, mix(h), first, None, None, _sums(np.frombuffer(text, np.uint8)))
+
+
 def word_units(docs: list[bytes], gram: int = 4) -> Units:
     """Words between white space; grams of `gram` words. The text holds the words joined by one space."""
     split = [d.split() for d in docs]
@@ -98,8 +111,7 @@ def word_units(docs: list[bytes], gram: int = 4) -> Units:
     raw = np.frombuffer(text, np.uint8)
     space = np.flatnonzero(raw == 32)
     start, end = (np.r_[0, space + 1], np.r_[space, len(raw)]) if len(raw) else (space, space)
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(raw.astype(np.uint64) * up[: len(raw)], dtype=np.uint64)]
+    sums, down = _sums(raw), _power_tables(len(raw) + 1)[1]
     word = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     n = len(word)
     h = word.copy()
@@ -107,7 +119,7 @@ def word_units(docs: list[bytes], gram: int = 4) -> Units:
         h = h * _A
         h[: max(n - k, 0)] += word[k:]
         h = mix(h)
-    return Units(text, h, first, start, end)
+    return Units(text, h, first, start, end, sums)
 
 
 def stretches(u: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,12 +151,15 @@ class Plan:
     units: Callable[[list[bytes]], Units]
     length: int
     gram: int
-    #: (key, doc, start, text) arrays of whole anchor groups to (row numbers, first window, windows) that are repeats
-    resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    #: whether an identical window earlier in the same document counts
+    #: bytes of windows start..start+n-1 of a text, for a list of (start, n)
+    cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]]
+    #: (doc, start, text) of different stretches of one anchor or more to (numbers, first window, windows) that are repeats
+    resolve: Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: whether an equal window earlier in the same document counts
     within: bool
     batch: int = 4_000_000
-    held: int = 48_000_000  # bytes of stretches that a task holds before it sends them
+    held: int = 1_000_000  # stretches that a task holds before it sends them
+    crowd: int = 2_000  # an anchor with more different stretches is dealt out by window
 
 
 def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
@@ -159,81 +174,59 @@ def _column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def wanted(rows: DataFrame, p: Plan) -> DataFrame:
-    """row, anchors (binary: hashes that some other window has too)."""
+def _same(*cols: np.ndarray) -> np.ndarray:
+    """Whether each element but the first equals its predecessor in all columns."""
+    out = np.ones(max(len(cols[0]) - 1, 0), bool)
+    for c in cols:
+        out &= c[1:] == c[:-1]
+    return out
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs: list[np.ndarray] = []
-        rs: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            h, r = np.concatenate(hs), np.concatenate(rs)
-            _, where, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            again = count[inverse] > 1
-            mine = np.sort(where)
-            known = np.flatnonzero(again)
-            k = np.concatenate([h[mine], mix(r[known].view(np.uint64))]).view(np.int64)
-            row = np.concatenate([r[mine], r[known]])
-            anchor = np.concatenate([h[mine], h[known]]).view(np.int64)
-            sure = np.concatenate([again[mine] * 2, np.ones(len(known), int)]).astype(np.int8)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(k), pa.array(row), pa.array(anchor, mask=sure != 1), pa.array(sure)], ["k", "row", "anchor", "sure"]
-            )
+def _later(k: np.ndarray, s: np.ndarray, d: np.ndarray, start: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches, an order by (anchor, hash, document, start), and which of the ordered ones repeat an identical one."""
+    order = np.lexsort((start, d, s, k))
+    same = np.r_[False, _same(k[order], s[order])]
+    if within:
+        # the earliest of a group stays; so do repeated rows, which stand at the very same place
+        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        return order, same & ((d[order] != d[order][lead]) | (start[order] != start[order][lead]))
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    return order, d[order] != d[order][lead]
 
-        held = 0
-        for batch in batches:
-            for part in cut(batch, p.batch):
-                doc, _, _, h = stretches(p.units(_column(part, "text")), p.length, p.gram)
-                if len(h):
-                    hs.append(h)
-                    rs.append(part.column("row").to_numpy()[doc])
-                    held += len(h)
-                if held > 3_000_000:
-                    yield flush()
-                    hs, rs, held = [], [], 0
-        if hs:
-            yield flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["k"], 300_000):
-            k, row, sure = (t[c].to_numpy() for c in ("k", "row", "sure"))
-            anchor = t["anchor"].combine_chunks().fill_null(0).to_numpy()
-            plain = sure != 1
-            edge = np.r_[True, k[1:] != k[:-1]]
-            group = np.cumsum(edge) - 1
-            size = np.bincount(group, weights=plain)[group]
-            out = ~plain | ((sure == 0) & (size > 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[out]), pa.array(np.where(plain, k, anchor)[out])], ["row", "anchor"]
-            )
+_SENT = "k long, s long, d long, row long, p long"
+_ENTRY = "row long, k long, p long"
+_TEXT = "k long, d long, row long, start int, n int, text binary, gone binary"
+_GONE = "row long, gone binary"
 
-    sent = rows.select("row", "text").mapInArrow(send, "k long, row long, anchor long, sure byte")
-    met = sent.repartition("k").sortWithinPartitions("k").mapInArrow(meet, "row long, anchor long")
-    return met.groupBy("row").agg(F.collect_list("anchor").alias("anchors"))
 
+def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << 24) | n
 
-_SENT = "k long, d long, row long, start int, n int, text binary, more array<int>"
-_GONE = "row long, d long, start int, n int"
 
-
-def repeats(rows: DataFrame, p: Plan) -> DataFrame:
-    """row, gone: array of (d, start, n): windows start..start+n-1 of that row are repeats. rows: from keyed()."""
-    dealt = rows.repartition("row")
-    joined = dealt.join(wanted(rows, p), "row")
+def entries(rows: DataFrame, p: Plan) -> DataFrame:
+    """row, k, p (start << 24 | windows): stretches that repeat an identical one wholly (k null), and those that share
+    anchor k with a different one."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the earliest row of each text: [d, start, row, n, anchor, other starts in that row]
-        first: dict[object, list] = {}
-        gone: list[tuple] = []
-        held = 0
+        held: list[list[np.ndarray]] = []
+        count = 0
 
         def flush() -> pa.RecordBatch:
-            keep = [(h, d, r, s, n, t if isinstance(t, bytes) else t[0], m) for t, (d, s, r, n, h, m) in first.items()]
-            lost = [(r, d, r, s, n, None, None) for d, s, r, n in gone]
-            cols = list(zip(*keep, *lost))
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.list_(pa.int32())]
+            k, s, d, row, pos = (np.concatenate(c) for c in zip(*held))
+            order, lost = _later(k, s, d, pos, p.within)
+            keep, gone = np.sort(order[~lost]), np.sort(order[lost])
+            nothing = np.zeros(len(gone), np.int64)
+            # what is settled here needs no partner: it travels by its row
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds)], ["k", "d", "row", "start", "n", "text", "more"]
+                [
+                    pa.array(np.concatenate([k[keep], row[gone]])),
+                    pa.array(np.concatenate([s[keep], nothing]), mask=np.r_[np.zeros(len(keep), bool), np.ones(len(gone), bool)]),
+                    pa.array(np.concatenate([d[keep], d[gone]])),
+                    pa.array(np.concatenate([row[keep], row[gone]])),
+                    pa.array(np.concatenate([pos[keep], pos[gone]])),
+                ],
+                ["k", "s", "d", "row", "p"],
             )
 
         for batch in batches:
@@ -242,62 +235,158 @@ def repeats(rows: DataFrame, p: Plan) -> DataFrame:
                 doc, begin, size, h = stretches(u, p.length, p.gram)
                 if not len(h):
                     continue
-                d, row = part.column("d").to_numpy().tolist(), part.column("row").to_numpy().tolist()
-                lists = part.column("anchors")
-                want = lists.flatten().to_numpy().view(np.uint64)
-                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                # an anchor wanted of one row only counts for that row
-                a = mix(h ^ mix(doc.astype(np.uint64)))
-                pick = np.flatnonzero(np.isin(a, mix(want ^ mix(owner.astype(np.uint64)))))
-                hs = h.view(np.int64)[pick].tolist()
-                unit = u.first.tolist()
-                for i, b, n, x in zip(doc[pick].tolist(), begin[pick].tolist(), size[pick].tolist(), hs):
-                    text: object = u.slice(b, b + n - 1 + p.length)
-                    di, ri, s = d[i], row[i], b - unit[i]
-                    seen = first.get(text)
-                    if seen is not None and seen[0] == di and seen[2] != ri:
-                        text = (text, ri)  # another row with the same doc_id
-                        seen = first.get(text)
-                    if seen is None:
-                        first[text] = [di, s, ri, n, x, None]
-                        held += n + p.length if u.start is None else 8 * (n + p.length)
-                    elif seen[0] == di and not p.within:
-                        seen[5] = [*(seen[5] or ()), s]
-                    elif (di, s) < (seen[0], seen[1]):
-                        gone += [(seen[0], y, seen[2], n) for y in (seen[1], *(seen[5] or ()))]
-                        first[text] = [di, s, ri, n, x, None]
-                    else:
-                        gone.append((di, s, ri, n))
-                if held + 60 * len(gone) > p.held:
+                s = u.hashes(begin, begin + size - 1 + p.length).view(np.int64)
+                d, row = part.column("d").to_numpy()[doc], part.column("row").to_numpy()[doc]
+                held.append([h.view(np.int64), s, d, row, _pack(begin - u.first[doc], size)])
+                count += len(h)
+                if count > p.held:
                     yield flush()
-                    first, gone, held = {}, [], 0
-        if first or gone:
+                    held, count = [], 0
+        if held:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["k"], 60_000):
-            k, d, row, start, n = (t[c].to_numpy() for c in ("k", "d", "row", "start", "n"))
-            text, more = t["text"].to_pylist(), t["more"].to_pylist()
-            known = np.fromiter((x is None for x in text), bool, len(text))
-            at = np.flatnonzero(~known)
-            i, first, count = p.resolve(k[at], d[at], start[at].astype(np.int64), [text[j] for j in at.tolist()])
-            i = at[i]
-            extra = [(j, f, c, s) for j, f, c in zip(i.tolist(), first.tolist(), count.tolist()) for s in more[j] or ()]
-            ei, ef, ec, es = (np.array(x, np.int64) for x in (zip(*extra) if extra else ((), (), (), ())))
+        for t in whole_groups(batches, ["k"], 200_000):
+            k, d, row, pos = (t[c].to_numpy() for c in ("k", "d", "row", "p"))
+            col = t["s"].combine_chunks()
+            settled = col.is_null().to_numpy(zero_copy_only=False)
+            s = col.fill_null(0).to_numpy()
+            at = np.flatnonzero(~settled)
+            order, lost = _later(k[at], s[at], d[at], pos[at], p.within)
+            order = at[order]
+            ok, os_ = k[order], s[order]
+            kept = order[~lost]
+            kk, ks = ok[~lost], os_[~lost]
+            group = np.cumsum(np.r_[True, ~_same(kk)]) - 1 if len(kk) else kk
+            texts = np.bincount(group, weights=np.r_[True, ~_same(kk, ks)]) if len(kk) else kk
+            mixed = kept[texts[group] > 1] if len(kk) else kept
+            crowded = texts[group][texts[group] > 1] > p.crowd if len(kk) else np.zeros(0, bool)
+            gone = np.concatenate([np.flatnonzero(settled), order[lost]])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([row[known], row[i], row[ei]])),
-                    pa.array(np.concatenate([d[known], d[i], d[ei]])),
-                    pa.array(np.concatenate([start[known], start[i] + first, es + ef]), pa.int32()),
-                    pa.array(np.concatenate([n[known], count, ec]), pa.int32()),
+                    pa.array(np.concatenate([row[gone], row[mixed]])),
+                    pa.array(np.concatenate([k[gone], k[mixed]]), mask=np.r_[np.ones(len(gone), bool), np.zeros(len(mixed), bool)]),
+                    pa.array(np.concatenate([pos[gone], pos[mixed] | (crowded.astype(np.int64) << 60)])),
                 ],
-                ["row", "d", "start", "n"],
+                ["row", "k", "p"],
             )
 
+    sent = rows.mapInArrow(send, _SENT)
+    return sent.repartition("k").sortWithinPartitions("k").mapInArrow(meet, _ENTRY)
+
+
+def repeats(rows: DataFrame, p: Plan) -> DataFrame:
+    """row, gone: array of binaries, each pairs of int64 (first window, windows) that are repeats. rows: from keyed()."""
+    lists = entries(rows, p).groupBy("row").agg(F.collect_list(F.struct("k", "p")).alias("entries"))
+    joined = rows.repartition("row").join(lists, "row")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: dict[bytes, tuple[int, int, int]] = {}  # of crowds: the earliest place of each
+
+        def crowd() -> pa.RecordBatch:
+            rows = [(xxhash.xxh64_intdigest(t) - (1 << 63), d, r, x, 1, t, None) for t, (d, x, r) in windows.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), kinds)], names)
+
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()] * 2
+        names = ["k", "d", "row", "start", "n", "text", "gone"]
+        for batch in batches:
+            for part in cut(batch, p.batch):
+                cols: list[list] = [[] for _ in range(7)]
+                flat = part.column("entries").flatten()
+                k = flat.field("k")
+                free = k.is_null().to_numpy(zero_copy_only=False)
+                key = k.fill_null(0).to_numpy()
+                pos = flat.field("p").to_numpy()
+                ends = np.cumsum(part.column("entries").value_lengths().to_numpy())
+                d, row = part.column("d").to_pylist(), part.column("row").to_pylist()
+                text = part.column("text").cast(pa.binary())
+                for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                    f, q = free[a:b], pos[a:b]
+                    if f.any():
+                        spans = merge(np.stack([q[f] >> 24, q[f] & 0xFFFFFF], 1))
+                        for col, v in zip(cols, (row[i], d[i], row[i], 0, 0, None, spans.tobytes())):
+                            col.append(v)
+                    many = q >> 60 == 1
+                    if many.any():
+                        q = q & ~(1 << 60)
+                        at = [(x + j, 1) for x, n in zip((q[many] >> 24).tolist(), (q[many] & 0xFFFFFF).tolist()) for j in range(n)]
+                        lost = []
+                        for (x, _), w in zip(at, p.cut(text[i].as_py(), at)):
+                            here = (d[i], x, row[i])
+                            seen = windows.get(w)
+                            if seen is None or seen[2] != row[i] and seen[0] == d[i]:
+                                if seen is None:
+                                    windows[w] = here
+                                else:  # another row with this doc_id
+                                    for col, v in zip(cols, (xxhash.xxh64_intdigest(w) - (1 << 63), d[i], row[i], x, 1, w, None)):
+                                        col.append(v)
+                            elif seen[0] == d[i]:
+                                if p.within:
+                                    if x != seen[1]:
+                                        lost.append((max(x, seen[1]), 1))
+                                        windows[w] = min(here, seen)
+                                else:
+                                    for col, v in zip(cols, (xxhash.xxh64_intdigest(w) - (1 << 63), d[i], row[i], x, 1, w, None)):
+                                        col.append(v)
+                            elif here < seen:
+                                windows[w] = here
+                                for col, v in zip(cols, (seen[2], seen[0], seen[2], 0, 0, None, np.array([seen[1], 1], np.int64).tobytes())):
+                                    col.append(v)
+                            else:
+                                lost.append((x, 1))
+                        if lost:
+                            for col, v in zip(cols, (row[i], d[i], row[i], 0, 0, None, merge(np.array(lost, np.int64)).tobytes())):
+                                col.append(v)
+                    want = ~f & ~many
+                    if want.any():
+                        at = list(zip((q[want] >> 24).tolist(), (q[want] & 0xFFFFFF).tolist()))
+                        found = p.cut(text[i].as_py(), at)
+                        m = len(found)
+                        for col, v in zip(cols, (key[a:b][want].tolist(), [d[i]] * m, [row[i]] * m, [x for x, _ in at], [x for _, x in at], found, [None] * m)):
+                            col += v
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], names)
+                if len(windows) > 200_000:
+                    yield crowd()
+                    windows.clear()
+        if windows:
+            yield crowd()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["k"], 10_000):
+            col = t["text"].combine_chunks()
+            settled = col.is_null().to_numpy(zero_copy_only=False)
+            done = t.filter(pa.array(settled))
+            work = t.filter(pa.array(~settled))
+            if work.num_rows:  # repeated rows send the same stretch twice
+                k, r, x = (work[c].to_numpy() for c in ("k", "row", "start"))
+                order = np.lexsort((x, r, k))
+                work = work.take(pa.array(np.sort(order[np.r_[True, ~_same(k[order], r[order], x[order])]])))
+            row, start = work["row"].to_numpy(), work["start"].to_numpy().astype(np.int64)
+            out_row, out = done["row"].to_pylist(), done["gone"].to_pylist()
+            if len(row):
+                i, first, count = p.resolve(work["d"].to_numpy(), start, work["text"].to_pylist())
+                order = np.argsort(row[i], kind="stable")
+                i, first, count = i[order], first[order], count[order]
+                pairs = np.stack([start[i] + first, count], 1)
+                edge = np.flatnonzero(np.r_[True, row[i][1:] != row[i][:-1]]) if len(i) else i
+                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(i)]):
+                    out_row.append(int(row[i[a]]))
+                    out.append(pairs[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out_row, pa.int64()), pa.array(out, pa.binary())], ["row", "gone"])
+
     # all columns of `rows` go in, so that this exchange of the texts is the one that with_repeats() joins again
-    sent = joined.mapInArrow(send, _SENT)
+    sent = joined.mapInArrow(send, _TEXT)
     met = sent.repartition("k").sortWithinPartitions("k").mapInArrow(meet, _GONE)
-    return met.groupBy("row").agg(F.collect_list(F.struct("d", "start", "n")).alias("gone"))
+    return met.groupBy("row").agg(F.collect_list("gone").alias("gone"))
+
+
+def merge(spans: np.ndarray) -> np.ndarray:
+    """(start, n) pairs with neighbours and overlaps joined."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    end = np.maximum.accumulate(spans[:, 0] + spans[:, 1])
+    new = np.flatnonzero(np.r_[True, spans[1:, 0] > end[:-1]])
+    last = np.r_[new[1:] - 1, len(spans) - 1]
+    return np.stack([spans[new, 0], end[last] - spans[new, 0]], 1)
 
 
 def with_repeats(docs: DataFrame, p: Plan, rest: bool = False) -> DataFrame:
@@ -306,28 +395,12 @@ def with_repeats(docs: DataFrame, p: Plan, rest: bool = False) -> DataFrame:
     return rows.repartition("row").join(repeats(rows, p), "row", "left")
 
 
-def covered(n: int, d: int, gone: list[dict] | None, length: int) -> np.ndarray:
+def covered(n: int, gone: list[bytes] | None, length: int) -> np.ndarray:
     """Which of n units lie in a repeated window."""
     if not gone:
         return np.zeros(n, bool)
     edges = np.zeros(n + 1, np.int64)
-    for g in gone:
-        if g["d"] == d:
-            edges[g["start"]] += 1
-            edges[g["start"] + g["n"] - 1 + length] -= 1
+    spans = np.frombuffer(b"".join(gone), np.int64).reshape(-1, 2)
+    np.add.at(edges, spans[:, 0], 1)
+    np.add.at(edges, spans[:, 0] + spans[:, 1] - 1 + length, -1)
     return np.cumsum(edges)[:-1] > 0
-
-
-def identical(k: np.ndarray, d: np.ndarray, start: np.ndarray, text: list[bytes], within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of stretches sorted by key: which repeat an identical one wholly, the first of each text, and which of these
-    share their key with a different text."""
-    order = np.lexsort((start, d))
-    first: dict[bytes, int] = {}
-    lost = []
-    for i in order.tolist():
-        j = first.setdefault(text[i], i)
-        if j != i and (d[j] != d[i] or within and start[j] != start[i]):
-            lost.append(i)
-    kept = np.array(sorted(first.values()), np.int64)
-    _, inverse, count = np.unique(k[kept], return_inverse=True, return_counts=True)
-    return np.array(lost, np.int64), kept, count[inverse] > 1

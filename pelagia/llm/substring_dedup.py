@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pelagia.llm.common import arrow_map, table
-from pelagia.llm.routing import LAST, Plan, covered, identical, with_repeats, word_units
+from pelagia.llm.routing import LAST, Plan, covered, with_repeats, word_units
 
 LENGTH = 13
-GRAM = 4
+#: Words of an anchor.
+GRAM = 5
 
 
 def window_ranks(ids: np.ndarray, length: int) -> np.ndarray:
@@ -72,18 +73,10 @@ def compact(stretch: list[bytes], doc: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _resolver(length: int):
-    def resolve(k, d, start, text):
-        lost, kept, mixed = identical(k, d, start, text, False)
-        rows, first = [lost], [np.zeros(len(lost), np.int64)]
-        count = [np.array([text[i].count(b" ") + 2 - length for i in lost], np.int64)]
-        part = kept[mixed]
-        if len(part):
-            owner, offset, edges, least = compact([text[i] for i in part], d[part], length)
-            hit = np.flatnonzero(least < d[part[owner]])
-            rows.append(part[owner[hit]])
-            first.append(offset[hit])
-            count.append(edges[hit])
-        return np.concatenate(rows), np.concatenate(first), np.concatenate(count)
+    def resolve(d, start, text):
+        owner, offset, edges, least = compact(text, d, length)
+        hit = np.flatnonzero(least < d[owner])
+        return owner[hit], offset[hit], edges[hit]
 
     return resolve
 
@@ -91,7 +84,12 @@ def _resolver(length: int):
 def plan(length: int = LENGTH) -> Plan:
     if length < GRAM + 1:
         raise ValueError(f"substring_dedup: length must be over {GRAM}")
-    return Plan(lambda docs: word_units(docs, GRAM), length, GRAM, _resolver(length), False, batch=2_000_000)
+
+    def pieces(text: bytes, at: list[tuple[int, int]]) -> list[bytes]:
+        words = text.split()
+        return [b" ".join(words[s : s + n - 1 + length]) for s, n in at]
+
+    return Plan(lambda docs: word_units(docs, GRAM), length, GRAM, pieces, _resolver(length), False, batch=2_000_000)
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -106,7 +104,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             n = len(words)
             lost = 0
             if gone:
-                mask = covered(n, d, gone, length)
+                mask = covered(n, gone, length)
                 lost = int(mask.sum())
                 words = [w for w, m in zip(words, mask.tolist()) if not m]
             for col, v in zip(cols, (None if d == LAST else d, b" ".join(words), n, lost)):

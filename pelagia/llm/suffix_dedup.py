@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.llm.common import arrow_map, table
-from pelagia.llm.routing import LAST, Plan, byte_units, covered, identical, with_repeats
+from pelagia.llm.routing import LAST, Plan, byte_units, covered, with_repeats
 
 LENGTH = 100
-SHARD = 8_000_000
+#: Bytes of an anchor.
+GRAM = 24
 
 
 def suffix_order(text: bytes, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -90,51 +91,61 @@ def longest_previous_factor(text: bytes) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def repeated_starts(text: bytes, length: int) -> np.ndarray:
-    """Positions whose longest previous factor reaches `length`.
+def repeated_starts(text: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of these (ascending) positions have a longest previous factor, among them, of at least `length`.
 
-    Cut off at `length`, suffixes with that much in common are equal, and stand in text order: the previous
-    smaller position reaches `length` for all of them but the first, the next smaller one for none."""
-    order, rank = suffix_order(text, length)
-    same = rank[order[1:]] == rank[order[:-1]]
-    out = np.zeros(len(text), bool)
-    out[order[1:][same]] = True
+    The suffixes that start there are ordered eight bytes at a time; a suffix leaves as soon as no other shares its
+    prefix. Cut off at `length`, suffixes with that much in common are equal and stand in text order: for all of
+    them but the first the previous smaller position reaches `length`; for none does the next smaller one."""
+    n = len(text)
+    eight = np.empty(n + 8, np.uint64)
+    pad = text + bytes(16)
+    for o in range(8):
+        eight[o::8] = np.frombuffer(pad, ">u8", len(range(o, n + 8, 8)), o)
+    at = np.arange(len(starts))  # in suffix order, as far as it is known
+    group = np.zeros(len(starts), np.int64)
+    done = 0
+    while done < length and len(at):
+        key = eight[starts[at] + done]
+        if length - done < 8:
+            key = key >> np.uint64(8 * (8 - (length - done)))
+        order = np.lexsort((key, group))
+        at, key, group = at[order], key[order], group[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]
+        group = np.cumsum(new)
+        shared = ~new | ~np.r_[new[1:], True]
+        at, group = at[shared], group[shared]
+        done += 8
+    out = np.zeros(len(starts), bool)
+    out[at[1:][group[1:] == group[:-1]]] = True
     return out
 
 
 def _resolver(length: int):
-    def resolve(k, d, start, text):
-        lost, kept, mixed = identical(k, d, start, text, True)
-        rows, first, count = [lost], [np.zeros(len(lost), np.int64)], [np.array([len(text[i]) - length + 1 for i in lost], np.int64)]
-        kept = kept[mixed]
-        kept = kept[np.argsort(k[kept], kind="stable")]
-        sizes = np.array([len(text[i]) + 1 for i in kept], np.int64)
-        edge = np.flatnonzero(np.r_[True, k[kept][1:] != k[kept][:-1]]) if len(kept) else np.zeros(0, np.int64)
-        shard = (np.cumsum(sizes) - sizes)[edge] // SHARD if len(kept) else edge
-        begin = edge[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])] if len(kept) else edge
-        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(kept)]):
-            part = kept[a:b]
-            part = part[np.lexsort((start[part], d[part]))]
-            flat = b"\xff".join(text[i] for i in part) + b"\xff"
-            size = np.array([len(text[i]) + 1 for i in part], np.int64)
-            begin_at = np.cumsum(size) - size
-            owner = np.repeat(np.arange(len(part)), size)
-            offset = np.arange(len(flat)) - begin_at[owner]
-            hit = repeated_starts(flat, length) & (offset <= size[owner] - 1 - length)
-            at = np.flatnonzero(hit)
-            runs = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1]) if len(at) else at
-            rows.append(part[owner[at[runs]]])
-            first.append(offset[at[runs]])
-            count.append(np.diff(np.r_[runs, len(at)]))
-        return np.concatenate(rows), np.concatenate(first), np.concatenate(count)
+    def resolve(d, start, text):
+        order = np.lexsort((start, d))  # the order of the corpus
+        flat = b"\xff".join(text[i] for i in order) + b"\xff"
+        size = np.array([len(text[i]) + 1 for i in order], np.int64)
+        windows = size - length
+        owner = np.repeat(np.arange(len(order)), windows)
+        offset = np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]
+        at = np.flatnonzero(repeated_starts(flat, (np.cumsum(size) - size)[owner] + offset, length))
+        if not len(at):
+            return at, at, at
+        runs = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
+        return order[owner[at[runs]]], offset[at[runs]], np.diff(np.r_[runs, len(at)])
 
     return resolve
 
 
 def plan(length: int = LENGTH) -> Plan:
-    if length < 17:
-        raise ValueError("suffix_dedup: length must be over 16")
-    return Plan(byte_units, length, 16, _resolver(length), True)
+    if length < GRAM + 1:
+        raise ValueError(f"suffix_dedup: length must be over {GRAM}")
+
+    def pieces(text: bytes, at: list[tuple[int, int]]) -> list[bytes]:
+        return [text[s : s + n - 1 + length] for s, n in at]
+
+    return Plan(lambda docs: byte_units(docs, GRAM), length, GRAM, pieces, _resolver(length), True)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -142,17 +153,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return with_repeats(docs, plan(length))
 
 
-def removed(text: bytes, d: int, gone, length: int) -> np.ndarray:
-    return covered(len(text), d, gone, length)
-
-
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(5)]
         for d, t, gone in zip(
             batch.column("d").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist()
         ):
-            mask = removed(t, d, gone, length) if gone else None
+            mask = covered(len(t), gone, length) if gone else None
             n = 0 if mask is None else int(mask.sum())
             kept = t if not n else np.frombuffer(t, np.uint8)[~mask].tobytes()
             spans = 0 if not n else int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
@@ -175,18 +182,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for d, t, gone in zip(
-            batch.column("d").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist()
-        ):
+        for t, gone in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist()):
             if gone:
                 raw = np.frombuffer(t, np.uint8)
-                mask = removed(t, d, gone, length)
+                mask = covered(len(t), gone, length)
                 char = np.cumsum((raw & 0xC0) != 0x80)
                 t = raw[~np.isin(char, char[mask])].tobytes()
             out.append(t.decode(errors="replace"))
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("rest")], ["text", "rest"])
 
-    found = with_repeats(docs, plan(length), rest=True).select("d", "text", "gone", "rest")
+    found = with_repeats(docs, plan(length), rest=True).select("text", "gone", "rest")
     kind = found.schema["rest"].dataType.simpleString()
     left = arrow_map(found, run, f"text string, rest {kind}")
     return left.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
