@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pelagia.llm.common import arrow_map, long_ids, table
 
 LONG = 128
-CACHE = 300_000
+CACHE = 200_000
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,8 +134,8 @@ class Bpe:
             else:
                 by_width.setdefault(max(4, 1 << (len(p) - 1).bit_length()), []).append(k)
         for width, rows in by_width.items():
-            for a in range(0, len(rows), 1 << 16):
-                self._matrix(pieces, rows[a : a + (1 << 16)], width, out)
+            for a in range(0, len(rows), 1 << 15):
+                self._matrix(pieces, rows[a : a + (1 << 15)], width, out)
         return out
 
     def _matrix(self, pieces: list[bytes], rows: list[int], width: int, out: list) -> None:

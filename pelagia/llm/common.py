@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,20 +56,45 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch; large batches are cut so that memory stays bounded."""
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most 2000 rows, unless the session asks for fewer: with long texts 10000 rows are too many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > 2000:
+        spark.conf.set(name, "2000")
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with bounded batches and released memory."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    bounded(df.sparkSession)
+    return df.mapInArrow(tidy, schema)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, most: int = 2_000_000) -> DataFrame:
+    """map_arrow for a function of one batch; large batches are cut so that memory stays bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch):
+            for part in cut(batch, most):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
-def cut(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch of about `most` bytes each, a row at least."""
     n = batch.num_rows
     if n <= 1 or batch.nbytes <= most:

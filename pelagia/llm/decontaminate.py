@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import ALNUM, arrow_map, cut, long_ids, materialise, table, texts
+from pelagia.llm.common import ALNUM, arrow_map, long_ids, materialise, table, texts
 
 WINDOW = 8
 SAMPLE = 8
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -221,10 +221,6 @@ def _mark(cover, items, size, t, first, last, which, p) -> None:
         items[t].update(p.items[k])
 
 
-def shards(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-    return cut(batch, SHARD_BYTES)
-
-
 def _blocks(benchmark: DataFrame, max_words: int) -> list[Phrases]:
     """Phrase sets of at most about max_words words each; one block in the usual case."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
@@ -265,7 +261,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, max_words: int = 5_000_000) -> D
         plain = [c for c in docs.columns if c != "text"]
         kinds = dict(docs.dtypes)
         schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*plain, "text"]) + ", n_words long, spans binary, items array<string>"
-        parts.append(arrow_map(docs.select(*plain, "text"), run, schema))
+        parts.append(arrow_map(docs.select(*plain, "text"), run, schema, SHARD_BYTES))
     if len(parts) == 1:
         return parts[0].drop("row")
     found = None

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import cut, whole_groups
+from pelagia.llm.common import cut, map_arrow, whole_groups
 
 LAST = 2**63 - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -75,7 +75,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1_200_000)
         base = 0x5851F42D4C957F2D
         inverse = pow(base, -1, 1 << 64)
         _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, np.uint64(b))]) for b in (base, inverse)]
@@ -157,8 +157,8 @@ class Plan:
     resolve: Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
     #: whether an equal window earlier in the same document counts
     within: bool
-    batch: int = 4_000_000
-    held: int = 1_000_000  # stretches that a task holds before it sends them
+    batch: int = 1_000_000
+    held: int = 400_000  # stretches that a task holds before it sends them
     crowd: int = 2_000  # an anchor with more different stretches is dealt out by window
 
 
@@ -246,7 +246,7 @@ def entries(rows: DataFrame, p: Plan) -> DataFrame:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["k"], 200_000):
+        for t in whole_groups(batches, ["k"], 100_000):
             k, d, row, pos = (t[c].to_numpy() for c in ("k", "d", "row", "p"))
             col = t["s"].combine_chunks()
             settled = col.is_null().to_numpy(zero_copy_only=False)
@@ -271,8 +271,8 @@ def entries(rows: DataFrame, p: Plan) -> DataFrame:
                 ["row", "k", "p"],
             )
 
-    sent = rows.mapInArrow(send, _SENT)
-    return sent.repartition("k").sortWithinPartitions("k").mapInArrow(meet, _ENTRY)
+    sent = map_arrow(rows, send, _SENT)
+    return map_arrow(sent.repartition("k").sortWithinPartitions("k"), meet, _ENTRY)
 
 
 def repeats(rows: DataFrame, p: Plan) -> DataFrame:
@@ -375,8 +375,8 @@ def repeats(rows: DataFrame, p: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_row, pa.int64()), pa.array(out, pa.binary())], ["row", "gone"])
 
     # all columns of `rows` go in, so that this exchange of the texts is the one that with_repeats() joins again
-    sent = joined.mapInArrow(send, _TEXT)
-    met = sent.repartition("k").sortWithinPartitions("k").mapInArrow(meet, _GONE)
+    sent = map_arrow(joined, send, _TEXT)
+    met = map_arrow(sent.repartition("k").sortWithinPartitions("k"), meet, _GONE)
     return met.groupBy("row").agg(F.collect_list("gone").alias("gone"))
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import LOWER, arrow_map, components, long_ids, materialise, starts_and_ends, table, texts, whole_groups
+from pelagia.llm.common import LOWER, arrow_map, components, long_ids, map_arrow, materialise, starts_and_ends, table, texts, whole_groups
 
 SHINGLE = 4
 SEED = 42
@@ -86,7 +86,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
             [pa.array(np.arange(4097)), pa.array(np.r_[both.ravel(), n].astype(np.int64))], ["cell", "n"]
         )
 
-    got = fps.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = map_arrow(fps.select("fp"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cells = np.zeros(4097)
     cells[got["cell"]] = got["n"]
     return int(cells[-1]), cells[:-1].reshape(64, 64)
@@ -229,10 +229,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFra
     counts = rows.groupBy("part", "key").count().filter(F.col("count") > dense)
     hot = materialise(counts.select("part", "key"))
     if hot.isEmpty():
-        spread = rows.repartition("part", "key").sortWithinPartitions("part", "key")
-        return spread.mapInArrow(search, "u long, v long")
+        return map_arrow(rows.repartition("part", "key").sortWithinPartitions("part", "key"), search, "u long, v long")
     cold = rows.join(hot, ["part", "key"], "left_anti")
-    found = cold.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(search, "u long, v long")
+    found = map_arrow(cold.repartition("part", "key").sortWithinPartitions("part", "key"), search, "u long, v long")
     thick = rows.join(hot, ["part", "key"], "left_semi").select("fp", "node").distinct()
     return found.unionByName(_middle(thick, radius))
 
@@ -262,7 +261,7 @@ def _middle(nodes: DataFrame, radius: int) -> DataFrame:
             for a in range(0, batch.num_rows, 500):
                 yield run(batch.slice(a, 500))
 
-    values = small.mapInArrow(cuts, "value long, fp long, node long")
+    values = map_arrow(small, cuts, "value long, fp long, node long")
     least = values.groupBy("value").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v < w").select("value", "v")
     return values.select("value", F.col("node").alias("u")).join(least, "value").filter("u != v").select("u", "v").distinct()
 

@@ -89,7 +89,7 @@ def plan(length: int = LENGTH) -> Plan:
         words = text.split()
         return [b" ".join(words[s : s + n - 1 + length]) for s, n in at]
 
-    return Plan(lambda docs: word_units(docs, GRAM), length, GRAM, pieces, _resolver(length), False, batch=2_000_000)
+    return Plan(lambda docs: word_units(docs, GRAM), length, GRAM, pieces, _resolver(length), False)
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

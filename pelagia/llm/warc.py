@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import cut, materialise, table
+from pelagia.llm.common import cut, map_arrow, materialise, table
 
 #: Up to so many groups of equal payloads are broadcast (about 100 bytes each); more are joined by shuffle.
 BROADCAST_GROUPS = 50_000
@@ -149,7 +149,7 @@ def write_archives(typed: DataFrame, archive_bytes: int = 4_000_000) -> DataFram
             yield flush()
 
     # row groups bound what the reader holds at once
-    return materialise(typed.mapInArrow(run, "archive string, content binary"), **{"parquet.block.size": 16 << 20})
+    return materialise(map_arrow(typed, run, "archive string, content binary"), **{"parquet.block.size": 16 << 20})
 
 
 _READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -185,7 +185,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                         cols, size = [[] for _ in names], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return archives.select("content").mapInArrow(run, _READ)
+    return map_arrow(archives.select("content"), run, _READ)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
