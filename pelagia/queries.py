@@ -435,6 +435,7 @@ BUILT: dict[str, tuple[Callable[[Connection, str], DataFrame], str | None]] = {
 }
 
 _made: dict[int, Connection] = {}
+_shown: dict[int, str] = {}  # the folder whose tables a connection's session shows
 
 
 def connection(spark: SparkSession, sf_dir: str) -> Connection:
@@ -442,8 +443,10 @@ def connection(spark: SparkSession, sf_dir: str) -> Connection:
     con = _made.get(id(spark))
     if con is None or con.spark is not spark or con.spark.sparkContext._jsc is None:
         con = _made[id(spark)] = Connection(spark)
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    if _shown.get(id(con)) != sf_dir:
+        for t in TABLES:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _shown[id(con)] = sf_dir
     return con
 
 
