@@ -49,7 +49,7 @@ engine_version() | STRING | '0.1.0'
 #: Names that the front end turns into others: functions whose Spark namesake differs, or whose argument list does.
 RENAMED = {
     "trunc": "trunc_number", "factorial": "factorial_of", "isnan": "is_nan", "encode": "encode_text", "decode": "decode_text",
-    "stddev": "stddev_samp", "variance": "var_samp", "random": "rand", "datepart": "date_part", "beacon_version": "engine_version",
+    "stddev": "stddev_samp", "variance": "var_samp", "random": "rand", "datepart": "date_part",
     "character_length": "char_length", "from_unixtime": "from_unixtime_seconds",
 }
 
@@ -78,8 +78,62 @@ def java_pattern(strftime: str) -> str:
     return out.replace("''", "") if "''" in out and "'" not in strftime else out
 
 
+def _case(code: str, table: dict[str, str], prefix: str) -> str:
+    return f"CASE {code} " + " ".join(f"WHEN '{k}' THEN '{prefix}{v}'" for k, v in table.items()) + " END"
+
+
+def domain_definitions() -> list[str]:
+    """The oceanographic functions as SQL, from the same tables and constants as their Column forms."""
+    from pelagia.functions import util, vocab
+
+    poly = str(util._ENTHALPY[-1]) + "D"
+    for c in util._ENTHALPY[-2::-1]:
+        poly = f"({c!r}D + p * 1e-4D * {poly})"
+    b = "(9.780327D * (1D + (5.2792e-3D + 2.32e-5D * power(sin(radians(lat)), 2)) * power(sin(radians(lat)), 2)))"
+    h = f"(p * 1e-4D * {poly} * 1e8D)"
+    units = " ".join(f"WHEN f = '{x}' AND t = '{y}' THEN v * {k!r}D" for (x, y), k in util.UNITS.items())
+    l05 = _case("b", vocab._L05, "SDN:L05::")
+    l06 = _case("b", vocab._L06, "SDN:L06::")
+    first = lambda v: f"CASE WHEN s RLIKE '\\\\([^)]*\\\\)' THEN concat('{v}', regexp_extract(s, '\\\\(([^)]*)\\\\)', 1)) END"
+    last = "CASE WHEN s RLIKE '\\\\([^)]*\\\\)' THEN try_cast(regexp_extract(s, '(?s).*\\\\(([^)]*)\\\\)', 1) AS BIGINT) END"
+    multi = "array_join(transform(regexp_extract_all(s, '\\\\(([^)]*)\\\\)', 1), x -> concat('SDN:L05::', x)), ' ')"
+    entry = lambda sep, want, cut: f"try_element_at(filter(split(s, '{sep}'), e -> regexp_extract({cut}, '({want}\\\\S+)', 1) = c), -1)"
+    l22 = f"nullif(regexp_extract({entry('[|]', 'SDN:P01::', 'e')}, '(SDN:L22::\\\\S+)', 1), '')"
+    p35 = f"nullif(regexp_extract({entry(',', 'SDN:P35::', "split_part(e, '=', 1)")}, '=.*?(SDN:P01::\\\\S+)', 1), '')"
+    out = [
+        f"pressure_to_depth_teos_10(p DOUBLE, lat DOUBLE) | DOUBLE | 2D * {h} / ({b} + sqrt({b} * {b} - 4D * -0.5D * 2.26e-7D * {b} * {h}))",
+        f"map_units(f STRING, t STRING, v DOUBLE) | DOUBLE | CASE {units} END",
+        f"map_cmems_bigram_l05(b STRING) | STRING | {l05}",
+        f"map_cmems_bigram_l06(b STRING, w STRING) | STRING | CASE WHEN b = 'CT' AND w = '995' THEN 'SDN:L06::70' ELSE {l06} END",
+        f"map_cora_platform_l06(b STRING, w STRING) | STRING | {l06}",
+        f"map_emodnet_chemistry_instrument_l05_multi(s STRING) | STRING | {multi}",
+        f"map_emodnet_chemistry_instrument_info_l22(s STRING, c STRING) | STRING | {l22}",
+        f"map_emodnet_chemistry_p35_contributor_codes_p01(s STRING, c STRING) | STRING | {p35}",
+    ]
+    for name in ("map_emodnet_chemistry_instrument_l05", "map_seadatanet_instrument_l05"):
+        out.append(f"{name}(s STRING) | STRING | {first('SDN:L05::')}")
+    for name in ("map_emodnet_chemistry_platform_l06", "map_seadatanet_platform_l06"):
+        out.append(f"{name}(s STRING) | STRING | {first('SDN:L06::')}")
+    for name in ("map_emodnet_chemistry_originator_edmo", "map_originator_edmo"):
+        out.append(f"{name}(s STRING) | BIGINT | {last}")
+    for name in vocab.LOOKUPS:  # until a vocabulary is loaded every code is unknown
+        out.append(f"{name}(code STRING) | STRING | CAST(NULL AS STRING)")
+    return out
+
+
+def load_vocabulary(spark: SparkSession, name: str, codes: dict[str, str]) -> None:
+    """Gives a lookup function its (small) code list; see vocab.Vocabulary for large ones."""
+    quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cells = ", ".join(f"{quote(k)}, {quote(v)}" for k, v in codes.items())
+    body = f"try_element_at(map({cells}), code)" if codes else "CAST(NULL AS STRING)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(code STRING) RETURNS STRING RETURN {body}")
+
+
 def register(spark: SparkSession) -> None:
-    """Defines the functions in the session."""
-    for line in DEFINITIONS.strip().splitlines():
+    """Defines the functions in the session, once."""
+    if getattr(spark, "_pelagia_scalar", False):
+        return
+    for line in [*DEFINITIONS.strip().splitlines(), *domain_definitions()]:
         head, kind, body = (x.strip() for x in line.split(" | ", 2))
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
+    spark._pelagia_scalar = True

@@ -231,3 +231,36 @@ def test_file_statistics(con, tmp_path):
     assert con.sql("SELECT count(*) FROM file_statistics('d/*.parquet')").fetchone() == (4,)
     assert con.sql("SELECT max(max) FROM view_dataset_statistics('d')").fetchone() == ("99",)
     assert os.path.isdir(f"{con.root}/file_stats")
+
+
+def test_domain_functions_in_sql(con):
+    from pelagia.functions.scalar import load_vocabulary
+
+    one = lambda e: con.sql(f"SELECT {e} AS x").fetchone()[0]
+    assert abs(one("pressure_to_depth_teos_10(1000, 4)") - 992.0919060719987) < 1e-6
+    assert one("map_units('SDN:P06::UMLL', 'SDN:P06::UPOX', 2)") == 2 * 44.66080 and one("map_units('a', 'a', 2)") is None
+    assert one("map_cmems_bigram_l06('CT', '995')") == "SDN:L06::70" and one("map_cmems_bigram_l06('CT', NULL)") == "SDN:L06::30" and one("map_cmems_bigram_l05('XB')") == "SDN:L05::132"
+    assert one("map_seadatanet_instrument_l05('ctd (130) x (2)')") == "SDN:L05::130" and one("map_seadatanet_instrument_l05('ctd')") is None
+    assert one("map_originator_edmo('a (12) b (34)')") == 34 and one("map_emodnet_chemistry_instrument_l05_multi('(1) (2)')") == "SDN:L05::1 SDN:L05::2"
+    assert one("map_emodnet_chemistry_instrument_info_l22('x SDN:P01::A y SDN:L22::Q|SDN:P01::B SDN:L22::R', 'SDN:P01::B')") == "SDN:L22::R"
+    assert one("map_emodnet_chemistry_p35_contributor_codes_p01('SDN:P35::A = SDN:P01::B, SDN:P35::C = SDN:P01::D', 'SDN:P35::A')") == "SDN:P01::B"
+    assert one("map_c17('35')") is None
+    load_vocabulary(con.spark, "map_c17", {"35": "it's"})
+    assert one("map_c17('35')") == "it's" and one("map_c17('36')") is None
+    assert one("coalesce_label(1, 'a', CAST(NULL AS INT), 'b', 2, 'c')") == "c"
+    with pytest.raises(ValueError, match="coalesce_label"):
+        con.sql("SELECT coalesce_label(1, 2)")
+
+
+def test_spatial_aggregates_in_sql(con):
+    con.spark.sql("SELECT id AS g, concat('POINT (', id, ' ', id * 2, ')') AS geom FROM range(3)").createOrReplaceTempView("pts")
+    assert con.sql("SELECT ST_Extent(geom) AS e FROM pts").fetchone()[0].asDict() == {"xmin": 0, "ymin": 0, "xmax": 2, "ymax": 4}
+    assert con.sql("SELECT ST_NumGeometries(ST_Collect(geom)) AS n FROM pts").fetchone() == (3,)
+    assert con.sql("SELECT round(ST_Area(ST_MemUnion(ST_Envelope(ST_Buffer(geom, 0.5)))), 6) AS a FROM pts").fetchone() == (3,)
+
+
+def test_system_tables(con):
+    con.sql("CREATE TABLE t (id BIGINT, name VARCHAR)")
+    assert con.sql("SELECT table_name, table_type FROM information_schema.tables").fetchall() == [("t", "BASE TABLE")]
+    assert con.sql("SELECT column_name, data_type FROM information_schema.columns ORDER BY ordinal_position").fetchall() == [("id", "Int64"), ("name", "Utf8")]
+    assert con.sql("SELECT count(*) > 0 FROM system.query_metrics").fetchone() == (True,)
