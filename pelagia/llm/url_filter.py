@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import table
+from pelagia.llm.common import materialise, table
 
 RULES = (
     ("com", "/", "allow"),
@@ -126,7 +126,7 @@ def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
     def with_path(n: int) -> Column:
         return F.when(F.length(path) >= n, F.transform(suffixes, lambda h: F.concat(h, F.left(path, F.lit(n))))).otherwise(none)
 
-    return F.when(host != "", F.concat(*map(with_path, lengths))).otherwise(none)
+    return F.when(host != "", F.concat(none, *map(with_path, lengths))).otherwise(none)
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -136,7 +136,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     keyed = split.withColumn("_keys", keys_of(F.col("host"), F.col("path"), lengths))
-    universe = keyed.select(F.explode("_keys").alias("key")).distinct().union(listed.select("key")).distinct()
+    # written once: every level of the cascade reads it again
+    universe = materialise(keyed.select(F.explode("_keys").alias("key")).union(listed.select("key")).distinct())
     levels = cascade(listed.select("key"), universe)
     block = cascade(listed.filter("verdict = 'block'").select("key"), listed.select("key"))
     if not levels:
