@@ -1,7 +1,7 @@
 """The persistent catalog: external tables, managed tables, views, materialized views, presets, crawlers.
 
-Definitions live in one JSON file; managed tables and materialized views are Parquet folders, a new one for each
-version, to which a definition points. A change writes the new folder first and then replaces the definitions file
+Definitions live in one JSON file; managed tables and materialized views are Parquet folders to which a definition
+points: a rewrite makes a new one, an insert adds one. A change writes the new folder first and then replaces the definitions file
 atomically, so a reader sees a whole version, old or new. Old versions stay until vacuum().
 """
 
@@ -74,7 +74,7 @@ class Catalog:
     def table(self, name: str, columns: list[str] | None = None) -> DataFrame:
         e = self.get(name)
         if e["kind"] in ("managed", "mview"):
-            return self.spark.read.schema(T.StructType.fromJson(e["schema"])).parquet(e["path"])
+            return self.spark.read.schema(T.StructType.fromJson(e["schema"])).parquet(*e["paths"])
         if e["kind"] == "view":
             return self.run(e["sql"])
         return self.external(e, columns)
@@ -136,8 +136,7 @@ class Catalog:
         if not self._check(name, replace, if_not_exists):
             return False
         df = self.spark.createDataFrame([], schema) if df is None else df
-        path = self._version(name, df)
-        return self.define(name, {"kind": "managed", "path": path, "schema": schema.jsonValue(), "indexes": []}, True)
+        return self.define(name, {"kind": "managed", "paths": [self._version(name, df)], "schema": schema.jsonValue(), "indexes": []}, True)
 
     def create_view(self, name: str, sql: str, replace: bool = False) -> None:
         self.define(name, {"kind": "view", "sql": sql}, replace)
@@ -146,14 +145,14 @@ class Catalog:
         if not self._check(name, replace, if_not_exists):
             return False
         df = self.run(sql)
-        return self.define(name, {"kind": "mview", "sql": sql, "path": self._version(name, df), "schema": df.schema.jsonValue()}, True)
+        return self.define(name, {"kind": "mview", "sql": sql, "paths": [self._version(name, df)], "schema": df.schema.jsonValue()}, True)
 
     def refresh(self, name: str) -> None:
         e = self.get(name)
         if e["kind"] != "mview":
             raise CatalogError(f"{name} is no materialized view")
         df = self.run(e["sql"])
-        self.entries[name] = {**e, "path": self._version(name, df), "schema": df.schema.jsonValue()}
+        self.entries[name] = {**e, "paths": [self._version(name, df)], "schema": df.schema.jsonValue()}
         self._save()
         self._publish(name)
 
@@ -180,24 +179,20 @@ class Catalog:
         e = self._managed(name)
         schema = schema or T.StructType.fromJson(e["schema"])
         path = self._version(name, conform(df, schema))
-        self.entries[name] = {**e, "path": path, "schema": schema.jsonValue()}
+        self.entries[name] = {**e, "paths": [path], "schema": schema.jsonValue()}
         self._save()
         self._publish(name)
 
     def insert(self, name: str, df: DataFrame, columns: list[str] | None = None) -> int:
-        """Appends rows by position (or to the named columns); returns their number."""
+        """Appends rows by position (or to the named columns) as one more folder of the version; returns their number."""
         e = self._managed(name)
         schema = T.StructType.fromJson(e["schema"])
         target = columns or schema.names
         if len(target) != len(df.columns):
             raise CatalogError(f"INSERT: {len(df.columns)} values for {len(target)} columns")
-        df = conform(df.toDF(*target), schema)
-        old = e["path"]
-        temp = self._version(name, df)
-        added = self.spark.read.parquet(temp)
-        count = added.count()
-        both = self.spark.read.schema(schema).parquet(old, temp)
-        self.entries[name] = {**e, "path": self._version(name, both) if count else old}
+        path = self._version(name, conform(df.toDF(*target), schema))
+        count = self.spark.read.schema(schema).parquet(path).count()  # from the footers
+        self.entries[name] = {**e, "paths": [*e["paths"], path]}
         self._save()
         self._publish(name)
         return count
@@ -235,7 +230,7 @@ class Catalog:
 
     def vacuum(self) -> int:
         """Deletes versions that no definition points to; returns how many."""
-        live, gone = {e.get("path") for e in self.entries.values()}, 0
+        live, gone = {p for e in self.entries.values() for p in e.get("paths", [])}, 0
         base = f"{self.root}/data"
         for name in os.listdir(base) if os.path.isdir(base) else []:
             for v in os.listdir(f"{base}/{name}"):

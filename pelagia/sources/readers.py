@@ -96,21 +96,66 @@ def read_parquet(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def _footers(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """Schema text of each Parquet file; many files are inspected on the executors."""
+    """Schema text of each Parquet file; many files are inspected on the executors, footers only."""
     if len(files) <= 16:
         return {f: spark.read.parquet(f).schema.json() for f in files}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def schemas(path: str, f) -> list[tuple]:
         import pyarrow.parquet as pq
 
+        return [(path, from_arrow_schema(pq.read_schema(f), True).json())]
+
+    got = dict(map(tuple, of_footers(spark, files, schemas, "path string, schema string").collect()))
+    return {f: got[f] for f in files}
+
+
+def of_footers(spark: SparkSession, files: list[str], fn, schema: str) -> DataFrame:
+    """Rows of fn(path, open file) for each Parquet file, on the executors. Only footers are read where Arrow knows the
+    store; files of other stores come whole through Spark's reader."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def known(path: str) -> bool:
+        return path.startswith(("file:", "/", "s3://", "s3a://", "gs://", "hdfs://"))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for b in batches:
-            paths = b.column("path").to_pylist()
-            found = [from_arrow_schema(pq.read_schema(pa.BufferReader(c)), True).json() for c in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(found)], ["path", "schema"])
+            rows: list[tuple] = []
+            for path in b.column("path").to_pylist():
+                if path.startswith(("file:", "/")):
+                    store, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+                else:
+                    store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+                with store.open_input_file(name) as f:
+                    rows += fn(path, f)
+            yield batch(rows)
 
-    source = spark.read.format("binaryFile").load(files).select("path", "content")
-    got = {r[0]: r[1] for r in source.mapInArrow(run, "path string, schema string").collect()}
-    return {f: got[f] if f in got else got[f.replace("file:/", "file:///")] for f in files}
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                yield batch(fn(path, pa.BufferReader(content)))
+
+    out = None
+    for take, run, cols in ((True, near, ["path"]), (False, far, ["path", "content"])):
+        mine = [f for f in files if known(f) == take]
+        if mine:
+            if take:
+                n = min(len(mine), 4 * spark.sparkContext.defaultParallelism)
+                df = spark.createDataFrame([(f,) for f in mine], "path string").repartition(n)
+            else:
+                df = spark.read.format("binaryFile").load(mine).select(*cols)
+            df = df.mapInArrow(run, schema)
+            out = df if out is None else out.unionByName(df)
+    return out
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",", infer_records: int | None = None) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import fnmatch
 import os
-from collections.abc import Iterator
+import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,45 +23,51 @@ def _store(con) -> str:
     return f"{con.root}/file_stats"
 
 
+def _footer_rows(path: str, f) -> list[tuple]:
+    """One row for each column of a Parquet file, from its footer."""
+    import datetime as dt
+
+    import pyarrow.parquet as pq
+
+    def number(v) -> float | None:
+        if isinstance(v, dt.datetime):
+            return v.replace(tzinfo=v.tzinfo or dt.UTC).timestamp()
+        return float(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
+
+    file = pq.ParquetFile(f)
+    meta, arrow, rows = file.metadata, file.schema_arrow, []
+    for i in range(meta.num_columns):
+        name = meta.schema.column(i).path
+        low = high = None
+        nulls, known = 0, True
+        for g in range(meta.num_row_groups):
+            s = meta.row_group(g).column(i).statistics
+            if s is None or not s.has_min_max:
+                known = known and s is not None and s.null_count == meta.row_group(g).num_rows
+                nulls += s.null_count if s is not None and s.has_null_count else 0
+                continue
+            low = s.min if low is None else min(low, s.min)
+            high = s.max if high is None else max(high, s.max)
+            nulls += s.null_count or 0
+        if not known:
+            low = high = None
+        kind = str(arrow.field(name).type) if name in arrow.names else str(meta.schema.column(i).physical_type)
+        text = [None if v is None else str(v) for v in (low, high)]
+        rows.append((path, name, kind, *text, nulls, meta.num_rows, number(low), number(high)))
+    return rows
+
+
 def _footers(con, files: list[str]) -> DataFrame:
-    """One row for each file and column, from Parquet footers, read on the executors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import datetime as dt
-
-        import pyarrow.parquet as pq
-
-        for b in batches:
-            rows = []
-            for path, size, modified, content in zip(*[b.column(n).to_pylist() for n in ("path", "length", "modificationTime", "content")]):
-                f = pq.ParquetFile(pa.BufferReader(content))
-                meta = f.metadata
-                arrow = f.schema_arrow
-                for i in range(meta.num_columns):
-                    name = meta.schema.column(i).path
-                    low = high = None
-                    nulls, known = 0, True
-                    for g in range(meta.num_row_groups):
-                        s = meta.row_group(g).column(i).statistics
-                        if s is None or not s.has_min_max:
-                            known = known and s is not None and s.null_count == meta.row_group(g).num_rows
-                            nulls += s.null_count if s is not None and s.has_null_count else 0
-                            continue
-                        low = s.min if low is None else min(low, s.min)
-                        high = s.max if high is None else max(high, s.max)
-                        nulls += s.null_count or 0
-                    if not known:
-                        low = high = None
-                    number = lambda v: float(v) if isinstance(v, int | float) and not isinstance(v, bool) else (v.replace(tzinfo=v.tzinfo or dt.UTC).timestamp() if isinstance(v, dt.datetime) else None)
-                    kind = str(arrow.field(name).type) if name in arrow.names else str(meta.schema.column(i).physical_type)
-                    rows.append((path, size, modified, name, kind, None if low is None else str(low), None if high is None else str(high), nulls, meta.num_rows, number(low), number(high)))
-            cols = list(zip(*rows)) or [()] * 11
-            kinds = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-
-    source = con.spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime", "content")
-    return source.mapInArrow(run, SCHEMA)
+    """One row for each file and column, with the file's size and time."""
+    kinds = "path string, column_name string, data_type string, min string, max string, null_count long, row_count long, lo double, hi double"
+    marks = con.spark.read.format("binaryFile").load(files).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    norm = F.regexp_replace("path", "^file:/+", "file:/")
+    rows = readers.of_footers(con.spark, files, _footer_rows, kinds).withColumn("path", norm)
+    return rows.join(marks.withColumn("path", norm), "path").select(*[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def _norm(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
 
 
 def stored(con) -> DataFrame:
@@ -76,7 +81,7 @@ def analyze(con, prefix: str | None = None, force: bool = False) -> DataFrame:
     where = con.paths(prefix or (con.datasets or con.root))
     files = [f for f in readers.expand_all(con.spark, where) if f.endswith(".parquet") and "/_" not in f and f"{con.root}/file_stats" not in f]
     known = {r[0]: (r[1], r[2]) for r in stored(con).select("path", "size", "modified").distinct().collect()}
-    now = {r[0]: (r[1], r[2]) for r in con.spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime").collect()} if files else {}
+    now = {_norm(r[0]): (r[1], r[2]) for r in con.spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime").collect()} if files else {}
     todo = sorted(f for f, mark in now.items() if force or known.get(f) != mark)
     if todo:
         fresh = _footers(con, todo)
@@ -94,7 +99,8 @@ def analyze(con, prefix: str | None = None, force: bool = False) -> DataFrame:
 def prune(con, files: list[str], bounds: dict[str, tuple[float | None, float | None]]) -> list[str]:
     """Files that may hold rows with every column inside its (low, high); files without statistics stay."""
     out = set()
-    s = stored(con).filter(F.col("path").isin(files))
+    short = {_norm(f): f for f in files}
+    s = stored(con).filter(F.col("path").isin(list(short)))
     for column, (low, high) in bounds.items():
         miss = F.lit(False)
         if low is not None:
@@ -102,7 +108,7 @@ def prune(con, files: list[str], bounds: dict[str, tuple[float | None, float | N
         if high is not None:
             miss = miss | (F.col("lo") > float(high))
         out |= {r[0] for r in s.filter((F.col("column_name") == column) & miss).select("path").collect()}
-    return [f for f in files if f not in out]
+    return [f for k, f in short.items() if k not in out]
 
 
 def read_pruned(con, paths, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
@@ -177,7 +183,7 @@ def file_statistics(con, pattern: str) -> DataFrame:
     files = readers.expand(con.spark, con.paths(pattern))
     if len(files) > 1000:
         raise ValueError("file_statistics: at most 1000 files")
-    return stored(con).filter(F.col("path").isin(files)).select("path", F.col("column_name").alias("column"), "data_type", "min", "max", "null_count", "row_count", F.lit(0).alias("segment"))
+    return stored(con).filter(F.col("path").isin([_norm(f) for f in files])).select("path", F.col("column_name").alias("column"), "data_type", "min", "max", "null_count", "row_count", F.lit(0).alias("segment"))
 
 
 def query_metrics(con) -> DataFrame:
