@@ -39,9 +39,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pelagia-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, **options) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+#: Rows of a few numbers that one file of a small table holds.
+FILE_ROWS = 100_000
+
+
+def materialise(df: DataFrame, rows: int | None = None, **options) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    rows: about how many narrow rows there are, for tables behind a shuffle; they get a file for each FILE_ROWS, not
+    one for each shuffle partition."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(-(-rows // FILE_ROWS) or 1)
     path = scratch(spark)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -157,27 +166,27 @@ def long_ids(batch: pa.RecordBatch, name: str = "doc_id") -> pa.Array:
     return batch.column(name).cast(pa.int64())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Connected components of edges (u, v): rows (node, component), component the smallest node reachable.
 
     Alternates large-star and small-star steps (each a partial aggregation and a join, which adaptive
     execution splits when a node is hot), each written to the shared folder, until nothing changes. Nodes
-    without edges are not listed. Only counts come to the driver."""
+    without edges are not listed. Only counts come to the driver. rows: about how many nodes there are."""
     now = materialise(
-        edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows
     )
     seen = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large)
+        large = materialise(large, rows)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-        small = materialise(small.filter("u != v").distinct())
+        small = materialise(small.filter("u != v").distinct(), rows)
         drop(large)
         drop(now)
         mark = tuple(

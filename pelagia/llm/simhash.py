@@ -266,17 +266,23 @@ def _middle(nodes: DataFrame, radius: int) -> DataFrame:
     return values.select("value", F.col("node").alias("u")).join(least, "value").filter("u != v").select("u", "v").distinct()
 
 
-def simhash(docs: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each document."""
+def _labelled(docs: DataFrame, radius: int, dense: int) -> tuple[DataFrame, int]:
+    """doc_id, fp, component_id, and the number of documents."""
     fps = materialise(fingerprints(docs))
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")))
+    n = fps.count()
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")), n)
     named = nodes.filter("doc IS NOT NULL").select("fp", F.col("doc").alias("node"))
     # a repeated doc_id can stand for two fingerprints; its rows are linked through that id, as one document
-    found = components(links(named, radius, dense))
+    found = components(links(named, radius, dense), rows=n)
     label = nodes.join(found, nodes.doc == found.node, "left").select(
         "fp", F.coalesce("component", "doc").alias("component_id")
     )
-    return fps.join(label, "fp").select(
+    return fps.join(label, "fp"), n
+
+
+def simhash(docs: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for each document."""
+    return _labelled(docs, radius, dense)[0].select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -285,10 +291,10 @@ def simhash(docs: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFr
 BROADCAST_IDS = 500_000
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows without doc_id stay."""
-    copies = simhash(docs, radius).filter("doc_id != component_id").select("doc_id").distinct()
-    copies = materialise(copies)
+    found, n = _labelled(docs, radius, dense)
+    copies = materialise(found.filter("doc_id != component_id").select("doc_id").distinct(), n)
     if copies.count() <= BROADCAST_IDS:
         copies = F.broadcast(copies)
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
