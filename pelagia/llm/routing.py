@@ -18,6 +18,7 @@ text, so repeated rows share one answer; a null doc_id counts as larger than all
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -157,6 +158,8 @@ class Plan:
     resolve: Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
     #: whether an equal window earlier in the same document counts
     within: bool
+    #: cuts a long text: (first unit, bytes) of sections of about a number of bytes, each with some units of the next
+    sections: Callable[[bytes, int, int], Iterator[tuple[int, bytes]]]
     batch: int = 1_000_000
     held: int = 400_000  # stretches that a task holds before it sends them
     crowd: int = 2_000  # an anchor with more different stretches is dealt out by window
@@ -174,6 +177,38 @@ def _column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def byte_sections(text: bytes, step: int, more: int) -> Iterator[tuple[int, bytes]]:
+    for a in range(0, len(text), step):
+        yield a, text[a : a + step + more]
+
+
+_SPACE, _WORD = re.compile(rb"[ \t-\r]"), re.compile(rb"[^ \t-\r]+")
+
+
+def word_sections(text: bytes, step: int, more: int) -> Iterator[tuple[int, bytes]]:
+    at = first = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + step)
+        end = tail = space.start() if space else len(text)
+        for _, word in zip(range(more), _WORD.finditer(text, end)):
+            tail = word.end()
+        yield first, text[at:tail]
+        first += sum(1 for _ in _WORD.finditer(text, at, end))
+        at = end
+
+
+def _sections(batch: pa.RecordBatch, p: Plan) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
+    """Rows of a batch, the first unit and the texts; a long text comes in sections that share length - 1 units, so
+    that no window is lost and what a task holds does not grow with the text."""
+    for part in cut(batch, p.batch):
+        strings = _column(part, "text")
+        if len(strings) == 1 and len(strings[0]) > 2 * p.batch:
+            for first, section in p.sections(strings[0], p.batch, p.length - 1):
+                yield part, first, [section]
+        else:
+            yield part, 0, strings
+
+
 def _same(*cols: np.ndarray) -> np.ndarray:
     """Whether each element but the first equals its predecessor in all columns."""
     out = np.ones(max(len(cols[0]) - 1, 0), bool)
@@ -230,14 +265,14 @@ def entries(rows: DataFrame, p: Plan) -> DataFrame:
             )
 
         for batch in batches:
-            for part in cut(batch, p.batch):
-                u = p.units(_column(part, "text"))
+            for part, base, strings in _sections(batch, p):
+                u = p.units(strings)
                 doc, begin, size, h = stretches(u, p.length, p.gram)
                 if not len(h):
                     continue
                 s = u.hashes(begin, begin + size - 1 + p.length).view(np.int64)
                 d, row = part.column("d").to_numpy()[doc], part.column("row").to_numpy()[doc]
-                held.append([h.view(np.int64), s, d, row, _pack(begin - u.first[doc], size)])
+                held.append([h.view(np.int64), s, d, row, _pack(begin - u.first[doc] + base, size)])
                 count += len(h)
                 if count > p.held:
                     yield flush()

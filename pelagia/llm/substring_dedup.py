@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pelagia.llm.common import arrow_map, table
-from pelagia.llm.routing import LAST, Plan, covered, with_repeats, word_units
+from pelagia.llm.routing import LAST, Plan, covered, with_repeats, word_sections, word_units
 
 LENGTH = 13
 #: Words of an anchor.
@@ -89,7 +89,7 @@ def plan(length: int = LENGTH) -> Plan:
         words = text.split()
         return [b" ".join(words[s : s + n - 1 + length]) for s, n in at]
 
-    return Plan(lambda docs: word_units(docs, GRAM), length, GRAM, pieces, _resolver(length), False)
+    return Plan(lambda docs: word_units(docs, GRAM), length, GRAM, pieces, _resolver(length), False, word_sections)
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

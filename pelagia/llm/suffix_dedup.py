@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pelagia.llm.common import arrow_map, table
-from pelagia.llm.routing import LAST, Plan, byte_units, covered, with_repeats
+from pelagia.llm.routing import LAST, Plan, byte_sections, byte_units, covered, with_repeats
 
 LENGTH = 100
 #: Bytes of an anchor.
@@ -145,7 +146,7 @@ def plan(length: int = LENGTH) -> Plan:
     def pieces(text: bytes, at: list[tuple[int, int]]) -> list[bytes]:
         return [text[s : s + n - 1 + length] for s, n in at]
 
-    return Plan(lambda docs: byte_units(docs, GRAM), length, GRAM, pieces, _resolver(length), True)
+    return Plan(lambda docs: byte_units(docs, GRAM), length, GRAM, pieces, _resolver(length), True, byte_sections)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -192,8 +193,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("rest")], ["text", "rest"])
 
     found = with_repeats(docs, plan(length), rest=True).select("text", "gone", "rest")
-    kind = found.schema["rest"].dataType.simpleString()
-    left = arrow_map(found, run, f"text string, rest {kind}")
+    left = arrow_map(found, run, T.StructType([T.StructField("text", T.StringType()), found.schema["rest"]]))
     return left.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 

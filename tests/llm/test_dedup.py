@@ -64,10 +64,10 @@ def planted(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
-def test_bytes_against_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "batch"), [(2000, 3000), (1, 3000), (2000, 150)])  # texts over two batches come in sections
+def test_bytes_against_brute_force(spark, monkeypatch, crowd, batch):
     make = suffix_dedup.plan
-    monkeypatch.setattr(suffix_dedup, "plan", lambda length: dataclasses.replace(make(length), crowd=crowd, batch=3000, held=200))
+    monkeypatch.setattr(suffix_dedup, "plan", lambda length: dataclasses.replace(make(length), crowd=crowd, batch=batch, held=200))
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(docs).collect()}
@@ -77,10 +77,10 @@ def test_bytes_against_brute_force(spark, monkeypatch, crowd):
         assert got[i] == (len(b), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest()), i
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
-def test_words_against_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "batch"), [(2000, 3000), (1, 3000), (2000, 150)])
+def test_words_against_brute_force(spark, monkeypatch, crowd, batch):
     make = substring_dedup.plan
-    monkeypatch.setattr(substring_dedup, "plan", lambda length: dataclasses.replace(make(length), crowd=crowd, batch=3000, held=200))
+    monkeypatch.setattr(substring_dedup, "plan", lambda length: dataclasses.replace(make(length), crowd=crowd, batch=batch, held=200))
     rows = planted(2)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.kept, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect()}
@@ -89,10 +89,21 @@ def test_words_against_brute_force(spark, monkeypatch, crowd):
         assert got[i] == (kept, len(words), int(mask.sum())), i
 
 
+def test_sections_hold_every_window():
+    r = random.Random(3)
+    for _ in range(200):
+        text = bytes(r.choice(b"ab \n") for _ in range(r.randrange(200)))
+        words, step, length = text.split(), r.randrange(1, 60), r.randrange(1, 7)
+        got = [(a + k, tuple(s.split()[k : k + length])) for a, s in routing.word_sections(text, step, length - 1) for k in range(len(s.split()) - length + 1)]
+        assert got == [(k, tuple(words[k : k + length])) for k in range(len(words) - length + 1)]
+        got = [(a + k, s[k : k + length]) for a, s in routing.byte_sections(text, step, length - 1) for k in range(len(s) - length + 1)]
+        assert got == [(k, text[k : k + length]) for k in range(len(text) - length + 1)]
+
+
 def test_edge_rows(spark):
     text = " ".join(f"w{k}" for k in range(80))
     rows = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (2, text + " more", "c"), (3, "short", "d")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `gone-to: rest` string")
     got = sorted(((r.doc_id, r.n_removed) for r in suffix_dedup.digests(docs).collect()), key=str)
     n = len(text)
     assert got == sorted([(1, 0), (1, 0), (None, n), (2, n), (3, 0)], key=str)
@@ -101,7 +112,7 @@ def test_edge_rows(spark):
     assert suffix_dedup.digests(docs.limit(0)).count() == 0
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
     left = suffix_dedup.without_repeats(docs.filter("doc_id = 2 OR doc_id = 1"))
-    assert left.columns == ["doc_id", "text", "row"]
+    assert left.columns == ["doc_id", "text", "gone-to: rest"]
     assert sorted(tuple(r) for r in left.collect()) == [(1, text, "a"), (1, text, "a"), (2, " more", "c")]
 
 
