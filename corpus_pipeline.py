@@ -39,8 +39,7 @@ def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.hits(docs, common.table(spark, sf_dir, "benchmark"))
-    return _renewed(decontaminate.without_hits(found), docs.columns)
+    return _renewed(decontaminate.without_hits(docs, common.table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,26 +11,30 @@ blocks of items, one pass each, whose spans are merged by document afterwards.
 
 Defined cases: null or empty text: no words, no hits, the digest of the empty string, not contaminated.
 Benchmark rows without words, or with a null item_id, match nothing; repeated items count once. Empty
-benchmark: nothing is hit. Repeated documents: each judged. Other columns are not read.
+benchmark: nothing is hit. Repeated documents: each judged. Other columns travel in a struct, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pelagia.llm.common import ALNUM, arrow_map, long_ids, materialise, table, texts
+from pelagia.llm.common import ALNUM, arrow_map, materialise, table, texts
 
 WINDOW = 8
 SAMPLE = 8
 SHARD_BYTES = 8_000_000
+#: Words of the benchmark that are broadcast at once.
+MAX_WORDS = 5_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -230,44 +234,30 @@ def _blocks(benchmark: DataFrame, max_words: int) -> list[Phrases]:
     return [phrases((r["item"], r["text"]) for r in rows.filter(part == k).collect()) for k in range(n)]
 
 
-_SPANS = "row long, n_words long, spans binary, items array<string>"
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))]
+#: (texts, their numbers of words, hit spans of words, items) to columns
+Finish = Callable[[list[bytes], np.ndarray, list[np.ndarray], list[list[str]]], list[pa.Array]]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, max_words: int = 5_000_000) -> DataFrame:
-    """docs with n_words long, spans binary (pairs of int64: merged word spans), items array<string>."""
+def _as_found(strings: list[bytes], size: np.ndarray, spans: list[np.ndarray], items: list[list[str]]) -> list[pa.Array]:
+    return [pa.array(size, pa.int64()), pa.array([x.tobytes() for x in spans], pa.binary()), pa.array(items, pa.list_(pa.string()))]
+
+
+def _apply(docs: DataFrame, benchmark: DataFrame, max_words: int, finish: Finish, fields: list[T.StructField]) -> DataFrame:
+    """rest (a struct of all columns of docs but the text) and what finish makes of the hits; one pass over the texts
+    if the benchmark is one block."""
     sc = docs.sparkSession.sparkContext
     blocks = _blocks(benchmark, max_words)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    if len(blocks) > 1:
-        docs = materialise(docs)
-    parts = []
-    for block in blocks:
-        shared = sc.broadcast(block)
-
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            size, cover, items = find(texts(batch), shared.value)
-            spans = [b"" if c is None else _runs(c).tobytes() for c in cover]
-            return pa.RecordBatch.from_arrays(
-                [
-                    *[c for n, c in zip(batch.schema.names, batch.columns) if n != "text"],
-                    batch.column("text"),
-                    pa.array(size),
-                    pa.array(spans, pa.binary()),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                ],
-                [*[n for n in batch.schema.names if n != "text"], "text", "n_words", "spans", "items"],
-            )
-
-        plain = [c for c in docs.columns if c != "text"]
-        kinds = dict(docs.dtypes)
-        schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*plain, "text"]) + ", n_words long, spans binary, items array<string>"
-        parts.append(arrow_map(docs.select(*plain, "text"), run, schema, SHARD_BYTES))
-    if len(parts) == 1:
-        return parts[0].drop("row")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    if len(blocks) == 1:
+        docs = docs.select(rest.alias("rest"), "text")
+        return arrow_map(docs, _finder(sc.broadcast(blocks[0]), "rest", finish, fields), T.StructType([docs.schema["rest"], *fields]), SHARD_BYTES)
+    docs = materialise(docs.select(F.monotonically_increasing_id().alias("row"), rest.alias("rest"), "text"))
+    row = docs.schema["row"]
     found = None
-    for p in parts:
-        p = p.select("row", "n_words", "spans", "items")
-        found = p if found is None else found.unionByName(p)
+    for block in blocks:
+        part = arrow_map(docs.select("row", "text"), _finder(sc.broadcast(block), "row", _as_found, _FOUND), T.StructType([row, *_FOUND]), SHARD_BYTES)
+        found = part if found is None else found.unionByName(part)
     merged = found.groupBy("row").agg(
         F.max("n_words").alias("n_words"),
         F.collect_list("spans").alias("spans"),
@@ -275,19 +265,33 @@ def hits(docs: DataFrame, benchmark: DataFrame, max_words: int = 5_000_000) -> D
     )
 
     def join(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for n, spans in zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist()):
+        spans = []
+        for n, some in zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist()):
             c = np.zeros(n, bool)
-            for s in spans:
-                for a, b in np.frombuffer(s, np.int64).reshape(-1, 2):
-                    c[a:b] = True
-            out.append(_runs(c).tobytes())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("n_words"), pa.array(out, pa.binary()), batch.column("items")],
-            ["row", "n_words", "spans", "items"],
-        )
+            for a, b in np.frombuffer(b"".join(some), np.int64).reshape(-1, 2):
+                c[a:b] = True
+            spans.append(_runs(c))
+        size, items = batch.column("n_words").to_numpy(), batch.column("items").to_pylist()
+        return pa.RecordBatch.from_arrays([batch.column("rest"), *finish(texts(batch), size, spans, items)], ["rest", *(f.name for f in fields)])
+
+    return arrow_map(docs.join(merged, "row"), join, T.StructType([docs.schema["rest"], *fields]))
+
+
+def _finder(shared: Broadcast, key: str, finish: Finish, fields: list[T.StructField]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        strings = texts(batch)
+        size, cover, items = find(strings, shared.value)
+        none = np.zeros((0, 2), np.int64)
+        out = finish(strings, size, [none if c is None else _runs(c) for c in cover], [sorted(x) for x in items])
+        return pa.RecordBatch.from_arrays([batch.column(key), *out], [key, *(f.name for f in fields)])
+
+    return run
 
-    return docs.join(arrow_map(merged, join, _SPANS), "row").drop("row")
+
+def hits(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """rest (a struct of all columns of docs but the text), n_words long, spans binary (pairs of int64: merged word
+    spans), items array<string>."""
+    return _apply(docs, benchmark, max_words, _as_found, _FOUND)
 
 
 def _runs(c: np.ndarray) -> np.ndarray:
@@ -296,55 +300,46 @@ def _runs(c: np.ndarray) -> np.ndarray:
     return np.flatnonzero(p[1:] != p[:-1]).astype(np.int64).reshape(-1, 2)
 
 
-def without_spans(text: str, spans: bytes) -> str:
+def without_spans(text: bytes, spans: np.ndarray) -> str:
     """The text without the hit words and what stands between words of one span."""
-    raw = text.encode()
-    at = [m.span() for m in _WORD.finditer(raw)]
+    at = [m.span() for m in _WORD.finditer(text)] if len(spans) else []
     out, last = [], 0
-    for a, b in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist():
-        out.append(raw[last : at[a][0]])
+    for a, b in spans.tolist():
+        out.append(text[last : at[a][0]])
         last = at[b - 1][1]
-    out.append(raw[last:])
+    out.append(text[last:])
     return b"".join(out).decode(errors="ignore")
 
 
-def without_hits(found: DataFrame) -> DataFrame:
-    """Rows of hits() with the hit spans cut out of their texts; n_words, spans and items go."""
-    plain = [c for c in found.columns if c not in ("n_words", "spans", "items")]
+def without_hits(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """docs with the hit spans cut out of their texts; a null text becomes empty."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = batch.column("spans").to_pylist()
-        text = [without_spans(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
-        cols = [pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in plain]
-        return pa.RecordBatch.from_arrays(cols, plain)
-
-    kept = found.select(*[f"`{c}`" for c in plain])
-    return arrow_map(found.select(*[f"`{c}`" for c in plain], "spans"), run, kept.schema)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
-    found = hits(docs.select(F.col("doc_id").cast("long"), "text"), benchmark)
-
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [np.frombuffer(s, np.int64).reshape(-1, 2) for s in batch.column("spans").to_pylist()]
-        items = batch.column("items").to_pylist()
-        return pa.RecordBatch.from_arrays(
-            [
-                long_ids(batch),
-                batch.column("n_words"),
-                pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()),
-                pa.array([len(x) for x in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]),
-                pa.array([len(x) >= least_items for x in items]),
-            ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
-
-    return arrow_map(
-        found.select("doc_id", "n_words", "spans", "items"),
-        digest,
-        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean",
-    )
+    def cut(strings: list[bytes], size: np.ndarray, spans: list[np.ndarray], items: list[list[str]]) -> list[pa.Array]:
+        return [pa.array(list(map(without_spans, strings, spans)), pa.string())]
+
+    left = _apply(docs, benchmark, max_words, cut, [T.StructField("text", T.StringType())])
+    return left.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
+
+
+_DIGEST = [
+    *[T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")],
+    T.StructField("items_sha256", T.StringType()),
+    T.StructField("contaminated", T.BooleanType()),
+]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, max_words: int = MAX_WORDS) -> DataFrame:
+    def digest(strings: list[bytes], size: np.ndarray, spans: list[np.ndarray], items: list[list[str]]) -> list[pa.Array]:
+        return [
+            pa.array(size, pa.int64()),
+            pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()),
+            pa.array([len(x) for x in items], pa.int64()),
+            pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
+            pa.array([len(x) >= least_items for x in items], pa.bool_()),
+        ]
+
+    found = _apply(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, max_words, digest, _DIGEST)
+    return found.select("rest.doc_id", *(f.name for f in _DIGEST))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
