@@ -26,6 +26,8 @@ FEATURES = ("one", "symbols", "bangs", "upper", "digits", "pipes", "repeated", "
 #: Weights of boilerplate minus content for each feature, and the bonus for staying in a state.
 PRIOR = np.array([-2.0, 6.0, 2.0, 3.0, 2.0, 3.0, 0.5, 0.2, 0.0, -0.5])
 PRIOR_STAY = 1.0
+#: Longer texts are fitted as several chains of so many lines, so that chains can step together.
+CHAIN = 400
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -176,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> tuple[
 
     got = arrow_map(rows, features, "doc_id long, quality int, lines binary").collect()
     got = sorted((r for r in got if r["lines"]), key=lambda r: (r["doc_id"], bytes(r["lines"])))
-    lines = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(FEATURES)).astype(float)[:400] for r in got]
-    return fit(lines, [int(r["quality"] == 0) for r in got])
+    lines = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(FEATURES)).astype(float) for r in got]
+    pieces = [(x[a : a + CHAIN], int(r["quality"] == 0)) for x, r in zip(lines, got) for a in range(0, len(x), CHAIN)]
+    return fit([x for x, _ in pieces], [bad for _, bad in pieces])
 
 
 def _judge(batch: pa.RecordBatch, w: np.ndarray, stay: float, least_share: float) -> list[list]:
