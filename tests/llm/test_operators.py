@@ -61,6 +61,15 @@ def test_quality_separates_labels(spark):
     assert got.filter("quality = 1 AND NOT kept").count() == 0
 
 
+def test_quality_fits_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "good words here.\n" * 900), (2, "### $$$ !!!\n" * 900), (3, "x")], "doc_id long, text string")
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_rules, "fit", lambda lines, bad: seen.extend(zip(map(len, lines), bad)) or (quality_rules.PRIOR, 1.0))
+        quality_rules.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert seen == [(400, 0), (400, 0), (100, 0), (400, 1), (400, 1), (100, 1)]
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -197,7 +206,7 @@ def slow_hits(text, items):
 
 
 @pytest.mark.parametrize("most", [5_000_000, 40])
-def test_decontamination_against_brute_force(spark, most, monkeypatch):
+def test_decontamination_against_brute_force(spark, most):
     r = random.Random(4)
     v = [f"w{k}" for k in range(30)]
     items = [(k, " ".join(r.choice(v) for _ in range(r.randrange(0, 25)))) for k in range(20)] + [(20, None), (None, "w1 w2"), (3, "w1"), (21, "w2 w3 w4")]
@@ -210,11 +219,12 @@ def test_decontamination_against_brute_force(spark, most, monkeypatch):
     docs += [(100, None), (101, ""), (102, "other " * 2000)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    monkeypatch.setattr(decontaminate.hits, "__defaults__", (most,))
-    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256) for x in decontaminate.decontaminate(df, bench).collect()}
+    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256) for x in decontaminate.decontaminate(df, bench, max_words=most).collect()}
     assert got == {i: slow_hits(t, items) for i, t in docs}
-    clean = decontaminate.without_hits(decontaminate.hits(df, bench))
-    assert clean.columns == ["doc_id", "text"]
+    wide = df.selectExpr("doc_id", "text", "doc_id AS row", "text AS items", "1 AS `n_words`", "2 AS `a-b: c`")
+    clean = decontaminate.without_hits(wide, bench, most)
+    assert clean.schema.names == wide.schema.names
+    assert {x.rest.doc_id: x.n_words for x in decontaminate.hits(df, bench, most).collect()} == {i: g[0] for i, g in got.items()}
     for x in clean.collect():
         assert len(words_of(x.text)) == got[x.doc_id][0] - got[x.doc_id][1]
     none = decontaminate.decontaminate(df, bench.limit(0)).collect()
