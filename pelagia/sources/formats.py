@@ -8,6 +8,8 @@ import json
 import re
 import struct
 import zlib
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,42 +47,87 @@ def _codec(raw: bytes, codecs: list[dict], dtype: np.dtype, shape: tuple[int, ..
     return x.astype(dtype.newbyteorder("="))
 
 
-def zarr(files: dict[str, bytes]) -> Dataset:
-    """A group from its files (paths relative to the group). Unwritten chunks read as the array's fill_value, which is
-    a value; only the _FillValue attribute means null."""
+@dataclass(frozen=True)
+class ZarrArray:
+    """An array of a group, by its metadata; keys of chunks are paths relative to the group."""
+
+    name: str
+    dims: tuple[str, ...]
+    shape: tuple[int, ...]
+    chunk: tuple[int, ...]
+    dtype: np.dtype
+    fill: object
+    codecs: list[dict]
+    attrs: dict
+    prefix: str
+    separator: str
+
+    def key(self, at: Sequence[int]) -> str:
+        return self.prefix + self.separator.join(map(str, at))
+
+    def place(self, key: str) -> tuple[int, ...] | None:
+        """The chunk that a path names; None if it is none of this array's."""
+        at = key.removeprefix(self.prefix).split(self.separator) if self.shape else []
+        if not key.startswith(self.prefix) or len(at) != len(self.shape) or not all(x.isdecimal() for x in at):
+            return None
+        return tuple(map(int, at)) if self.shape else () if key == self.prefix else None
+
+    def empty(self, shape: Sequence[int]) -> np.ndarray:
+        return np.full(tuple(shape), self.fill, self.dtype)
+
+    def decode(self, raw: bytes) -> np.ndarray:
+        return _codec(raw, self.codecs, self.dtype, self.chunk)
+
+
+def zarr_group(files: dict[str, bytes]) -> tuple[dict, dict[str, ZarrArray]]:
+    """Attributes and arrays of a group, from its zarr.json files (paths relative to the group)."""
     root = json.loads(files["zarr.json"])
-    dims: dict[str, int] = {}
-    variables: dict[str, Variable] = {}
+    arrays: dict[str, ZarrArray] = {}
     for path in sorted(p for p in files if p.endswith("/zarr.json")):
         meta = json.loads(files[path])
         if meta.get("node_type") != "array":
             continue
         name = path[: -len("/zarr.json")]
         shape = tuple(meta["shape"])
-        names = tuple(n or f"{name}_dim{i}" for i, n in enumerate(meta.get("dimension_names") or [None] * len(shape)))
         kind = meta["data_type"]
-        dtype = np.dtype(kind) if isinstance(kind, str) and kind != "string" else np.dtype(object)
-        if dtype.kind == "O":
+        if not isinstance(kind, str) or kind == "string":
             raise ValueError(f"Zarr data type {kind} is not supported")
-        fill = meta.get("fill_value", 0)
+        fill = meta.get("fill_value")
         fill = {"NaN": np.nan, "Infinity": np.inf, "-Infinity": -np.inf}.get(fill, fill) if isinstance(fill, str) else fill
-        x = np.full(shape, fill if fill is not None else 0, dtype)
-        chunk = tuple(meta["chunk_grid"]["configuration"]["chunk_shape"])
         enc = meta.get("chunk_key_encoding") or {"name": "default"}
-        sep = (enc.get("configuration") or {}).get("separator", "/" if enc["name"] == "default" else ".")
-        for at in itertools.product(*[range(-(-s // c)) for s, c in zip(shape, chunk)]):
-            key = sep.join(map(str, at)) if at else "0" * (enc["name"] != "default")
-            if enc["name"] == "default":
-                key = f"c{sep}{key}" if at else "c"
-            raw = files.get(f"{name}/{key}")
-            if raw is None:
-                continue
-            block = _codec(raw, meta["codecs"], dtype, chunk)
-            where = tuple(slice(i * c, min((i + 1) * c, s)) for i, c, s in zip(at, chunk, shape))
-            x[where] = block[tuple(slice(0, w.stop - w.start) for w in where)]
-        variables[name] = Variable(names, x, dict(meta.get("attributes") or {}))
-        dims |= dict(zip(names, shape))
-    return Dataset(dims, variables, dict(root.get("attributes") or {}))
+        plain = enc["name"] == "default"
+        sep = (enc.get("configuration") or {}).get("separator", "/" if plain else ".")
+        arrays[name] = ZarrArray(
+            name,
+            tuple(n or f"{name}_dim{i}" for i, n in enumerate(meta.get("dimension_names") or [None] * len(shape))),
+            shape,
+            tuple(meta["chunk_grid"]["configuration"]["chunk_shape"]),
+            np.dtype(kind),
+            0 if fill is None else fill,
+            meta["codecs"],
+            dict(meta.get("attributes") or {}),
+            f"{name}/" + (("c" + sep if shape else "c") if plain else ("" if shape else "0")),
+            sep,
+        )
+    return dict(root.get("attributes") or {}), arrays
+
+
+def zarr(files: dict[str, bytes]) -> Dataset:
+    """A whole group from its files. Unwritten chunks read as the array's fill_value, which is a value; only the
+    _FillValue attribute means null."""
+    attrs, arrays = zarr_group(files)
+    dims: dict[str, int] = {}
+    variables: dict[str, Variable] = {}
+    for name, a in arrays.items():
+        x = a.empty(a.shape)
+        for at in itertools.product(*[range(-(-s // c)) for s, c in zip(a.shape, a.chunk)]):
+            raw = files.get(a.key(at))
+            if raw is not None:
+                where = tuple(slice(i * c, min((i + 1) * c, s)) for i, c, s in zip(at, a.chunk, a.shape))
+                x[where] = a.decode(raw)[tuple(slice(0, w.stop - w.start) for w in where)]
+        variables[name] = Variable(a.dims, x, a.attrs)
+        dims |= dict(zip(a.dims, a.shape))
+    return Dataset(dims, variables, attrs)
 
 
 # ------------------------------------------------------------------ TIFF

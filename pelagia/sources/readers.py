@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from pelagia import nd
 from pelagia.operators.sets import conform
-from pelagia.sources import formats
+from pelagia.sources import formats, zarr
 from pelagia.types import merge_schemas, spark_to_arrow
 
 READERS = (
@@ -221,41 +221,9 @@ def read_odv_ascii(spark: SparkSession, paths: str | Sequence[str], fill_down: b
 
 
 def read_zarr(spark: SparkSession, paths: str | Sequence[str], dimensions: Sequence[str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """Groups named by the paths of their zarr.json. The files of a group meet in one task."""
+    """Groups named by the paths of their zarr.json."""
     groups = [f[: -len("/zarr.json")] for f in _zarr_roots(spark, paths)]
-    files = [f for g in groups for f in expand_all(spark, g)]
-    group = F.lit(None).cast("string")
-    for g in groups:
-        group = F.when(F.startswith("path", F.lit(g + "/")), F.lit(g)).otherwise(group)
-    source = spark.read.format("binaryFile").load(files).select(group.alias("g"), "path", "content")
-    packed = source.groupBy("g").agg(F.collect_list(F.struct("path", "content")).alias("files"))
-
-    def parse(g: str, entries: list[dict]):
-        ds = formats.zarr({e["path"][len(g) + 1 :]: e["content"] for e in entries})
-        return nd.flatten(ds, columns, dimensions)
-
-    def shapes(batches):
-        for b in batches:
-            for g, entries in zip(b.column("g").to_pylist(), b.column("files").to_pylist()):
-                first = next(iter(parse(g, entries)), None)
-                if first is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([from_arrow_schema(first.schema, True).json()])], ["g", "schema"])
-
-    got = sorted(tuple(r) for r in packed.mapInArrow(shapes, "g string, schema string").collect())
-    schema = merge_schemas([(g, T.StructType.fromJson(json.loads(s))) for g, s in got])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = to_arrow_schema(schema)
-
-    def rows(batches):
-        for b in batches:
-            for g, entries in zip(b.column("g").to_pylist(), b.column("files").to_pylist()):
-                for part in parse(g, entries):
-                    have = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-                    cols = [have[f.name].cast(f.type) if f.name in have else pa.nulls(part.num_rows, f.type) for f in target]
-                    yield pa.RecordBatch.from_arrays(cols, schema=target)
-
-    return packed.mapInArrow(rows, schema)
+    return zarr.read(spark, {g: expand_all(spark, g) for g in groups}, columns, dimensions)
 
 
 def _zarr_roots(spark: SparkSession, paths) -> list[str]:

@@ -1,5 +1,6 @@
 import json
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -156,6 +157,48 @@ def test_zarr_and_netcdf_sources(con, tmp_path):
     assert con.sql("SELECT y FROM nc").df.count() == 2
 
 
+def write_zarr(group, rng, arrays, attrs):
+    """arrays: name -> (dims, shape, chunk, dtype). Some chunks stay unwritten."""
+    files = {"zarr.json": json.dumps({"zarr_format": 3, "node_type": "group", "attributes": attrs}).encode()}
+    for name, (dims, shape, chunk, dtype) in arrays.items():
+        meta = {"zarr_format": 3, "node_type": "array", "shape": shape, "data_type": dtype, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunk}}, "chunk_key_encoding": {"name": "default"}, "fill_value": 7, "codecs": [{"name": "bytes"}, {"name": "gzip"}], "attributes": {"units": name}, "dimension_names": dims}
+        files[f"{name}/zarr.json"] = json.dumps(meta).encode()
+        for at in np.ndindex(*[-(-s // c) for s, c in zip(shape, chunk)]):
+            if rng.random() < 0.8:
+                raw = rng.integers(0, 100, chunk).astype(dtype).tobytes()
+                files["/".join([name, "c", *map(str, at)])] = zlib.compress(raw, wbits=31)
+    for path, content in files.items():
+        (group / path).parent.mkdir(parents=True, exist_ok=True)
+        (group / path).write_bytes(content)
+    return files
+
+
+@pytest.mark.parametrize(("columns", "dimensions"), [(None, None), (["lat"], None), (["v", "lat"], None), (["w", "v.units", ".title"], None), (["v"], ["t", "y"]), (["lat", "k"], ["y", "x"]), ([".title"], None), (["k"], None)])
+def test_zarr_blocks_equal_the_whole(spark, tmp_path, columns, dimensions):
+    from pelagia import nd
+    from pelagia.sources import formats, readers
+
+    rng = np.random.default_rng(len(str(columns)))
+    want = []
+    for g in ("a", "b"):
+        arrays = {"v": (["t", "y", "x"], [5, 4, 7], [2, 3, 4], "float32"), "w": (["t", "y", "x"], [5, 4, 7], [5, 2, 2], "int16"), "lat": (["y"], [4], [4], "float64"), "lon": (["x"], [7], [3], "float64"), "k": ([], [], [], "int32")}
+        files = write_zarr(tmp_path / g, rng, arrays, {"title": g})
+        for part in nd.flatten(formats.zarr(files), columns, dimensions):
+            want += [tuple(sorted(r.items())) for r in part.to_pylist()]
+    df = readers.read_zarr(spark, f"{tmp_path}/*/zarr.json", dimensions, columns)
+    assert sorted(tuple(sorted(r.asDict().items())) for r in df.collect()) == sorted(want)
+
+
+def test_ragged_zarr(spark, tmp_path):
+    from pelagia.sources import readers
+
+    files = write_zarr(tmp_path / "r", np.random.default_rng(0), {"t": (["obs"], [5], [2], "float32")}, {})
+    meta = json.loads(files["t/zarr.json"]) | {"shape": [2], "data_type": "int32", "attributes": {"sample_dimension": "obs"}, "dimension_names": ["cast"], "fill_value": 2}
+    (tmp_path / "r" / "n").mkdir()
+    (tmp_path / "r" / "n" / "zarr.json").write_text(json.dumps(meta))
+    assert readers.read_zarr(spark, f"{tmp_path}/r/zarr.json").count() == 4
+
+
 def test_iceberg_without_snapshot_and_missing(con, tmp_path):
     (tmp_path / "ice" / "metadata").mkdir(parents=True)
     meta = {"format-version": 2, "location": "x", "current-schema-id": 0, "schemas": [{"schema-id": 0, "fields": [{"id": 1, "name": "a", "type": "long", "required": True}]}], "snapshots": []}
