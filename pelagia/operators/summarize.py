@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,12 +12,26 @@ COLUMNS = "column_name string, column_type string, min string, max string, appro
 _ORDERED = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def _text(f: T.StructField) -> Column:
+    """A text that stands for a value of the column: itself if short, else a digest; zeros of both signs are one."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, T.FloatType | T.DoubleType):
+        c = F.when(c == 0, F.lit(0.0)).otherwise(c)
+    if isinstance(f.dataType, T.BinaryType):
+        text = F.hex(c)
+    elif isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType):
+        text = F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v"))))
+    else:
+        text = c.cast("string")
+    return F.when(F.length(text) <= 64, F.concat(F.lit("="), text)).otherwise(F.sha2(text, 256))
+
+
 def summarize(df: DataFrame, arrow_types: bool = True) -> DataFrame:
     """min and max as text (orderable types), exact distinct count, mean and standard deviation of what casts to a
     number, non-null count, share of nulls in per cent (0 for an empty table); columns in source order.
 
     Everything but the distinct counts comes from one aggregation; the distinct counts come from one more over
-    (column number, hash of the value), which the planner aggregates partially instead of expanding each row
+    (column number, value as text), which the planner aggregates partially instead of expanding each row
     once for every column and sorting."""
     aggs, kinds = [F.count(F.lit(1)).alias("n")], []
     for i, f in enumerate(df.schema.fields):
@@ -34,13 +48,10 @@ def summarize(df: DataFrame, arrow_types: bool = True) -> DataFrame:
         ]
         kinds.append(spark_to_arrow(f.dataType) if arrow_types else f.dataType.simpleString())
     one = df.agg(*aggs)
-    cells = F.array(*[
-        F.when(F.col(f"`{f.name}`").isNotNull(), F.struct(F.lit(i).alias("i"), F.sha2(F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))), 256).alias("h")))
-        for i, f in enumerate(df.schema.fields)
-    ])
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), _text(f).alias("h")) for i, f in enumerate(df.schema.fields)])
     distinct = (
-        df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x"))
-        .select("x.i", "x.h")
+        df.select(F.inline(cells))
+        .filter("h IS NOT NULL")
         .distinct()
         .groupBy("i")
         .agg(F.count("*").alias("u"))
