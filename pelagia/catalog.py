@@ -83,7 +83,7 @@ class Catalog:
 
     def external(self, e: dict, columns: list[str] | None = None) -> DataFrame:
         fmt, where, opts = e["format"], e["location"], e.get("options", {})
-        name = {"parquet": "read_parquet", "csv": "read_csv", "arrow": "read_arrow", "ipc": "read_arrow", "odv": "read_odv_ascii", "netcdf": "read_netcdf", "zarr": "read_zarr", "tiff": "read_tiff", "geotiff": "read_tiff", "geoparquet": "read_geoparquet", "delta": "read_delta", "iceberg": "read_iceberg"}.get(fmt)
+        name = {"parquet": "read_parquet", "csv": "read_csv", "arrow": "read_arrow", "ipc": "read_arrow", "odv": "read_odv_ascii", "netcdf": "read_netcdf", "hdf5": "read_hdf5", "zarr": "read_zarr", "tiff": "read_tiff", "geotiff": "read_tiff", "geoparquet": "read_geoparquet", "delta": "read_delta", "iceberg": "read_iceberg"}.get(fmt)
         if fmt in ("postgres", "mysql"):
             known = {"postgres": "postgresql", "mysql": "mysql"}[fmt]
             url = opts.get("url") or f"jdbc:{known}://{opts['host']}:{opts.get('port', {'postgres': 5432, 'mysql': 3306}[fmt])}/{opts['database']}"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pelagia.sources import readers
 from pelagia.stats import _FORMATS
 
-_KNOWN = {"parquet", "csv", "arrow", "netcdf", "tiff"}
+_KNOWN = {"parquet", "csv", "arrow", "netcdf", "hdf5", "tiff"}
 
 
 def group(paths: list[str]) -> dict[tuple[str, str], dict]:
@@ -61,7 +61,7 @@ def run(con, name: str, conf: dict) -> DataFrame:
     rows = []
     for (fmt, base), g in group(files).items():
         where = f"{root}/{base}".rstrip("/")
-        location = where if g["partitions"] else {"parquet": f"{where}/*.parquet", "csv": f"{where}/*.csv", "netcdf": f"{where}/*.nc", "arrow": f"{where}/*.arrow", "tiff": f"{where}/*.tif*", "zarr": f"{where}/zarr.json"}[fmt]
+        location = where if g["partitions"] else {"parquet": f"{where}/*.parquet", "csv": f"{where}/*.csv", "netcdf": f"{where}/*.nc", "hdf5": f"{where}/*.h*5", "arrow": f"{where}/*.arrow", "tiff": f"{where}/*.tif*", "zarr": f"{where}/zarr.json"}[fmt]
         known = owned.pop((fmt, location), None)
         table = known or table_name(base, fmt, conf.get("prefix", ""), set(con.catalog.entries))
         con.catalog.define(table, {"kind": "external", "format": fmt, "location": location, "partitions": g["partitions"], "options": {}, "crawler": name}, replace=True)

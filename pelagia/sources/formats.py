@@ -15,9 +15,12 @@ import numpy as np
 import pyarrow as pa
 
 from pelagia.nd import Dataset, Variable
-from pelagia.sources import netcdf3
+from pelagia.sources import hdf5, netcdf3
 
-netcdf = netcdf3.parse
+
+def netcdf(data: bytes) -> Dataset:
+    """NetCDF classic, or NetCDF-4, which is HDF5."""
+    return hdf5.parse(data) if data[:8] == hdf5.MAGIC else netcdf3.parse(data)
 
 
 # ------------------------------------------------------------------ Zarr v3

@@ -21,11 +21,11 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from pelagia import nd
 from pelagia.operators.sets import conform
-from pelagia.sources import formats, zarr
+from pelagia.sources import formats, hdf5, zarr
 from pelagia.types import merge_schemas, spark_to_arrow
 
 READERS = (
-    "read_parquet", "read_geoparquet", "read_arrow", "read_csv", "read_odv_ascii", "read_netcdf", "read_zarr", "read_tiff",
+    "read_parquet", "read_geoparquet", "read_arrow", "read_csv", "read_odv_ascii", "read_netcdf", "read_hdf5", "read_zarr", "read_tiff",
     "read_delta", "read_iceberg",
 )
 
@@ -212,6 +212,14 @@ read_netcdf = _nd_reader(formats.netcdf)
 read_tiff = _nd_reader(formats.tiff)
 
 
+def read_hdf5(
+    spark: SparkSession, paths: str | Sequence[str], dimensions: Sequence[str] | None = None, convention: str | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    if convention is not None:
+        raise ValueError(f"read_hdf5: the convention {convention} is not supported")
+    return _nd_reader(hdf5.parse)(spark, paths, dimensions, columns)
+
+
 def read_arrow(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return _parsed(spark, expand(spark, paths), lambda content: formats.arrow_ipc(content).combine_chunks().to_batches(65_536))
 
@@ -368,6 +376,6 @@ def schema_table(spark: SparkSession, df: DataFrame) -> DataFrame:
 def call(spark: SparkSession, name: str, args: list, columns: Sequence[str] | None = None) -> DataFrame:
     """A reader by its SQL name; columns go to the readers whose row count depends on them."""
     fn = globals()[name]
-    if name in ("read_netcdf", "read_zarr", "read_tiff"):
+    if name in ("read_netcdf", "read_hdf5", "read_zarr", "read_tiff"):
         return fn(spark, *args, columns=columns)
     return fn(spark, *args)

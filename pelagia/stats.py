@@ -125,7 +125,7 @@ def read_pruned(con, paths, bounds: dict[str, tuple[float | None, float | None]]
 
 
 # ------------------------------------------------------------------ table functions
-_FORMATS = {"parquet": "parquet", "csv": "csv", "arrow": "arrow", "ipc": "arrow", "feather": "arrow", "nc": "netcdf", "tif": "tiff", "tiff": "tiff", "txt": "odv", "json": "json"}
+_FORMATS = {"parquet": "parquet", "csv": "csv", "arrow": "arrow", "ipc": "arrow", "feather": "arrow", "nc": "netcdf", "h5": "hdf5", "hdf5": "hdf5", "tif": "tiff", "tiff": "tiff", "txt": "odv", "json": "json"}
 
 
 def list_datasets(con, pattern: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
@@ -160,7 +160,7 @@ def _column_statistics(con, df: DataFrame, extra: list | None = None) -> DataFra
 
 
 def view_dataset_statistics(con, path: str) -> DataFrame:
-    name = {"csv": "read_csv", "nc": "read_netcdf", "arrow": "read_arrow", "tif": "read_tiff", "txt": "read_odv_ascii"}.get(path.rsplit(".", 1)[-1].lower(), "read_parquet")
+    name = {"csv": "read_csv", "nc": "read_netcdf", "h5": "read_hdf5", "hdf5": "read_hdf5", "arrow": "read_arrow", "tif": "read_tiff", "txt": "read_odv_ascii"}.get(path.rsplit(".", 1)[-1].lower(), "read_parquet")
     return _column_statistics(con, readers.call(con.spark, name, [con.paths(path)]))
 
 
