@@ -269,16 +269,78 @@ def cluster_kmeans(df: DataFrame, x: str, y: str, k: int, out: str = "cluster",
     return df.withColumn(out, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), nearest(centres)))
 
 
-def cluster_dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, least: int, out: str = "cluster") -> DataFrame:
-    """DBSCAN of points by a grid join: neighbours within eps come from an equi-join on cells; core points (at least
-    `least` neighbours, themselves included) linked by label propagation; a border point joins its smallest cluster;
-    noise is null. Clusters are numbered from 0 by their smallest key."""
+def _kmeans_by(df: DataFrame, by: str, x: str, y: str, k: int, out: str, rounds: int = 50, seed: int = 42) -> DataFrame:
+    """cluster_kmeans() within each value of a (never null) column. Centres are a table of one row for each value, joined
+    to the points in every round; only whether any of them moved comes to the driver."""
+    from pyspark.sql import Window
+
+    from pelagia.operators.graph import cut
+
+    pts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    order = Window.partitionBy(by).orderBy(F.xxhash64(F.col(x), F.col(y), F.lit(seed)), x, y)
+    sample = pts.select(by, x, y).withColumn("__n", F.row_number().over(order)).filter("__n <= 2000")
+    sample = sample.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("__n", F.col(x).alias("x"), F.col(y).alias("y")))).alias("pts"))
+
+    @F.pandas_udf("array<struct<x: double, y: double>>")
+    def begin(lists: pd.Series) -> pd.Series:
+        found = []
+        for rows in lists:
+            p = np.array([(r["x"], r["y"]) for r in rows], float)
+            cs = [p[0]]
+            while len(cs) < min(k, len(np.unique(p, axis=0))):
+                cs.append(p[int(np.min([((p - c) ** 2).sum(1) for c in cs], axis=0).argmax())])
+            found.append([{"x": float(a), "y": float(b)} for a, b in cs])
+        return pd.Series(found)
+
+    def nearest() -> Column:
+        far = lambda c, i: F.struct(((F.col(x) - c["x"]) * (F.col(x) - c["x"]) + (F.col(y) - c["y"]) * (F.col(y) - c["y"])).alias("d"), i.alias("i"))
+        return F.array_min(F.transform("__centres", far))["i"]
+
+    centres = cut(sample.select(by, begin("pts").alias("__centres")))
+    for _ in range(rounds):
+        mean = pts.join(centres, by).groupBy(by, nearest().alias("i")).agg(F.struct(F.avg(x).alias("x"), F.avg(y).alias("y")).alias("c"))
+        means = mean.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))
+        moved = lambda c, i: F.coalesce(F.col("m")[i], c)
+        new = cut(centres.join(means, by).select(by, F.transform("__centres", moved).alias("__centres"), F.col("__centres").alias("__old")))
+        gap = F.array_max(F.zip_with("__centres", "__old", lambda a, b: F.greatest(F.abs(a["x"] - b["x"]), F.abs(a["y"] - b["y"]))))
+        still = new.agg(F.max(gap)).first()[0]
+        centres = new.drop("__old")
+        if still is None or still < 1e-9:
+            break
+    known = F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("__centres").isNotNull()
+    return df.join(centres, by, "left").withColumn(out, F.when(known, nearest()).cast("int")).drop("__centres")
+
+
+def cluster_over(df: DataFrame, function: str, args: Sequence[float], parts: int, out: str) -> DataFrame:
+    """df (with __geom and __part0..) and the cluster of each row's centroid within its partition; null: noise, no geometry."""
+    from pelagia.operators.graph import cut
+
+    register(df.sparkSession)
+    kept = [c for c in df.columns if c != "__geom" and c not in {f"__part{i}" for i in range(parts)}]
+    centre = F.call_function("st_centroid", F.col("__geom"))
+    by = F.to_json(F.struct(*[F.col(f"__part{i}") for i in range(parts)])) if parts else F.lit("")
+    pts = df.withColumn("__x", F.call_function("st_x", centre)).withColumn("__y", F.call_function("st_y", centre)).withColumn("__by", by)
+    if function == "st_clusterkmeans":
+        (k,) = args
+        got = _kmeans_by(pts, "__by", "__x", "__y", int(k), out) if parts else cluster_kmeans(pts, "__x", "__y", int(k), out)
+    else:
+        eps, least = args
+        pts = cut(pts.withColumn("__row", F.monotonically_increasing_id()))
+        got = cluster_dbscan(pts, "__row", "__x", "__y", float(eps), int(least), out, ["__by"])
+    return got.select(*[F.col(f"`{c}`") for c in kept], out)
+
+
+def cluster_dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, least: int, out: str = "cluster", by: Sequence[str] = ()) -> DataFrame:
+    """DBSCAN of points by a grid join: neighbours within eps (and with equal `by` columns) come from an equi-join on
+    cells; core points (at least `least` neighbours, themselves included) linked by label propagation; a border point
+    joins its smallest cluster; noise is null. Clusters are numbered from 0 by their smallest key, within `by`."""
     from pelagia.operators.graph import connected
     from pelagia.operators.joins import grid_join
 
-    a = df.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    b = df.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    pairs = grid_join(a, b, "ax", "ay", "bx", "by", eps).select("a", "b")
+    by = list(by)
+    a = df.select(*by, F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"))
+    b = df.select(*by, F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"))
+    pairs = grid_join(a, b, "ax", "ay", "bx", "by", eps, by).select("a", "b")
     core = pairs.groupBy("a").count().filter(F.col("count") >= least).select("a")
     links = pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = connected(links)  # node, component
@@ -287,5 +349,6 @@ def cluster_dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, least: i
     final = near.join(own, "a", "full").select("a", F.coalesce("own", "c").alias("c"))
     from pyspark.sql import Window
 
-    numbers = final.select("c").distinct().withColumn(out, (F.row_number().over(Window.orderBy("c")) - 1).cast("int"))
+    names = final.select("c").distinct().join(df.select(F.col(key).alias("c"), *by), "c")
+    numbers = names.select("c", (F.row_number().over(Window.partitionBy(*by).orderBy("c")) - 1).cast("int").alias(out))
     return df.join(final.join(numbers, "c").select(F.col("a").alias(key), out), key, "left")

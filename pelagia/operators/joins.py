@@ -46,12 +46,12 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_a
     return got.select(*left.columns, *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
-def grid_join(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, distance: float) -> DataFrame:
-    """Pairs of points within a planar distance: right points go to their cell and its eight neighbours, an equi-join on
+def grid_join(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, distance: float, by: list[str] | None = None) -> DataFrame:
+    """Pairs of points (with equal `by` columns) within a planar distance: right points go to their cell and its eight neighbours, an equi-join on
     the cell leaves few candidates, the exact test follows."""
     cell = lambda c: F.floor(c / F.lit(distance)).cast("long")
     near = F.explode(F.array(*[F.struct((cell(F.col(rx)) + i).alias("__cx"), (cell(F.col(ry)) + j).alias("__cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     r = right.withColumn("__near", near).withColumn("__cx", F.col("__near.__cx")).withColumn("__cy", F.col("__near.__cy")).drop("__near")
     lft = left.withColumn("__cx", cell(F.col(lx))).withColumn("__cy", cell(F.col(ly)))
     close: Column = (F.col(lx) - F.col(rx)) * (F.col(lx) - F.col(rx)) + (F.col(ly) - F.col(ry)) * (F.col(ly) - F.col(ry)) <= distance * distance
-    return lft.join(r, ["__cx", "__cy"]).filter(close).drop("__cx", "__cy")
+    return lft.join(r, [*(by or []), "__cx", "__cy"]).filter(close).drop("__cx", "__cy")

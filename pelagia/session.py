@@ -131,7 +131,9 @@ class Connection:
         self.spark = spark
         self.root = root or tempfile.mkdtemp(prefix="pelagia-catalog-")
         self.datasets = datasets
-        self.rewriter = Rewriter(self._plain, _Functions(self), self._view, union_by_name)
+        self.rewriter = Rewriter(
+            self._plain, _Functions(self), self._view, union_by_name, lambda fn, source, *more: spatial.cluster_over(self.sql(source).df, fn, *more)
+        )
         self.catalog = Catalog(spark, self.root)
         self.catalog.run = lambda sql: self.sql(sql).df
         self.authority = Authority(f"{self.root}/auth.json")

@@ -199,6 +199,22 @@ def test_ragged_zarr(spark, tmp_path):
     assert readers.read_zarr(spark, f"{tmp_path}/r/zarr.json").count() == 4
 
 
+def test_clusters_over_windows(con):
+    con.spark.sql("SELECT id AS k, id % 2 AS half, CAST(id DIV 10 * 100 + id % 10 AS DOUBLE) AS x FROM range(40)").createOrReplaceTempView("pts")
+    got = con.sql("SELECT p.k, ST_ClusterDBSCAN(ST_Point(p.x, 0), 2.5, 3) OVER () AS c, 1 AS one FROM pts AS p WHERE k < 31 ORDER BY k").fetchall()
+    assert got == [(k, k // 10 if k < 30 else None, 1) for k in range(31)]
+    got = con.sql("SELECT *, coalesce(st_clusterdbscan(st_point(x, 0), 2.5, 3) OVER (PARTITION BY half), -1) AS c FROM (SELECT k, half, x FROM pts)").df
+    assert got.columns == ["k", "half", "x", "c"] and {(r.k, r.c) for r in got.collect()} == {(k, k // 10) for k in range(40)}
+    for over in ("", "PARTITION BY half"):
+        rows = con.sql(f"WITH q AS (SELECT * FROM pts) SELECT k, half, ST_ClusterKMeans(ST_Point(x, 0), 4) OVER ({over}) AS c FROM q QUALIFY row_number() OVER (ORDER BY k) > 0").fetchall()
+        groups = {}
+        for k, half, c in rows:
+            groups.setdefault((half if over else 0, c), set()).add(k // 10)
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == (8 if over else 4)
+    with pytest.raises(ValueError, match="OVER"):
+        con.sql("SELECT ST_ClusterKMeans(ST_Point(x, 0), 4) FROM pts")
+
+
 def test_iceberg_without_snapshot_and_missing(con, tmp_path):
     (tmp_path / "ice" / "metadata").mkdir(parents=True)
     meta = {"format-version": 2, "location": "x", "current-schema-id": 0, "schemas": [{"schema-id": 0, "fields": [{"id": 1, "name": "a", "type": "long", "required": True}]}], "snapshots": []}
