@@ -128,6 +128,10 @@ PAIRS = {
         "SELECT n_nationkey, CAST((n_nationkey + 1) * 2 AS DOUBLE) AS a, CAST(2 * (n_nationkey + 3) AS DOUBLE) AS p, CAST(5 * n_nationkey AS DOUBLE) AS d, 5 AS n, (n_nationkey + 1) / 2 AS c FROM nation",
     ),
     "geo_sql_overlay": ("SELECT n_nationkey, st_area(st_intersection(st_makeenvelope(0, 0, 10, 10), st_makeenvelope(5, 5, 6 + n_nationkey, 15))) AS i, st_area(st_union(st_makeenvelope(0, 0, 10, 10), st_makeenvelope(5, 5, 6 + n_nationkey, 15))) AS u FROM nation", "SELECT n_nationkey, least(5, 1 + n_nationkey) * 5.0::DOUBLE AS i, 100.0::DOUBLE + (1 + n_nationkey) * 10.0::DOUBLE - least(5, 1 + n_nationkey) * 5.0::DOUBLE AS u FROM nation"),
+    "geo_sql_cluster_window": (
+        "SELECT n_nationkey, ST_ClusterDBSCAN(ST_Point(n_regionkey * 1000, n_nationkey), 500, 3) OVER () AS c FROM nation",
+        "SELECT n_nationkey, CAST(dense_rank() OVER (ORDER BY m) - 1 AS INTEGER) AS c FROM (SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS m FROM nation)",
+    ),
     "geo_sql_text": ("SELECT n_nationkey, st_astext(st_geomfromtext('LINESTRING (0 0, 1 1)')) AS t, st_asgeojson(st_point(n_nationkey, 2)) AS j FROM nation", "SELECT n_nationkey, 'LINESTRING (0 0, 1 1)' AS t, '{\"type\":\"Point\",\"coordinates\":[' || n_nationkey || ',2]}' AS j FROM nation"),
 }
 

@@ -159,10 +159,60 @@ def of_footers(spark: SparkSession, files: list[str], fn, schema: str) -> DataFr
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",", infer_records: int | None = None) -> DataFrame:
-    """Header required. Types come from whole files (a late string widens its column); infer_records is accepted."""
+    """Header required. Types come from whole files (a late string widens its column); infer_records is accepted.
+
+    Many files take one job for their headers, one for the types in each, and one scan for each different header."""
     del infer_records
-    one = lambda f: spark.read.csv(f, header=True, sep=delimiter, inferSchema=True, enforceSchema=False, encoding="UTF-8")
-    return _merged([(f, one(f)) for f in expand(spark, paths)])
+    files = expand(spark, paths)
+    options = {"header": True, "sep": delimiter, "enforceSchema": False, "encoding": "UTF-8"}
+    if len(files) <= 16:
+        return _merged([(f, spark.read.csv(f, inferSchema=True, **options)) for f in files])
+    head = lambda path, f: [(path, f.read(1 << 20).split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8-sig"))]
+    groups: dict[str, list[str]] = {}
+    for f, line in sorted(map(tuple, of_footers(spark, files, head, "path string, head string").collect())):
+        groups.setdefault(line, []).append(f)
+    scans, schemas = [], {}
+    for fs in groups.values():
+        names = spark.read.csv(fs[0], **options).columns
+        scans.append((fs, names))
+        schemas |= _csv_types(spark, fs, names, options)
+    merged = merge_schemas([(f, schemas[f]) for f in files])
+    merged = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.NullType) else f.dataType) for f in merged.fields])
+    out = None
+    for fs, names in scans:
+        df = conform(spark.read.csv(fs, schema=T.StructType([merged[n] for n in names]), **options), merged)
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _csv_types(spark: SparkSession, files: list[str], names: list[str], options: dict) -> dict[str, T.StructType]:
+    """Of each file (all with these columns), the narrowest types that hold every value; columns without values are null."""
+    df = spark.read.csv(files, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]), **options)
+    tests = (
+        ("int", lambda c: c.rlike(r"^[+-]?\d+$") & c.try_cast("int").isNotNull()),
+        ("bigint", lambda c: c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull()),
+        ("double", lambda c: c.try_cast("double").isNotNull()),
+        ("date", lambda c: c.rlike(r"^\d{4}-\d\d-\d\d$") & c.try_cast("date").isNotNull()),
+        ("timestamp", lambda c: c.rlike(r"^\d{4}-\d\d") & c.try_cast("timestamp").isNotNull()),
+        ("boolean", lambda c: F.lower(c).isin("true", "false")),
+    )
+    # nulls take no part; every() of nothing is null: the column has no value
+    held = lambda c, fits: F.every(F.when(c.isNotNull(), fits(c)))
+    aggs = [F.struct(*[held(F.col(f"`{n}`"), fits).alias(kind) for kind, fits in tests]).alias(f"c{i}") for i, n in enumerate(names)]
+    plain = lambda path: re.sub(r"^(\w+):/+", r"\1:/", unquote(path))
+    found = {plain(r["path"]): r for r in df.groupBy(F.col("_metadata.file_path").alias("path")).agg(*aggs).collect()}
+    out = {}
+    for f in files:
+        fields, row = [], found.get(plain(f))
+        for i, n in enumerate(names):
+            marks = row[f"c{i}"] if row is not None else None
+            if marks is None or marks["int"] is None:
+                fields.append(T.StructField(n, T.NullType()))
+                continue
+            kind = next((k for k, _ in tests if marks[k]), "string")
+            fields.append(T.StructField(n, T._parse_datatype_string(kind)))
+        out[f] = T.StructType(fields)
+    return out
 
 
 def read_geoparquet(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

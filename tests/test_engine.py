@@ -215,6 +215,26 @@ def test_clusters_over_windows(con):
         con.sql("SELECT ST_ClusterKMeans(ST_Point(x, 0), 4) FROM pts")
 
 
+def test_many_csv_files(con, tmp_path):
+    from pelagia.sources import readers
+    from pelagia.types import WideningError
+
+    d = tmp_path / "many"
+    d.mkdir()
+    for k in range(20):
+        if k % 2:
+            (d / f"{k:02}.csv").write_text(f"v,name,day,t\n{k},n {k},2020-01-0{k % 9 + 1},2020-01-01T00:00:0{k % 10}\n,,,\n")
+        else:
+            (d / f"{k:02}.csv").write_text(f"v,extra,ok\r\n{k}.5,{3_000_000_000 + k},true\r\n")
+    df = readers.read_csv(con.spark, f"{d}/*.csv")
+    assert dict(df.dtypes) == {"v": "double", "extra": "bigint", "ok": "boolean", "name": "string", "day": "date", "t": "timestamp"}
+    assert df.count() == 30 and df.agg({"v": "sum"}).first()[0] == sum(range(20)) + 5 and df.filter("name = 'n 7' AND extra IS NULL").count() == 1
+    assert len(df.inputFiles()) == 20 and df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+    (d / "20.csv").write_text("v\nword\n")
+    with pytest.raises(WideningError, match="20.csv"):
+        readers.read_csv(con.spark, f"{d}/*.csv")
+
+
 def test_iceberg_without_snapshot_and_missing(con, tmp_path):
     (tmp_path / "ice" / "metadata").mkdir(parents=True)
     meta = {"format-version": 2, "location": "x", "current-schema-id": 0, "schemas": [{"schema-id": 0, "fields": [{"id": 1, "name": "a", "type": "long", "required": True}]}], "snapshots": []}
