@@ -392,6 +392,16 @@ def stream_event_windows(con: Connection, sf: str) -> DataFrame:
     return windowed_counts(con.spark, f"{sf}/events.parquet", "1 hour")
 
 
+def _depth_sql() -> str:
+    """The formula of pressure_to_depth, by Horner's rule."""
+    z, sin2 = "(p_retailprice * 1e-4::DOUBLE)", "pow(sin(radians(p_size)), 2)"
+    poly = f"{util._ENTHALPY[-1]!r}::DOUBLE"
+    for c in util._ENTHALPY[-2::-1]:
+        poly = f"({c!r}::DOUBLE + {z} * {poly})"
+    b = f"(9.780327::DOUBLE * (1 + (5.2792e-3::DOUBLE + 2.32e-5::DOUBLE * {sin2}) * {sin2}))"
+    return f"SELECT p_partkey, round(2 * h / (b + sqrt(b * b + 4 * 1.13e-7::DOUBLE * b * h)), 6) AS depth FROM (SELECT p_partkey, {z} * {poly} * 1e8::DOUBLE AS h, {b} AS b FROM part)"
+
+
 BUILT: dict[str, tuple[Callable[[Connection, str], DataFrame], str | None]] = {
     "read_parquet_sql": (read_parquet_sql, "SELECT l_returnflag, round(avg(l_quantity), 6) AS q, count(*) AS n FROM lineitem GROUP BY l_returnflag"),
     "params_bind": (params_bind, "SELECT n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 3"),
@@ -403,7 +413,7 @@ BUILT: dict[str, tuple[Callable[[Connection, str], DataFrame], str | None]] = {
     "dsl_geojson": (lambda con, sf: (_coords(con).createOrReplaceTempView("coords"), dsl(select=["c_custkey", "lon", "lat"], from_="coords", filter={"longitude_column": "lon", "latitude_column": "lat", "geometry": {"type": "Polygon", "coordinates": [[[-20, -20], [60, -20], [60, 50], [-20, 50], [-20, -20]]]}})(con, sf))[1], f"SELECT c_custkey, {LON} AS lon, {LAT} AS lat FROM customer WHERE {LON} > -20 AND {LON} < 60 AND {LAT} > -20 AND {LAT} < 50"),
     "fn_coalesce_label": (coalesce_label, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'B' WHEN o_orderkey % 2 = 0 THEN 'A' END AS label FROM orders"),
     "fn_map_units": (map_units, "SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN p_retailprice * 1.025 WHEN 2 THEN p_retailprice * 44.66080 END, 6) AS v FROM part"),
-    "fn_pressure_to_depth": (pressure_to_depth, None),
+    "fn_pressure_to_depth": (pressure_to_depth, _depth_sql()),
     "fn_cmems_bigram": (cmems_bigram, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'SDN:L05::30' WHEN 1 THEN 'SDN:L05::130' WHEN 2 THEN 'SDN:L05::132' END AS l05, CASE p_partkey % 5 WHEN 0 THEN 'SDN:L06::30' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'SDN:L06::70' ELSE 'SDN:L06::30' END WHEN 2 THEN 'SDN:L06::30' WHEN 3 THEN 'SDN:L06::27' END AS l06 FROM part"),
     "fn_bracket_codes": (bracket_codes, "SELECT p_partkey, 'SDN:L05::' || p_size AS one, 'SDN:L05::' || p_size || ' SDN:L05::X' || p_size AS many FROM part"),
     "fn_vocabulary": (vocabulary_lookup, "SELECT c_custkey, n_name AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
@@ -433,7 +443,7 @@ BUILT: dict[str, tuple[Callable[[Connection, str], DataFrame], str | None]] = {
     "file_pruning": (file_pruning, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 500"),
     "preset": (preset, "SELECT n_name FROM nation WHERE n_regionkey = 1"),
     "delta_scan": (delta_scan, "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 <> 0"),
-    "schema_function": (schema_function, None),
+    "schema_function": (schema_function, "SELECT column_name, CASE data_type WHEN 'INTEGER' THEN 'Int32' WHEN 'VARCHAR' THEN 'Utf8' ELSE data_type END AS data_type, is_nullable = 'YES' AS nullable FROM information_schema.columns WHERE table_name = 'nation'"),
     "list_datasets": (list_datasets, None),
     "stream_event_windows": (stream_event_windows, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
 }
