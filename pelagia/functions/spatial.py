@@ -243,62 +243,73 @@ def box_filter(df: DataFrame, geom: str, bbox: str, x1: float, y1: float, x2: fl
 
 
 # ------------------------------------------------------------------ clustering
-def cluster_kmeans(df: DataFrame, x: str, y: str, k: int, out: str = "cluster", rounds: int = 50, seed: int = 42) -> DataFrame:
-    """Lloyd's algorithm on points. Only the k centres live on the driver; each round is one aggregation whose
-    assignment is a Column expression. Starts from a farthest-point choice over a sample of bounded size."""
+def _distinct_points(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """by, x, y and the number n of rows at each distinct point."""
     pts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    sample = np.array([tuple(r) for r in pts.select(x, y).orderBy(F.xxhash64(F.col(x), F.col(y), F.lit(seed)), x, y).limit(2000).collect()], float).reshape(-1, 2)
-    if not len(sample):
+    return pts.groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
+
+
+def _least_hash(seed: int) -> Column:
+    """The point that the search for centres starts from: of least hash, whatever the order of the rows."""
+    return F.min_by(F.struct("x", "y"), F.struct(F.xxhash64("x", "y", F.lit(seed)), "x", "y"))
+
+
+def _mean(c: str) -> Column:
+    return F.sum(F.col(c) * F.col("n")) / F.sum("n")
+
+
+def cluster_kmeans(df: DataFrame, x: str, y: str, k: int, out: str = "cluster", rounds: int = 50, seed: int = 42) -> DataFrame:
+    """Lloyd's algorithm on points. Only the k centres live on the driver; each round is one aggregation over the distinct
+    points and their counts, whose assignment is a Column expression. Starts from a farthest-point choice over all points,
+    so there are k centres where there are k distinct points."""
+    from pelagia.operators.graph import cut
+
+    pts = cut(_distinct_points(df, [], x, y))
+    first = pts.agg(_least_hash(seed).alias("p")).first()["p"]
+    if first is None:
         return df.withColumn(out, F.lit(None).cast("int"))
-    centres = [sample[0]]
-    while len(centres) < min(k, len(np.unique(sample, axis=0))):
-        far = np.min([((sample - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(sample[int(far.argmax())])
+    centres = [np.array(first, float)]
+    while len(centres) < k:
+        d = [(F.col("x") - float(a)) * (F.col("x") - float(a)) + (F.col("y") - float(b)) * (F.col("y") - float(b)) for a, b in centres]
+        far = pts.agg(F.max(F.struct((F.least(*d) if len(d) > 1 else d[0]).alias("d"), "x", "y")).alias("f")).first()["f"]
+        if not far["d"] > 0:
+            break
+        centres.append(np.array((far["x"], far["y"]), float))
 
-    def nearest(cs: Sequence[np.ndarray]) -> Column:
+    def nearest(cs: Sequence[np.ndarray], x: str, y: str) -> Column:
         d = [F.struct(((F.col(x) - float(a)) * (F.col(x) - float(a)) + (F.col(y) - float(b)) * (F.col(y) - float(b))).alias("d"), F.lit(i).alias("i")) for i, (a, b) in enumerate(cs)]
         return (F.least(*d) if len(d) > 1 else d[0])["i"]
 
     for _ in range(rounds):
-        got = {r["c"]: (r["a"], r["b"]) for r in pts.groupBy(nearest(centres).alias("c")).agg(F.avg(x).alias("a"), F.avg(y).alias("b")).collect()}
+        got = {r["c"]: (r["a"], r["b"]) for r in pts.groupBy(nearest(centres, "x", "y").alias("c")).agg(_mean("x").alias("a"), _mean("y").alias("b")).collect()}
         new = [np.array(got.get(i, c), float) for i, c in enumerate(centres)]
         moved = max(float(np.abs(a - b).max()) for a, b in zip(new, centres))
         centres = new
         if moved < 1e-9:
             break
-    return df.withColumn(out, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), nearest(centres)))
+    return df.withColumn(out, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), nearest(centres, x, y)))
 
 
 def _kmeans_by(df: DataFrame, by: str, x: str, y: str, k: int, out: str, rounds: int = 50, seed: int = 42) -> DataFrame:
     """cluster_kmeans() within each value of a (never null) column. Centres are a table of one row for each value, joined
     to the points in every round; only whether any of them moved comes to the driver."""
-    from pyspark.sql import Window
-
     from pelagia.operators.graph import cut
 
-    pts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.col(x), F.col(y), F.lit(seed)), x, y)
-    sample = pts.select(by, x, y).withColumn("__n", F.row_number().over(order)).filter("__n <= 2000")
-    sample = sample.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("__n", F.col(x).alias("x"), F.col(y).alias("y")))).alias("pts"))
-
-    @F.pandas_udf("array<struct<x: double, y: double>>")
-    def begin(lists: pd.Series) -> pd.Series:
-        found = []
-        for rows in lists:
-            p = np.array([(r["x"], r["y"]) for r in rows], float)
-            cs = [p[0]]
-            while len(cs) < min(k, len(np.unique(p, axis=0))):
-                cs.append(p[int(np.min([((p - c) ** 2).sum(1) for c in cs], axis=0).argmax())])
-            found.append([{"x": float(a), "y": float(b)} for a, b in cs])
-        return pd.Series(found)
-
-    def nearest() -> Column:
-        far = lambda c, i: F.struct(((F.col(x) - c["x"]) * (F.col(x) - c["x"]) + (F.col(y) - c["y"]) * (F.col(y) - c["y"])).alias("d"), i.alias("i"))
-        return F.array_min(F.transform("__centres", far))["i"]
+    pts = cut(_distinct_points(df, [by], x, y))
 
-    centres = cut(sample.select(by, begin("pts").alias("__centres")))
+    def nearest(x: str, y: str) -> Column:
+        far = lambda c, i: F.struct(((F.col(x) - c["x"]) * (F.col(x) - c["x"]) + (F.col(y) - c["y"]) * (F.col(y) - c["y"])).alias("d"), i.alias("i"))
+        return F.array_min(F.transform("__centres", far))
+
+    centres = cut(pts.groupBy(by).agg(F.array(_least_hash(seed)).alias("__centres")))
+    for most in range(2, k + 1):
+        far = pts.join(centres, by).groupBy(by).agg(F.max(F.struct(nearest("x", "y")["d"].alias("d"), F.struct("x", "y").alias("p"))).alias("f"))
+        grown = F.when(F.col("f.d") > 0, F.concat("__centres", F.array("f.p"))).otherwise(F.col("__centres"))
+        centres = cut(centres.join(far, by).select(by, grown.alias("__centres")))
+        if (centres.agg(F.max(F.size("__centres"))).first()[0] or 0) < most:  # no value has more distinct points
+            break
     for _ in range(rounds):
-        mean = pts.join(centres, by).groupBy(by, nearest().alias("i")).agg(F.struct(F.avg(x).alias("x"), F.avg(y).alias("y")).alias("c"))
+        mean = pts.join(centres, by).groupBy(by, nearest("x", "y")["i"].alias("i")).agg(F.struct(_mean("x").alias("x"), _mean("y").alias("y")).alias("c"))
         means = mean.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))
         moved = lambda c, i: F.coalesce(F.col("m")[i], c)
         new = cut(centres.join(means, by).select(by, F.transform("__centres", moved).alias("__centres"), F.col("__centres").alias("__old")))
@@ -308,7 +319,7 @@ def _kmeans_by(df: DataFrame, by: str, x: str, y: str, k: int, out: str, rounds:
         if still is None or still < 1e-9:
             break
     known = F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("__centres").isNotNull()
-    return df.join(centres, by, "left").withColumn(out, F.when(known, nearest()).cast("int")).drop("__centres")
+    return df.join(centres, by, "left").withColumn(out, F.when(known, nearest(x, y)["i"]).cast("int")).drop("__centres")
 
 
 def cluster_over(df: DataFrame, function: str, args: Sequence[float], parts: int, out: str) -> DataFrame:

@@ -283,6 +283,20 @@ def test_clusters(con):
     assert len({k[i] for i in range(3)}) == 3 and all(k[i] == k[i % 3] for i in range(60))
 
 
+def test_kmeans_of_repeated_points(con):
+    """Thousands of copies of a few places: still k clusters, one a place, over the whole input and in every partition."""
+    df = con.spark.sql("SELECT id, id % 2 AS half, CAST(if(id < 24000, 0, id % 4) * 10 AS DOUBLE) AS x, CAST(if(id < 24000, 0, id % 4) AS DOUBLE) AS y FROM range(24400)")
+    got = {(r.x, r.cluster) for r in spatial.cluster_kmeans(df, "x", "y", 4).select("x", "cluster").distinct().collect()}
+    assert len(got) == 4 and {x for x, _ in got} == {0, 10, 20, 30} and {c for _, c in got} == {0, 1, 2, 3}
+    df.createOrReplaceTempView("copies")
+    for over, k in (("", 4), ("PARTITION BY half", 3)):
+        rows = con.sql(f"SELECT DISTINCT {'half' if over else '0'} AS h, x, c FROM (SELECT half, x, ST_ClusterKMeans(ST_Point(x, y), {k}) OVER ({over}) AS c FROM copies)").fetchall()
+        # x = 0 stands in both halves: its places are 0 and 20 for even ids, 0, 10 and 30 for odd ones
+        assert len(rows) == len({(h, c) for h, _, c in rows}) == (5 if over else 4)
+    few = spatial.cluster_kmeans(df.filter("x IN (0, 10)"), "x", "y", 4)
+    assert few.select("cluster").distinct().count() == 2
+
+
 def test_depth_and_vocabularies(spark):
     from pyspark.sql import functions as F
 
