@@ -33,14 +33,14 @@ def first_match(points: DataFrame, spans: DataFrame, key: str, at: str, start: s
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str]) -> DataFrame:
-    """Each left row with `values` of the right row of its key with the latest right_at <= left_at.
+    """Each left row with `values` of the right row of its key with the latest right_at <= left_at, of several the one of greatest values.
 
     One union, one window: the last right row so far is carried forward, so neither side is multiplied."""
     tagged = left.withColumn("__side", F.lit(1)).withColumn("__at", F.col(left_at)).withColumn("__value", F.lit(None).cast(
         "struct<" + ", ".join(f"`{v}`:{dict(right.dtypes)[v]}" for v in values) + ">"))
     other = right.select(
         key, F.lit(0).alias("__side"), F.col(right_at).alias("__at"), F.struct(*values).alias("__value"))
-    w = Window.partitionBy(key).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy("__at", "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
     both = tagged.unionByName(other, allowMissingColumns=True)
     got = both.withColumn("__found", F.last("__value", True).over(w)).filter("__side = 1")
     return got.select(*left.columns, *[F.col(f"__found.{v}").alias(v) for v in values])

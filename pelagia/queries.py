@@ -198,15 +198,16 @@ _SPANS = "SELECT user_id, epoch_us(ts) / 1e6 AS s, lead(epoch_us(ts) / 1e6) OVER
 
 
 def join_asof(con: Connection, sf: str) -> DataFrame:
+    """Each click with the user's latest event of any other type: every event is on one side."""
     e = con.spark.table("events")
-    left = e.filter("event_type = 'click' OR event_id % 3 = 0").select("event_id", "user_id", "ts")
-    right = e.filter("event_id % 3 = 1").select("user_id", F.col("ts").alias("rts"), F.col("event_id").alias("prev"))
+    left = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    right = e.filter("event_type IS DISTINCT FROM 'click'").select("user_id", F.col("ts").alias("rts"), F.col("event_id").alias("prev"))
     return joins.asof_join(left, right, "user_id", "ts", "rts", ["prev"]).select("event_id", "prev")
 
 
 def join_spatial_grid(con: Connection, sf: str) -> DataFrame:
     p = _coords(con)
-    q = p.select(F.col("c_custkey").alias("other"), F.col("lon").alias("x"), F.col("lat").alias("y")).filter("other % 5 = 0")
+    q = p.select(F.col("c_custkey").alias("other"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     return joins.grid_join(p, q, "lon", "lat", "x", "y", 6.0).select("c_custkey", "other")
 
 
@@ -418,8 +419,8 @@ BUILT: dict[str, tuple[Callable[[Connection, str], DataFrame], str | None]] = {
     "fn_bracket_codes": (bracket_codes, "SELECT p_partkey, 'SDN:L05::' || p_size AS one, 'SDN:L05::' || p_size || ' SDN:L05::X' || p_size AS many FROM part"),
     "fn_vocabulary": (vocabulary_lookup, "SELECT c_custkey, n_name AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
     "join_callsign_interval": (join_callsign_interval, f"WITH s AS ({_SPANS}) SELECT p.event_id, min(s.hit) AS hit FROM (SELECT event_id, user_id, epoch_us(ts) / 1e6 + 1800 AS t FROM events) p LEFT JOIN s ON s.user_id = p.user_id AND s.s <= p.t AND (s.e IS NULL OR p.t < s.e) GROUP BY p.event_id"),
-    "join_asof": (join_asof, "SELECT l.event_id, (SELECT max(r.event_id) FROM events r WHERE r.user_id = l.user_id AND r.event_id % 3 = 1 AND r.ts = (SELECT max(q.ts) FROM events q WHERE q.user_id = l.user_id AND q.event_id % 3 = 1 AND q.ts <= l.ts)) AS prev FROM events l WHERE l.event_type = 'click' OR l.event_id % 3 = 0"),
-    "join_spatial_grid": (join_spatial_grid, f"WITH p AS (SELECT c_custkey, {LON} AS lon, {LAT} AS lat FROM customer) SELECT a.c_custkey, b.c_custkey AS other FROM p a JOIN p b ON b.c_custkey % 5 = 0 AND (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat) <= 36"),
+    "join_asof": (join_asof, "SELECT l.event_id, (SELECT max(r.event_id) FROM events r WHERE r.user_id = l.user_id AND r.event_type IS DISTINCT FROM 'click' AND r.ts = (SELECT max(q.ts) FROM events q WHERE q.user_id = l.user_id AND q.event_type IS DISTINCT FROM 'click' AND q.ts <= l.ts)) AS prev FROM events l WHERE l.event_type = 'click'"),
+    "join_spatial_grid": (join_spatial_grid, f"WITH p AS (SELECT c_custkey, {LON} AS lon, {LAT} AS lat FROM customer) SELECT a.c_custkey, b.c_custkey AS other FROM p a JOIN p b ON (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat) <= 36"),
     "st_extent": (st_extent, f"SELECT min({LON}) AS xmin, min({LAT}) AS ymin, max({LON}) AS xmax, max({LAT}) AS ymax FROM customer"),
     "geo_distance": (geo_distance, f"SELECT c_custkey, round(sqrt(power({LON} - 4, 2) + power({LAT} - 52, 2)), 6) AS planar, round(2 * 6371008.771415059 * asin(least(1, sqrt(power(sin(radians(52 - {LAT}) / 2), 2) + cos(radians({LAT})) * cos(radians(52)) * power(sin(radians(4 - {LON}) / 2), 2)))), 2) AS sphere FROM customer"),
     "geo_within_rectangle": (within_rectangle, f"SELECT c_custkey FROM customer WHERE {LON} > -20 AND {LON} < 60 AND {LAT} > -20 AND {LAT} < 50"),

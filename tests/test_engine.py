@@ -297,6 +297,26 @@ def test_kmeans_of_repeated_points(con):
     assert few.select("cluster").distinct().count() == 2
 
 
+def test_joins_cover_all_rows(con):
+    """The as-of and the spatial query against brute force over every row of a small fixture."""
+    from pelagia import queries
+
+    spark, rng = con.spark, np.random.default_rng(1)
+    events = [(i, int(u), ("click", "view", "error")[t], int(s)) for i, (u, t, s) in enumerate(zip(rng.integers(0, 4, 90), rng.integers(0, 3, 90), rng.integers(0, 40, 90)))]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, s long").selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(s) AS ts").createOrReplaceTempView("events")
+    spark.range(1, 61).withColumnRenamed("id", "c_custkey").createOrReplaceTempView("customer")
+    queries._shown.clear()  # other tests get the tables of their folder again
+    want = set()
+    for i, u, kind, s in events:
+        if kind == "click":
+            seen = [(t, j) for j, v, other, t in events if v == u and other != "click" and t <= s]
+            want.add((i, max(seen)[1] if seen else None))
+    assert {tuple(r) for r in queries.join_asof(con, "").collect()} == want
+    at = {k: (k * 37 % 360 - 180, k * 17 % 180 - 90) for k in range(1, 61)}
+    near = sorted((a, b) for a in at for b in at if (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2 <= 36)
+    assert sorted(map(tuple, queries.join_spatial_grid(con, "").collect())) == near and len({b for _, b in near}) == 60
+
+
 def test_depth_and_vocabularies(spark):
     from pyspark.sql import functions as F
 
