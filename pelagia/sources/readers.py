@@ -161,13 +161,16 @@ def of_footers(spark: SparkSession, files: list[str], fn, schema: str) -> DataFr
 def read_csv(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",", infer_records: int | None = None) -> DataFrame:
     """Header required. Types come from whole files (a late string widens its column); infer_records is accepted.
 
-    Many files take one job for their headers, one for the types in each, and one scan for each different header."""
+    Files take one job for their headers, one for the types in each, and one scan for each different header."""
     del infer_records
     files = expand(spark, paths)
     options = {"header": True, "sep": delimiter, "enforceSchema": False, "encoding": "UTF-8"}
-    if len(files) <= 16:
-        return _merged([(f, spark.read.csv(f, inferSchema=True, **options)) for f in files])
-    head = lambda path, f: [(path, f.read(1 << 20).split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8-sig"))]
+
+    def head(path: str, f) -> list[tuple]:
+        if codec := {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}.get(path[path.rfind(".") :]):
+            f = pa.CompressedInputStream(f, codec)
+        return [(path, f.read(1 << 20).split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8-sig", "replace"))]
+
     groups: dict[str, list[str]] = {}
     for f, line in sorted(map(tuple, of_footers(spark, files, head, "path string, head string").collect())):
         groups.setdefault(line, []).append(f)
@@ -187,10 +190,13 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], delimiter: str = "
 
 def _csv_types(spark: SparkSession, files: list[str], names: list[str], options: dict) -> dict[str, T.StructType]:
     """Of each file (all with these columns), the narrowest types that hold every value; columns without values are null."""
+    if not names:  # empty files
+        return {f: T.StructType([]) for f in files}
     df = spark.read.csv(files, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]), **options)
     tests = (
         ("int", lambda c: c.rlike(r"^[+-]?\d+$") & c.try_cast("int").isNotNull()),
         ("bigint", lambda c: c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull()),
+        ("decimal", lambda c: c.rlike(r"^[+-]?0*\d{1,38}$")),
         ("double", lambda c: c.try_cast("double").isNotNull()),
         ("date", lambda c: c.rlike(r"^\d{4}-\d\d-\d\d$") & c.try_cast("date").isNotNull()),
         ("timestamp", lambda c: c.rlike(r"^\d{4}-\d\d") & c.try_cast("timestamp").isNotNull()),
@@ -198,7 +204,8 @@ def _csv_types(spark: SparkSession, files: list[str], names: list[str], options:
     )
     # nulls take no part; every() of nothing is null: the column has no value
     held = lambda c, fits: F.every(F.when(c.isNotNull(), fits(c)))
-    aggs = [F.struct(*[held(F.col(f"`{n}`"), fits).alias(kind) for kind, fits in tests]).alias(f"c{i}") for i, n in enumerate(names)]
+    digits = lambda c: F.max(F.length(F.regexp_replace(c, r"^[+-]?0*", ""))).alias("digits")
+    aggs = [F.struct(*[held(F.col(f"`{n}`"), fits).alias(kind) for kind, fits in tests], digits(F.col(f"`{n}`"))).alias(f"c{i}") for i, n in enumerate(names)]
     plain = lambda path: re.sub(r"^(\w+):/+", r"\1:/", unquote(path))
     found = {plain(r["path"]): r for r in df.groupBy(F.col("_metadata.file_path").alias("path")).agg(*aggs).collect()}
     out = {}
@@ -210,6 +217,8 @@ def _csv_types(spark: SparkSession, files: list[str], names: list[str], options:
                 fields.append(T.StructField(n, T.NullType()))
                 continue
             kind = next((k for k, _ in tests if marks[k]), "string")
+            if kind == "decimal":
+                kind = f"decimal({marks['digits']},0)"
             fields.append(T.StructField(n, T._parse_datatype_string(kind)))
         out[f] = T.StructType(fields)
     return out

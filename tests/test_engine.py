@@ -235,6 +235,24 @@ def test_many_csv_files(con, tmp_path):
         readers.read_csv(con.spark, f"{d}/*.csv")
 
 
+def test_csv_types_do_not_depend_on_the_number_of_files(con, tmp_path):
+    import gzip
+
+    from pelagia.sources import readers
+
+    rows = [("12345678901234567891", "1", ""), ("12345678901234567892", "2.5", "")]
+    for n in (1, 16, 17):
+        d = tmp_path / f"n{n}"
+        d.mkdir()
+        for k in range(n):
+            (d / f"{k:02}.csv").write_text("id,v,none\n" + "".join(",".join(r) + "\n" for r in rows))
+        df = readers.read_csv(con.spark, f"{d}/*.csv")
+        assert df.dtypes == [("id", "decimal(20,0)"), ("v", "double"), ("none", "string")]
+        assert sorted(str(r.id) for r in df.select("id").distinct().collect()) == [r[0] for r in rows] and df.count() == 2 * n
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"id\n" + b"9" * 39 + b"\n"))
+    assert readers.read_csv(con.spark, f"{tmp_path}/z.csv.gz").dtypes == [("id", "double")]
+
+
 def test_iceberg_without_snapshot_and_missing(con, tmp_path):
     (tmp_path / "ice" / "metadata").mkdir(parents=True)
     meta = {"format-version": 2, "location": "x", "current-schema-id": 0, "schemas": [{"schema-id": 0, "fields": [{"id": 1, "name": "a", "type": "long", "required": True}]}], "snapshots": []}
