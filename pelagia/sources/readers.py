@@ -306,6 +306,28 @@ def expand_all(spark: SparkSession, folder: str) -> list[str]:
 
 
 # ------------------------------------------------------------------ Delta and Iceberg
+#: Reader features that change nothing here, or whose use is looked for in the log and raises.
+_DELTA_FEATURES = {"timestampNtz", "vacuumProtocolCheck", "columnMapping", "deletionVectors", "v2Checkpoint"}
+
+
+def _delta_known(location: str, protocol: dict, meta: dict, vectors: bool) -> None:
+    """Raises on what read_delta() would read wrongly."""
+    if other := set(protocol.get("readerFeatures") or []) - _DELTA_FEATURES:
+        raise ValueError(f"{location}: reader features {sorted(other)} are not supported")
+    if (protocol.get("minReaderVersion") or 1) > 3:
+        raise ValueError(f"{location}: reader version {protocol['minReaderVersion']} is not supported")
+    if (meta.get("configuration") or {}).get("delta.columnMapping.mode", "none") != "none":
+        raise ValueError(f"{location}: column mapping is not supported")
+    if vectors:
+        raise ValueError(f"{location}: deletion vectors are not supported")
+
+
+def _delta_key(a: dict) -> tuple:
+    """What names a logical file: its path and its deletion vector."""
+    v = a.get("deletionVector") or {}
+    return a["path"], v.get("storageType"), v.get("pathOrInlineDv"), v.get("offset")
+
+
 def read_delta(spark: SparkSession, location: str, version: int | str | None = None) -> DataFrame:
     """The table's active files at a version, a time (RFC 3339) or now, from the JSON log and Parquet checkpoints."""
     logs = sorted(f for f in expand_all(spark, f"{location.rstrip('/')}/_delta_log"))
@@ -335,28 +357,34 @@ def read_delta(spark: SparkSession, location: str, version: int | str | None = N
     if version > last:
         raise ValueError(f"{location} has no version {version}")
     base = max((p for p in points if p <= version), default=None)
-    active: dict[str, dict] = {}
-    meta = None
+    active: dict[tuple, dict] = {}
+    meta, protocol = None, {}
     if base is not None:
         files = [f for f in logs if re.search(rf"/{base:020d}\.checkpoint.*\.parquet$", f)]
         df = spark.read.parquet(*files)
-        for r in df.filter("add IS NOT NULL").select("add.path", "add.partitionValues").collect():
-            active[r[0]] = dict(r[1] or {})
+        if "sidecar" in df.columns and df.filter("sidecar IS NOT NULL").limit(1).count():
+            raise ValueError(f"{location}: checkpoints with sidecars are not supported")
+        vector = F.col("add.deletionVector") if "deletionVector" in df.schema["add"].dataType.names else F.lit(None)
+        for r in df.filter("add IS NOT NULL").select("add.path", "add.partitionValues", vector.alias("v")).collect():
+            active[_delta_key({"path": r[0], "deletionVector": r["v"].asDict() if r["v"] else None})] = dict(r[1] or {})
+        if "protocol" in df.columns:
+            protocol = next((json.loads(r[0]) for r in df.filter("protocol IS NOT NULL").select(F.to_json("protocol")).collect()), {})
         meta = next((json.loads(r[0]) for r in df.filter("metaData IS NOT NULL").select(F.to_json("metaData")).collect()), None)
     for v in range(0 if base is None else base + 1, version + 1):
         if v not in commits:
             raise ValueError(f"{location}: the log of version {v} is missing")
         for line in read_text(spark, commits[v]).splitlines():
             a = json.loads(line) if line.strip() else {}
-            meta = a.get("metaData", meta)
+            meta, protocol = a.get("metaData", meta), a.get("protocol", protocol)
             if "remove" in a:
-                active.pop(a["remove"]["path"], None)
+                active.pop(_delta_key(a["remove"]), None)
             if "add" in a:
-                active[a["add"]["path"]] = a["add"].get("partitionValues") or {}
+                active[_delta_key(a["add"])] = a["add"].get("partitionValues") or {}
+    _delta_known(location, protocol, meta, any(vector for _, vector, *_ in active))
     schema = T.StructType.fromJson(json.loads(meta["schemaString"]))
     parts = meta.get("partitionColumns") or []
     groups: dict[tuple, list[str]] = {}
-    for path, values in active.items():
+    for (path, *_), values in active.items():
         full = path if "://" in path else f"{location.rstrip('/')}/{unquote(path)}"
         groups.setdefault(tuple(values.get(p) for p in parts), []).append(full)
     out = None
@@ -383,8 +411,60 @@ def _iceberg_type(t) -> str:
     return "struct<" + ",".join(f"`{f['name']}`:{_iceberg_type(f['type'])}" for f in t["fields"]) + ">"
 
 
+def _iceberg_ids(fields: list[dict], above: str = "") -> dict[str, int]:
+    """Dotted name -> field id of columns and nested fields."""
+    out = {}
+    for f in fields:
+        name, t = above + f["name"], f["type"]
+        out[name] = f["id"]
+        while isinstance(t, dict) and t["type"] in ("list", "map"):
+            if t["type"] == "map" and isinstance(t["key"], dict) and t["key"]["type"] == "struct":
+                out |= _iceberg_ids(t["key"]["fields"], f"{name}.key.")
+            name, t = (f"{name}.element", t["element"]) if t["type"] == "list" else (f"{name}.value", t["value"])
+        if isinstance(t, dict):
+            out |= _iceberg_ids(t["fields"], f"{name}.")
+    return out
+
+
+def _parquet_ids(path: str, f) -> list[tuple]:
+    """path and the JSON of dotted name -> field id, from the footer; fields without ids are left out."""
+    import pyarrow.parquet as pq
+
+    ids: dict[str, int] = {}
+
+    def walk(field: pa.Field, name: str) -> None:
+        if b"PARQUET:field_id" in (field.metadata or {}):
+            ids[name] = int(field.metadata[b"PARQUET:field_id"])
+        t = field.type
+        if pa.types.is_struct(t):
+            for x in t:
+                walk(x, f"{name}.{x.name}")
+        elif pa.types.is_map(t):
+            walk(t.key_field, f"{name}.key")
+            walk(t.item_field, f"{name}.value")
+        elif pa.types.is_list(t) or pa.types.is_large_list(t):
+            walk(t.value_field, f"{name}.element")
+
+    for field in pq.read_schema(f):
+        walk(field, field.name)
+    return [(path, json.dumps(ids))]
+
+
+def _iceberg_known(spark: SparkSession, location: str, schemas: list[dict], fields: list[dict], data: list[str]) -> None:
+    """Raises where a column's name has stood, in another schema or in a data file, for another field, or its field for
+    another name: files are read by name."""
+    want = _iceberg_ids(fields)
+    names = {i: n for n, i in want.items()}
+    older = [("an earlier schema", _iceberg_ids(s["fields"])) for s in schemas]
+    files = [(r["path"], json.loads(r["ids"])) for r in of_footers(spark, data, _parquet_ids, "path string, ids string").collect()] if data else []
+    for where, have in (*older, *files):
+        for n, i in have.items():
+            if names.get(i, n) != n or want.get(n, i) != i:
+                raise ValueError(f"{location}: field {i} is named {n} in {where}; renamed columns and names used again are not supported")
+
+
 def read_iceberg(spark: SparkSession, location: str, snapshot_id: int | None = None) -> DataFrame:
-    """The data files of a snapshot (the current one if not named), without delete files (those raise)."""
+    """The data files of a snapshot (the current one if not named), without delete files and renamed columns (those raise)."""
     location = location.rstrip("/")
     if location.endswith(".metadata.json"):
         chosen = location
@@ -424,6 +504,7 @@ def read_iceberg(spark: SparkSession, location: str, snapshot_id: int | None = N
             if f.get("content", 0):
                 raise ValueError(f"{location}: delete files are not supported")
             data.append(here(f["file_path"]))
+    _iceberg_known(spark, location, meta.get("schemas", []), schema["fields"], data)
     return spark.read.schema(kind).parquet(*data) if data else spark.createDataFrame([], kind)
 
 

@@ -253,6 +253,61 @@ def test_csv_types_do_not_depend_on_the_number_of_files(con, tmp_path):
     assert readers.read_csv(con.spark, f"{tmp_path}/z.csv.gz").dtypes == [("id", "double")]
 
 
+def test_delta_raises_on_what_it_cannot_read(con, tmp_path):
+    d = tmp_path / "delta"
+    (d / "_delta_log").mkdir(parents=True)
+    con.spark.range(4).coalesce(1).write.parquet(str(d / "p"))
+    name = next(f"p/{f}" for f in os.listdir(d / "p") if f.endswith(".parquet"))
+    schema = con.spark.range(1).schema.json()
+    vector = {"storageType": "i", "pathOrInlineDv": "x", "sizeInBytes": 1, "cardinality": 1}
+
+    def read(protocol=None, conf=None, dv=None, later=()):
+        add = {"path": name, "partitionValues": {}} | ({"deletionVector": dv} if dv else {})
+        first = [{"metaData": {"schemaString": schema, "partitionColumns": [], "configuration": conf or {}}}, {"add": add}]
+        first += [{"protocol": protocol}] if protocol else []
+        (d / "_delta_log" / f"{0:020d}.json").write_text("\n".join(map(json.dumps, first)))
+        (d / "_delta_log" / f"{1:020d}.json").write_text("\n".join(map(json.dumps, later or [{"commitInfo": {}}])))
+        return con.sql("SELECT * FROM read_delta('delta')").fetchall()
+
+    assert len(read({"minReaderVersion": 3, "readerFeatures": ["timestampNtz", "deletionVectors"]})) == 4
+    for kwargs, word in (
+        ({"protocol": {"minReaderVersion": 3, "readerFeatures": ["variantType"]}}, "variantType"),
+        ({"conf": {"delta.columnMapping.mode": "name"}}, "column mapping"),
+        ({"dv": vector}, "deletion vectors"),
+        ({"later": [{"add": {"path": name, "partitionValues": {}, "deletionVector": vector}}, {"remove": {"path": name}}]}, "deletion vectors"),
+    ):
+        with pytest.raises(ValueError, match=word):
+            read(**kwargs)
+    assert len(read(dv=vector, later=[{"remove": {"path": name, "deletionVector": vector}}, {"add": {"path": name, "partitionValues": {}}}])) == 4
+    (d / "_delta_log" / f"{0:020d}.json").unlink()
+    point = "SELECT CAST(NULL AS STRUCT<path: STRING, partitionValues: MAP<STRING, STRING>>) AS add, CAST(NULL AS STRUCT<schemaString: STRING>) AS metaData, named_struct('path', 's') AS sidecar"
+    con.spark.sql(point).coalesce(1).write.parquet(str(tmp_path / "point"))
+    os.rename(next((tmp_path / "point").glob("*.parquet")), d / "_delta_log" / f"{0:020d}.checkpoint.parquet")
+    with pytest.raises(ValueError, match="sidecars"):
+        con.sql("SELECT * FROM read_delta('delta')")
+
+
+def test_iceberg_raises_on_changed_names(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from pelagia.sources.readers import _iceberg_known
+
+    field = lambda i, n: {"id": i, "name": n, "type": "long"}
+    nested = {"id": 5, "name": "s", "type": {"type": "list", "element-id": 6, "element": {"type": "struct", "fields": [field(7, "x")]}}}
+    at = lambda i: {"PARQUET:field_id": str(i)}
+    inner = pa.list_(pa.field("element", pa.struct([pa.field("x", pa.int64(), metadata=at(7))]), metadata=at(6)))
+    path = str(tmp_path / "a.parquet")
+    pq.write_table(pa.table([[1], [[{"x": 2}]]], schema=pa.schema([pa.field("a", pa.int64(), metadata=at(1)), pa.field("s", inner, metadata=at(5))])), path)
+    _iceberg_known(spark, "t", [], [field(1, "a"), nested, field(9, "new")], [path])
+    renamed = json.loads(json.dumps(nested).replace('"x"', '"y"'))
+    for fields in ([field(1, "b"), nested], [field(2, "a"), nested], [field(1, "a"), renamed]):
+        with pytest.raises(ValueError, match="named"):
+            _iceberg_known(spark, "t", [], fields, [path])
+    with pytest.raises(ValueError, match="earlier schema"):
+        _iceberg_known(spark, "t", [{"fields": [field(1, "a")]}], [field(1, "b")], [])
+
+
 def test_iceberg_without_snapshot_and_missing(con, tmp_path):
     (tmp_path / "ice" / "metadata").mkdir(parents=True)
     meta = {"format-version": 2, "location": "x", "current-schema-id": 0, "schemas": [{"schema-id": 0, "fields": [{"id": 1, "name": "a", "type": "long", "required": True}]}], "snapshots": []}
