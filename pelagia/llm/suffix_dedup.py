@@ -1,11 +1,11 @@
-"""Suffix-array dedup with longest-previous-factor arrays.
+"""Suffix-array dedup by a truncated suffix sort.
 
 Every byte covered by a string of `length` bytes that also starts earlier in the corpus (smaller doc_id, or
 earlier in the same document) is removed; the first copy stays. Candidate stretches of text meet by anchor (see
-routing); there they are put in corpus order into one text, whose suffix array, with LCP values and the previous
-and next smaller positions in suffix order, gives the longest previous factor of each position; where it reaches
-`length` the window is a repeat. Stretches that are identical as a whole are resolved before, so the suffix arrays
-hold only text where copies differ.
+routing); there they are put in corpus order into one text, whose window starts are sorted by their first `length` bytes only;
+all but the first of equal ones are repeats. These are the positions whose longest previous factor reaches `length`:
+suffix_order, lcp_array and longest_previous_factor compute that form, for the tests only. Stretches that are identical
+as a whole are resolved before, so the sort covers only text where copies differ.
 
 Defined cases: null text is empty; texts under `length` bytes lose nothing; overlapping repeats of one text
 count; repeated rows (same doc_id and text) get the same answer and do not repeat each other; a null doc_id
