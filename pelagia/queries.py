@@ -23,7 +23,7 @@ LON, LAT = "(CAST((c_custkey * 37) % 360 AS DOUBLE) - 180.0)", "(CAST((c_custkey
 SAME = {
     # scans, projections, predicates
     "scan_count_all": "SELECT count(*) AS n FROM lineitem",
-    "scan_project_expr": "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2, l_quantity + l_linenumber AS s FROM lineitem WHERE l_linenumber = 1",
+    "scan_project_expr": "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2, l_quantity + l_linenumber AS s FROM lineitem",
     "filter_compare": "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25 AND l_discount <= 0.05 AND l_returnflag <> 'R'",
     "filter_between": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 900",
     "filter_in": "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey IN (1, 3)",
@@ -73,7 +73,7 @@ SAME = {
     "win_qualify": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",
     # order, limit, sets
     "topn_recent": "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 1000",
-    "order_multi": "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment ASC NULLS LAST, c_custkey DESC LIMIT 50",
+    "order_multi": "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment ASC NULLS LAST, c_custkey DESC",
     "limit_offset": "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 20 OFFSET 30",
     "distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey",
     "union_all": "SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region",

@@ -390,6 +390,15 @@ def test_joins_cover_all_rows(con):
     assert sorted(map(tuple, queries.join_spatial_grid(con, "").collect())) == near and len({b for _, b in near}) == 60
 
 
+def test_projection_and_sort_keep_all_rows(spark, sf):
+    from pelagia import queries
+
+    q = queries.queries()
+    assert q["scan_project_expr"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    rows = [(r.c_mktsegment, r.c_custkey) for r in q["order_multi"](spark, sf).collect()]
+    assert len(rows) == spark.read.parquet(f"{sf}/customer.parquet").count() and rows == sorted(rows, key=lambda r: (r[0], -r[1]))
+
+
 def test_depth_and_vocabularies(spark):
     from pyspark.sql import functions as F
 
