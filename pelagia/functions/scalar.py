@@ -17,7 +17,11 @@ iszero(x DOUBLE) | BOOLEAN | x = 0
 trunc_number(x DOUBLE, d INT DEFAULT 0) | DOUBLE | sign(x) * floor(abs(x) * power(10, d)) / power(10, d)
 factorial_of(n BIGINT) | BIGINT | CASE WHEN n IS NULL THEN NULL WHEN n < 2 THEN CAST(1 AS BIGINT) ELSE factorial(CAST(n AS INT)) END
 is_nan(x DOUBLE) | BOOLEAN | CASE WHEN x IS NOT NULL THEN isnan(x) END
-log_of(base DOUBLE, x DOUBLE) | DOUBLE | log(base, x)
+ln_of(x DOUBLE) | DOUBLE | CASE WHEN x > 0 THEN ln(x) WHEN x = 0 THEN double('-Infinity') WHEN x IS NOT NULL THEN double('NaN') END
+log2_of(x DOUBLE) | DOUBLE | CASE WHEN x > 0 THEN log2(x) WHEN x = 0 THEN double('-Infinity') WHEN x IS NOT NULL THEN double('NaN') END
+log10_of(x DOUBLE) | DOUBLE | CASE WHEN x > 0 THEN log10(x) WHEN x = 0 THEN double('-Infinity') WHEN x IS NOT NULL THEN double('NaN') END
+log_of(base DOUBLE, x DOUBLE) | DOUBLE | CASE WHEN x > 0 AND base > 0 AND base <> 1 THEN log(base, x) WHEN x IS NOT NULL AND base IS NOT NULL THEN double('NaN') END
+float_divide(a DOUBLE, b DOUBLE) | DOUBLE | CASE WHEN b <> 0 THEN a / b WHEN a IS NULL OR b IS NULL THEN NULL WHEN a = 0 OR isnan(a) THEN double('NaN') WHEN (a > 0) = (CAST(b AS STRING) NOT LIKE '-%') THEN double('Infinity') ELSE double('-Infinity') END
 strpos(s STRING, sub STRING) | INT | instr(s, sub)
 starts_with(s STRING, p STRING) | BOOLEAN | startswith(s, p)
 ends_with(s STRING, p STRING) | BOOLEAN | endswith(s, p)
@@ -31,12 +35,12 @@ to_timestamp_seconds(n BIGINT) | TIMESTAMP_NTZ | CAST(timestamp_seconds(n) AS TI
 to_timestamp_millis(n BIGINT) | TIMESTAMP_NTZ | CAST(timestamp_millis(n) AS TIMESTAMP_NTZ)
 to_timestamp_micros(n BIGINT) | TIMESTAMP_NTZ | CAST(timestamp_micros(n) AS TIMESTAMP_NTZ)
 to_timestamp_nanos(n BIGINT) | TIMESTAMP_NTZ | CAST(timestamp_micros(CAST(floor(n / 1000) AS BIGINT)) AS TIMESTAMP_NTZ)
+from_unixtime_zone(n BIGINT, zone STRING) | TIMESTAMP_NTZ | convert_timezone('UTC', zone, timestampadd(MICROSECOND, n * 1000000, TIMESTAMP_NTZ '1970-01-01 00:00:00'))
 from_unixtime_seconds(n BIGINT) | TIMESTAMP_NTZ | CAST(timestamp_seconds(n) AS TIMESTAMP_NTZ)
 to_unixtime(t TIMESTAMP_NTZ) | BIGINT | unix_seconds(CAST(t AS TIMESTAMP))
 to_local_time(t TIMESTAMP) | TIMESTAMP_NTZ | CAST(t AS TIMESTAMP_NTZ)
-regexp_match(s STRING, p STRING) | ARRAY<STRING> | CASE WHEN s RLIKE p THEN if(regexp_extract_all(p, '(\\\\.)|(\\((?!\\?))', 2)[0] IS NULL, array(regexp_extract(s, p, 0)), array(regexp_extract(s, p, 1))) END
 regexp_replace_first(s STRING, p STRING, r STRING) | STRING | CASE WHEN regexp_instr(s, p) > 0 THEN concat(left(s, regexp_instr(s, p) - 1), regexp_replace(regexp_substr(s, p), p, r), substr(s, regexp_instr(s, p) + length(regexp_substr(s, p)))) ELSE s END
-encode_text(s STRING, f STRING) | STRING | CASE lower(f) WHEN 'hex' THEN lower(hex(CAST(s AS BINARY))) WHEN 'base64' THEN base64(CAST(s AS BINARY)) END
+encode_text(s STRING, f STRING) | STRING | CASE lower(f) WHEN 'hex' THEN lower(hex(CAST(s AS BINARY))) WHEN 'base64' THEN rtrim('=', base64(CAST(s AS BINARY))) END
 decode_text(s STRING, f STRING) | STRING | CASE lower(f) WHEN 'hex' THEN CAST(unhex(s) AS STRING) WHEN 'base64' THEN CAST(unbase64(s) AS STRING) END
 cast_int8_as_char(x TINYINT) | STRING | chr(pmod(CAST(x AS INT), 256))
 map_wod_quality_flag(x BIGINT) | STRING | CASE WHEN x = 0 THEN '1' WHEN x BETWEEN 1 AND 5 THEN '3' WHEN x BETWEEN 6 AND 9 THEN '4' END
@@ -49,8 +53,8 @@ engine_version() | STRING | '0.1.0'
 #: Names that the front end turns into others: functions whose Spark namesake differs, or whose argument list does.
 RENAMED = {
     "trunc": "trunc_number", "factorial": "factorial_of", "isnan": "is_nan", "encode": "encode_text", "decode": "decode_text",
-    "stddev": "stddev_samp", "variance": "var_samp", "random": "rand", "datepart": "date_part",
-    "character_length": "char_length", "from_unixtime": "from_unixtime_seconds",
+    "stddev": "stddev_samp", "variance": "var_samp", "random": "rand",
+    "character_length": "char_length", "ln": "ln_of", "log2": "log2_of", "log10": "log10_of",
 }
 
 _STRFTIME = {
@@ -59,6 +63,44 @@ _STRFTIME = {
 }
 
 
+#: Codes that read one digit or more where the next character is no digit of another code.
+_SHORT = {"d": "d", "m": "M", "H": "H", "I": "h", "M": "m", "S": "s", "e": "d"}
+
+
+def parse_pattern(strftime: str) -> str:
+    """A strftime pattern as a Java pattern for reading: numbers may lack their leading zero unless codes touch."""
+    if "%" not in strftime:
+        return strftime
+    text = strftime.replace("%T", "%H:%M:%S").replace("%F", "%Y-%m-%d").replace("%D", "%m/%d/%y").replace("%R", "%H:%M")
+    out, i, touching = "", 0, False
+    while i < len(text):
+        c = text[i]
+        if c == "%" and i + 1 < len(text):
+            if text[i + 1 : i + 3] in (":z", ".f"):
+                code, i = text[i + 1 : i + 3], i + 3
+                out += {":z": "xxx", ".f": "[.SSSSSS][.SSS]"}[code]
+                continue
+            code = text[i + 1]
+            i += 2
+            after = text[i : i + 1] == "%"
+            if code == "%":
+                out += "'%'"
+            elif code == "z":
+                out += "xx"
+            elif code in _SHORT and not after and not touching:
+                out += _SHORT[code]
+            elif code in _STRFTIME:
+                out += _STRFTIME[code]
+            else:
+                raise ValueError(f"strftime code %{code} is not supported")
+            touching = True
+        else:
+            out += f"'{c}'" if c.isalpha() else "''" if c == "'" else c
+            touching = False
+            i += 1
+    return out
+
+
 def java_pattern(strftime: str) -> str:
     """A strftime pattern as a Java date pattern; plain letters are quoted. A pattern without % is taken as Java's."""
     if "%" not in strftime:

@@ -1,25 +1,24 @@
 """PostGIS-named spatial functions.
 
 Geometry columns are WKB (WKT strings work too), boxes are structs. Functions over JTS run in the JVM: their Java
-source is generated from spatial_spec, compiled once per machine with javac against the JTS jar that PySpark brings,
-and registered under their SQL names. What needs no topology (points, boxes, planar and spherical distance) also
+source is generated from spatial_spec, compiled once a session inside the driver's JVM by Janino (the compiler that Spark
+itself uses for generated code) against whatever JTS that JVM has loaded, and registered under their SQL names; no JDK is
+needed, and the jar reaches the executors through ADD JAR. What needs no topology (points, boxes, planar and spherical distance) also
 exists as Column expressions, which stay inside code generation and can prune Parquet row groups.
 """
 
 from __future__ import annotations
 
-import glob
-import hashlib
 import json
 import math
 import os
-import shutil
-import subprocess
 import tempfile
+import zipfile
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +28,7 @@ from pelagia.functions.spatial_spec import HELPERS, SPEC
 BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")])
 _RESULTS = {
     "geom": T.BinaryType(), "binary": T.BinaryType(), "box": BOX, "geoms": T.ArrayType(T.BinaryType()), "bool": T.BooleanType(),
-    "double": T.DoubleType(), "int": T.IntegerType(), "string": T.StringType(),
+    "double": T.DoubleType(), "int": T.IntegerType(), "string": T.StringType(), "strings": T.ArrayType(T.StringType()),
 }
 _CLASS = "PelagiaSpatial"
 
@@ -45,15 +44,14 @@ def signatures() -> dict[str, tuple[str, str, str]]:
 
 def java_source() -> str:
     imports = (
-        "org.locationtech.jts.geom.*", "org.locationtech.jts.geom.util.*", "org.locationtech.jts.io.*", "org.locationtech.jts.algorithm.Orientation",
-        "org.locationtech.jts.operation.overlayng.*", "org.locationtech.jts.operation.valid.*", "org.locationtech.jts.triangulate.*",
-        "org.locationtech.jts.linearref.LengthIndexedLine", "org.apache.spark.sql.api.java.*", "org.apache.spark.sql.Row",
-        "org.apache.spark.sql.RowFactory", "com.fasterxml.jackson.databind.*", "java.util.*",
+        "org.locationtech.jts.geom.*", "org.locationtech.jts.geom.prep.*", "org.locationtech.jts.geom.util.*", "org.locationtech.jts.io.*",
+        "org.locationtech.jts.algorithm.Orientation", "org.locationtech.jts.operation.overlayng.*", "org.locationtech.jts.operation.valid.*",
+        "org.locationtech.jts.triangulate.*", "org.locationtech.jts.linearref.LengthIndexedLine", "org.apache.spark.sql.api.java.*",
+        "org.apache.spark.sql.Row", "org.apache.spark.sql.RowFactory", "com.fasterxml.jackson.databind.*", "java.util.*",
     )
     out = [f"import {i};" for i in imports] + [f"public class {_CLASS} {{", HELPERS]
     for name, (result, args, expr) in signatures().items():
         n = len(args)
-        kinds = ", ".join(["Object"] * (n + 1))
         params = ", ".join(f"Object a{i}" for i in range(n))
         seen = dict.fromkeys("GDIS", 0)
         body = []
@@ -67,57 +65,48 @@ def java_source() -> str:
             else:
                 kind, var, get = ("double", "d", "doubleValue") if a == "D" else ("int", "i", "intValue")
                 body.append(f"if (a{i} == null) return null; {kind} {var}{k} = ((Number) a{i}).{get}();")
-        value = {"geom": f"wkb((Geometry) ({expr}))", "box": f"box({expr})"}.get(result, f"(Object) ({expr})")
-        if expr == "null":
-            value = "null"
-        out.append(
-            f"  public static class {name} implements UDF{n}<{kinds}> {{ public Object call({params}) {{ try {{ {' '.join(body)} return {value}; }} catch (Exception e) {{ return null; }} }} }}"
+        geom = f"as(g0, (Geometry) ({expr}))" if seen["G"] and name not in ("st_geomfromewkb", "st_setsrid") else f"(Geometry) ({expr})"
+        value = {"geom": f"wkb({geom})", "box": f"box({expr})"}.get(result, f"v({expr})")
+        caught = "".join(
+            f" catch ({e} e) {{ return null; }}"
+            for e in ("IllegalArgumentException", "TopologyException", *(["ParseException"] if seen["G"] else []), *(["com.fasterxml.jackson.core.JsonProcessingException"] if "Geojson" in expr else []))
         )
+        out.append(f"  public static class {name} implements UDF{n} {{ public Object call({params}) {{ try {{ {' '.join(body)} return {value}; }}{caught} }} }}")
     return "\n".join([*out, "}"])
 
 
-def build_jar() -> str:
-    """The compiled functions, kept in the temporary folder under the hash of their source."""
-    if not shutil.which("javac"):
-        raise RuntimeError("spatial functions need javac once, to compile their Java source")
-    import pyspark
-
-    source = java_source()
-    mark = hashlib.sha256(source.encode()).hexdigest()[:16]
-    jar = os.path.join(tempfile.gettempdir(), f"pelagia-spatial-{mark}.jar")
-    if not os.path.exists(jar):
-        with tempfile.TemporaryDirectory() as d:
-            with open(f"{d}/{_CLASS}.java", "w") as f:
-                f.write(source)
-            jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-            wanted = [j for p in ("jts-core", "spark-sql", "scala-library", "jackson-databind", "jackson-core", "jackson-annotations", "spark-catalyst", "spark-common", "spark-sql-api", "spark-core") for j in glob.glob(f"{jars}/{p}*.jar")]
-            done = subprocess.run(["javac", "-nowarn", "-cp", ":".join(wanted), "-d", f"{d}/out", f"{d}/{_CLASS}.java"], capture_output=True, text=True)
-            if done.returncode:
-                raise RuntimeError(f"javac: {done.stderr[-2000:]}")
-            import zipfile
-
-            with zipfile.ZipFile(f"{d}/x.jar", "w") as z:
-                for name in sorted(os.listdir(f"{d}/out")):
-                    z.write(f"{d}/out/{name}", name)
-            shutil.move(f"{d}/x.jar", f"{jar}.{os.getpid()}")
-            os.replace(f"{jar}.{os.getpid()}", jar)
-    return jar
+def build_jar(spark: SparkSession) -> str:
+    """The compiled functions, in a fresh folder of this process; the driver serves it to the executors."""
+    jvm = spark.sparkContext._jvm
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    for needed in ("org.locationtech.jts.geom.Geometry", "org.codehaus.janino.SimpleCompiler", "com.fasterxml.jackson.databind.ObjectMapper"):
+        try:
+            loader.loadClass(needed)
+        except Py4JJavaError:
+            raise RuntimeError(f"spatial functions need {needed} on the driver's class path") from None
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(loader)
+    compiler.cook(java_source())
+    path = os.path.join(tempfile.mkdtemp(prefix="pelagia-spatial-"), "spatial.jar")
+    with zipfile.ZipFile(path, "w") as z:
+        codes = compiler.getBytecodes()
+        for name in sorted(codes.keySet()):
+            z.writestr(f"{name}.class", bytes(codes[name]))
+    return path
 
 
 def register(spark: SparkSession) -> None:
     """Registers all functions in the session under their (case-insensitive) SQL names."""
     if getattr(spark, "_pelagia_spatial", False):
         return
-    spark.sql(f"ADD JAR '{build_jar()}'")
-    jvm = spark.sparkContext._jvm
-    thread = jvm.java.lang.Thread.currentThread()
-    before = thread.getContextClassLoader()
-    thread.setContextClassLoader(spark._jsparkSession.sharedState().jarClassLoader())
-    try:
-        for name, (result, _, _) in signatures().items():
-            spark.udf.registerJavaFunction(name, f"{_CLASS}${name}", _RESULTS[result])
-    finally:
-        thread.setContextClassLoader(before)
+    spark.sql(f"ADD JAR '{build_jar(spark)}'")
+    loader = spark._jsparkSession.sharedState().jarClassLoader()
+    kinds = {r: spark._jsparkSession.parseDataType(t.json()) for r, t in _RESULTS.items()}
+    for name, (result, _, _) in signatures().items():
+        udf = loader.loadClass(f"{_CLASS}${name}").getDeclaredConstructor(spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.Class, 0)).newInstance(
+            spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.Object, 0)
+        )
+        spark._jsparkSession.udf().register(name, udf, kinds[result])
     spark._pelagia_spatial = True
 
 
@@ -158,11 +147,9 @@ def collect_of(df: DataFrame, geom: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def union_of(df: DataFrame, geom: str, by: Sequence[str] = (), fan: int = 64) -> DataFrame:
-    """ST_MemUnion of areal geometries: partial unions over `fan` salted parts first, then one over the parts.
-
-    The zero-width buffer of a collection is the union of its members."""
+    """ST_MemUnion: partial unions over `fan` salted parts first, then one over the parts."""
     register(df.sparkSession)
-    union = lambda c: F.call_function("st_buffer", F.call_function("st_geomfromtext", F.concat(F.lit("GEOMETRYCOLLECTION ("), F.concat_ws(", ", F.collect_list(F.call_function("st_astext", c))), F.lit(")"))), F.lit(0.0))
+    union = lambda c: F.call_function("st_unionall", F.call_function("st_geomfromtext", F.concat(F.lit("GEOMETRYCOLLECTION ("), F.concat_ws(", ", F.collect_list(F.call_function("st_astext", c))), F.lit(")"))))
     part = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(geom)), F.lit(fan))).groupBy(*by, "__salt").agg(union(F.col(geom)).alias("geom"))
     return part.groupBy(*by).agg(union(F.col("geom")).alias("geom"))
 

@@ -1,8 +1,10 @@
-"""PostGIS-named functions as Java expressions over JTS geometries.
+"""PostGIS-named functions as Java expressions over JTS geometries, and a few text functions that Spark lacks.
 
 Each line: name | result | arguments | expression. Arguments: G geometry (WKT string, WKB or a box), D double, I integer,
-S string; a null argument or an exception makes the result null. Results: geom (WKB), box, geoms (list), bool, double, int,
-string, binary. In the expression g0, g1, .. d0, .. i0, .. s0, .. number the arguments of a kind.
+S string. A null argument, or one that is no geometry or has no answer (an IllegalArgumentException or a topology error),
+makes the result null; any other exception fails the query. Results: geom (WKB, extended by the SRID if it has one), box,
+geoms (list), bool, double, int, string, binary. In the expression g0, g1, .. d0, .. i0, .. s0, .. number the arguments of a
+kind. The Java is what Janino compiles, so there are no lambdas and no type arguments.
 """
 
 SPEC = r"""
@@ -37,23 +39,23 @@ st_makepolygon | geom | G | F.createPolygon(g0.getCoordinates())
 st_makeenvelope | geom | DDDD | F.toGeometry(new Envelope(d0, d2, d1, d3))
 st_makebox2d | box | DDDD | new Envelope(d0, d2, d1, d3)
 st_astext | string | G | new WKTWriter(hasZ(g0) ? 3 : 2).write(g0)
-st_asbinary | geom | G | g0
+st_asbinary | binary | G | new WKBWriter(hasZ(g0) ? 3 : 2).write(g0)
 st_asewkb | binary | G | new WKBWriter(hasZ(g0) ? 3 : 2, true).write(g0)
 st_asgeojson | string | G | geojson(g0)
 st_geomfromtext | geom | G | g0
 st_geomfromwkb | geom | G | g0
-st_geomfromewkb | geom | G | g0
+st_geomfromewkb | geom | G | srid(g0, 0)
 st_geomfromgeojson | geom | S | fromGeojson(s0)
 st_geohash | string | G | geohash(g0, 20)
 st_geohash_n | string | GI | geohash(g0, i0)
 st_pointfromgeohash | geom | S | fromGeohash(s0)
-st_intersects | bool | GG | g0.intersects(g1)
-st_disjoint | bool | GG | g0.disjoint(g1)
-st_contains | bool | GG | g0.contains(g1)
-st_containsproperly | bool | GG | g0.relate(g1, "T**FF*FF*")
-st_within | bool | GG | g0.within(g1)
-st_covers | bool | GG | g0.covers(g1)
-st_coveredby | bool | GG | g0.coveredBy(g1)
+st_intersects | bool | GG | meets(g0, g1)
+st_disjoint | bool | GG | !meets(g0, g1)
+st_contains | bool | GG | holds(g0, g1)
+st_containsproperly | bool | GG | holdsProperly(g0, g1)
+st_within | bool | GG | holds(g1, g0)
+st_covers | bool | GG | covers(g0, g1)
+st_coveredby | bool | GG | covers(g1, g0)
 st_touches | bool | GG | g0.touches(g1)
 st_crosses | bool | GG | g0.crosses(g1)
 st_overlaps | bool | GG | g0.overlaps(g1)
@@ -90,14 +92,14 @@ st_pointonsurface | geom | G | g0.getInteriorPoint()
 st_simplify | geom | GD | org.locationtech.jts.simplify.DouglasPeuckerSimplifier.simplify(g0, d0)
 st_simplifyvw | geom | GD | org.locationtech.jts.simplify.VWSimplifier.simplify(g0, Math.sqrt(d0))
 st_segmentize | geom | GD | d0 > 0 ? org.locationtech.jts.densify.Densifier.densify(g0, d0) : null
-st_removerepeatedpoints | geom | G | edit(g0, c -> CoordinateArrays.removeRepeatedPoints(c))
+st_removerepeatedpoints | geom | G | withoutRepeats(g0)
 st_reverse | geom | G | g0.reverse()
 st_forcepolygonccw | geom | G | wind(g0, true)
 st_forcepolygoncw | geom | G | wind(g0, false)
-st_force2d | geom | G | map(g0, c -> new Coordinate(c.x, c.y))
-st_force3d | geom | G | map(g0, c -> new Coordinate(c.x, c.y, Double.isNaN(c.getZ()) ? 0 : c.getZ()))
-st_flipcoordinates | geom | G | map(g0, c -> new Coordinate(c.y, c.x, c.getZ()))
-st_setsrid | geom | GI | g0
+st_force2d | geom | G | flat(g0)
+st_force3d | geom | G | raised(g0)
+st_flipcoordinates | geom | G | flipped(g0)
+st_setsrid | geom | GI | srid(g0, i0)
 st_isvalid | bool | G | g0.isValid()
 st_isvalidreason | string | G | reason(g0)
 st_makevalid | geom | G | areal(g0) ? org.locationtech.jts.geom.util.GeometryFixer.fix(g0) : null
@@ -111,24 +113,30 @@ st_xmin | double | G | g0.isEmpty() ? null : (Double) g0.getEnvelopeInternal().g
 st_ymin | double | G | g0.isEmpty() ? null : (Double) g0.getEnvelopeInternal().getMinY()
 st_xmax | double | G | g0.isEmpty() ? null : (Double) g0.getEnvelopeInternal().getMaxX()
 st_ymax | double | G | g0.isEmpty() ? null : (Double) g0.getEnvelopeInternal().getMaxY()
-st_zmin | double | G | null
-st_zmax | double | G | null
+st_zmin | double | G | height(g0, false)
+st_zmax | double | G | height(g0, true)
 st_delaunaytriangles | geom | G | delaunay(g0)
 st_voronoipolygons | geom | G | voronoi(g0)
 st_voronoilines | geom | G | org.locationtech.jts.operation.union.UnaryUnionOp.union(lines(voronoi(g0)))
-st_chaikinsmoothing | geom | GI | i0 <= 8 ? edit(g0, c -> chaikin(c, i0)) : null
+st_chaikinsmoothing | geom | GI | i0 <= 8 ? smooth(g0, i0) : null
 st_azimuth | double | GG | inverse(g0.getCoordinate(), g1.getCoordinate())[1]
 st_project | geom | GDD | F.createPoint(direct(g0.getCoordinate(), d0, d1))
 st_multi | geom | G | multi(g0)
 st_points | geom | G | F.createMultiPointFromCoords(g0.getCoordinates())
-st_snaptogrid | geom | GD | d0 > 0 ? map(g0, c -> new Coordinate(Math.rint(c.x / d0) * d0, Math.rint(c.y / d0) * d0, c.getZ())) : g0
+st_snaptogrid | geom | GD | d0 > 0 ? snapped(g0, d0) : g0
 st_addpoint | geom | GG | insert(g0, g1, -1)
 st_addpoint_at | geom | GGI | insert(g0, g1, i0)
 st_removepoint | geom | GI | removeAt(g0, i0)
 st_setpoint | geom | GIG | setAt(g0, i0, g1)
 st_dump | geoms | G | parts(g0)
+st_transform | geom | GI | transform(g0, g0.getSRID() == 0 ? 4326 : g0.getSRID(), i0)
 st_transform_between | geom | GII | transform(g0, i0, i1)
+st_unionall | geom | G | org.locationtech.jts.operation.union.UnaryUnionOp.union(g0)
 st_geojson_as_wkt | string | S | new WKTWriter().write(fromGeojson(s0))
+regexp_count_of | int | SSI | count(s0, s1, i0)
+regexp_instr_of | int | SSIII | place(s0, s1, i0, i1, i2)
+regexp_match_of | strings | SS | groups(s0, s1)
+chr_of | string | I | new String(Character.toChars(i0))
 """
 
 #: Names that depend on the number of arguments.
@@ -140,43 +148,175 @@ BY_ARITY = {
 HELPERS = r"""
   static final GeometryFactory F = new GeometryFactory();
 
-  static Geometry geom(Object a) throws Exception {
+  /** The last arguments that were read in this thread: constants of a query are read once, and prepared when they come again. */
+  static class Seen { Object key; Geometry geometry; PreparedGeometry prepared; int hits; }
+  static final ThreadLocal SEEN = new ThreadLocal();
+  static Seen[] seen() {
+    Seen[] s = (Seen[]) SEEN.get();
+    if (s == null) { s = new Seen[4]; SEEN.set(s); }
+    return s;
+  }
+  static boolean same(Object a, Object b) {
+    return a instanceof byte[] ? b instanceof byte[] && Arrays.equals((byte[]) a, (byte[]) b) : a.equals(b);
+  }
+  static Geometry geom(Object a) throws ParseException {
     if (a == null) return null;
-    if (a instanceof byte[]) return new WKBReader().read((byte[]) a);
-    if (a instanceof String) return new WKTReader().read((String) a);
     if (a instanceof Row) {
       Row r = (Row) a;
       return F.toGeometry(new Envelope(r.getDouble(0), r.getDouble(2), r.getDouble(1), r.getDouble(3)));
     }
-    throw new IllegalArgumentException("no geometry");
+    if (!(a instanceof String) && !(a instanceof byte[])) throw new IllegalArgumentException("no geometry");
+    Seen[] s = seen();
+    for (int i = 0; i < s.length; i++) {
+      if (s[i] != null && same(s[i].key, a)) {
+        Seen hit = s[i];
+        hit.hits++;
+        if (i > 0) { s[i] = s[i - 1]; s[i - 1] = hit; }
+        return hit.geometry;
+      }
+    }
+    Seen fresh = new Seen();
+    fresh.key = a;
+    fresh.geometry = a instanceof String ? new WKTReader().read((String) a) : new WKBReader().read((byte[]) a);
+    s[s.length - 1] = fresh;
+    return fresh.geometry;
+  }
+  /** A prepared form of a geometry that came several times, else null. */
+  static PreparedGeometry ready(Geometry g) {
+    Seen[] s = seen();
+    for (int i = 0; i < s.length; i++) {
+      if (s[i] != null && s[i].geometry == g && s[i].hits > 2) {
+        if (s[i].prepared == null) s[i].prepared = PreparedGeometryFactory.prepare(g);
+        return s[i].prepared;
+      }
+    }
+    return null;
+  }
+  static boolean meets(Geometry a, Geometry b) {
+    if (!a.getEnvelopeInternal().intersects(b.getEnvelopeInternal())) return false;
+    PreparedGeometry p = ready(a);
+    if (p != null) return p.intersects(b);
+    p = ready(b);
+    return p != null ? p.intersects(a) : a.intersects(b);
+  }
+  static boolean holds(Geometry a, Geometry b) {
+    if (!a.getEnvelopeInternal().covers(b.getEnvelopeInternal())) return false;
+    PreparedGeometry p = ready(a);
+    return p != null ? p.contains(b) : a.contains(b);
+  }
+  static boolean holdsProperly(Geometry a, Geometry b) {
+    if (!a.getEnvelopeInternal().covers(b.getEnvelopeInternal())) return false;
+    PreparedGeometry p = ready(a);
+    return p != null ? p.containsProperly(b) : a.relate(b, "T**FF*FF*");
+  }
+  static boolean covers(Geometry a, Geometry b) {
+    if (!a.getEnvelopeInternal().covers(b.getEnvelopeInternal())) return false;
+    PreparedGeometry p = ready(a);
+    return p != null ? p.covers(b) : a.covers(b);
+  }
+  static Geometry srid(Geometry g, int srid) { Geometry c = g.copy(); c.setSRID(srid); return c; }
+  /** What is computed from a geometry is in its reference system. */
+  static Geometry as(Geometry first, Geometry g) { return g == null || g.getSRID() != 0 || first.getSRID() == 0 ? g : srid(g, first.getSRID()); }
+  static Object v(double x) { return Double.valueOf(x); }
+  static Object v(int x) { return Integer.valueOf(x); }
+  static Object v(boolean x) { return Boolean.valueOf(x); }
+  static Object v(Object x) { return x; }
+  static final ThreadLocal PATTERN = new ThreadLocal();
+  static java.util.regex.Matcher matcher(String s, String p) {
+    java.util.regex.Pattern c = (java.util.regex.Pattern) PATTERN.get();
+    if (c == null || !c.pattern().equals(p)) { c = java.util.regex.Pattern.compile(p); PATTERN.set(c); }
+    return c.matcher(s);
+  }
+  /** Characters are code points, the first is 1. */
+  static int unit(String s, int at) {
+    if (at < 1) throw new IllegalArgumentException("positions start from 1");
+    return at > s.codePointCount(0, s.length()) ? s.length() : s.offsetByCodePoints(0, at - 1);
+  }
+  static int count(String s, String p, int from) {
+    java.util.regex.Matcher m = matcher(s, p);
+    int n = 0;
+    if (m.find(unit(s, from))) do n++; while (m.find());
+    return n;
+  }
+  static int place(String s, String p, int from, int nth, int group) {
+    java.util.regex.Matcher m = matcher(s, p);
+    boolean found = m.find(unit(s, from));
+    for (int k = 1; k < nth && found; k++) found = m.find();
+    if (!found || group > m.groupCount() || m.start(group) < 0) return 0;
+    return s.codePointCount(0, m.start(group)) + 1;
+  }
+  static List groups(String s, String p) {
+    java.util.regex.Matcher m = matcher(s, p);
+    if (!m.find()) return null;
+    List out = new ArrayList();
+    if (m.groupCount() == 0) out.add(m.group());
+    for (int i = 1; i <= m.groupCount(); i++) out.add(m.group(i));
+    return out;
   }
   static Double number(double x) { return Double.isNaN(x) ? null : (Double) x; }
   static boolean hasZ(Geometry g) { Coordinate c = g.getCoordinate(); return c != null && !Double.isNaN(c.getZ()); }
   static boolean areal(Geometry g) { return g instanceof Polygon || g instanceof MultiPolygon; }
   static double lineal(Geometry g) { return g instanceof LineString || g instanceof MultiLineString ? g.getLength() : 0.0; }
-  static byte[] wkb(Geometry g) { return g == null ? null : new WKBWriter(hasZ(g) ? 3 : 2).write(g); }
+  static byte[] wkb(Geometry g) { return g == null ? null : new WKBWriter(hasZ(g) ? 3 : 2, g.getSRID() != 0).write(g); }
   static Row box(Envelope e) { return e.isNull() ? null : RowFactory.create(e.getMinX(), e.getMinY(), e.getMaxX(), e.getMaxY()); }
   static Envelope grow(Envelope e, double d) { Envelope c = new Envelope(e); c.expandBy(d); return c; }
   static Coordinate[] concat(Geometry a, Geometry b) {
-    List<Coordinate> all = new ArrayList<>(Arrays.asList(a.getCoordinates()));
-    all.addAll(Arrays.asList(b.getCoordinates()));
-    return all.toArray(new Coordinate[0]);
+    Coordinate[] p = a.getCoordinates(), q = b.getCoordinates(), all = new Coordinate[p.length + q.length];
+    System.arraycopy(p, 0, all, 0, p.length);
+    System.arraycopy(q, 0, all, p.length, q.length);
+    return all;
   }
   static Geometry overlay(Geometry a, Geometry b, int op) { return OverlayNGRobust.overlay(a, b, op); }
   static double farthest(Geometry a, Geometry b) {
     double most = 0;
-    for (Coordinate p : a.getCoordinates()) for (Coordinate q : b.getCoordinates()) most = Math.max(most, p.distance(q));
+    Coordinate[] p = a.getCoordinates(), q = b.getCoordinates();
+    for (int i = 0; i < p.length; i++) for (int j = 0; j < q.length; j++) most = Math.max(most, p[i].distance(q[j]));
     return most;
   }
-  interface Edit { Coordinate[] of(Coordinate[] c); }
-  interface One { Coordinate of(Coordinate c); }
-  static Geometry edit(Geometry g, Edit f) {
-    return new GeometryEditor(F).edit(g, new GeometryEditor.CoordinateOperation() {
-      public Coordinate[] edit(Coordinate[] c, Geometry part) { return f.of(c); }
-    });
+  static Geometry edit(Geometry g, GeometryEditor.CoordinateOperation op) { return new GeometryEditor(F).edit(g, op); }
+  static abstract class Each extends GeometryEditor.CoordinateOperation {
+    public abstract Coordinate of(Coordinate c);
+    public Coordinate[] edit(Coordinate[] c, Geometry part) {
+      Coordinate[] out = new Coordinate[c.length];
+      for (int i = 0; i < c.length; i++) out[i] = of(c[i]);
+      return out;
+    }
+  }
+  static class Flat extends Each { public Coordinate of(Coordinate c) { return new Coordinate(c.x, c.y); } }
+  static class Raised extends Each { public Coordinate of(Coordinate c) { return new Coordinate(c.x, c.y, Double.isNaN(c.getZ()) ? 0 : c.getZ()); } }
+  static class Flipped extends Each { public Coordinate of(Coordinate c) { return new Coordinate(c.y, c.x, c.getZ()); } }
+  static class Snapped extends Each {
+    final double size;
+    Snapped(double size) { this.size = size; }
+    public Coordinate of(Coordinate c) { return new Coordinate(Math.rint(c.x / size) * size, Math.rint(c.y / size) * size, c.getZ()); }
+  }
+  static class Projected extends Each {
+    final int from, to;
+    Projected(int from, int to) { this.from = from; this.to = to; }
+    public Coordinate of(Coordinate c) { return project(unproject(c, from), to); }
+  }
+  static class Distinct extends GeometryEditor.CoordinateOperation {
+    public Coordinate[] edit(Coordinate[] c, Geometry part) { return CoordinateArrays.removeRepeatedPoints(c); }
   }
-  static Geometry map(Geometry g, One f) {
-    return edit(g, c -> { Coordinate[] out = new Coordinate[c.length]; for (int i = 0; i < c.length; i++) out[i] = f.of(c[i]); return out; });
+  static class Smooth extends GeometryEditor.CoordinateOperation {
+    final int rounds;
+    Smooth(int rounds) { this.rounds = rounds; }
+    public Coordinate[] edit(Coordinate[] c, Geometry part) { return chaikin(c, rounds); }
+  }
+  static Geometry flat(Geometry g) { return edit(g, new Flat()); }
+  static Geometry raised(Geometry g) { return edit(g, new Raised()); }
+  static Geometry flipped(Geometry g) { return edit(g, new Flipped()); }
+  static Geometry snapped(Geometry g, double size) { return edit(g, new Snapped(size)); }
+  static Geometry withoutRepeats(Geometry g) { return edit(g, new Distinct()); }
+  static Geometry smooth(Geometry g, int rounds) { return edit(g, new Smooth(rounds)); }
+  static Double height(Geometry g, boolean most) {
+    Coordinate[] c = g.getCoordinates();
+    double best = Double.NaN;
+    for (int i = 0; i < c.length; i++) {
+      double z = c[i].getZ();
+      if (!Double.isNaN(z) && (Double.isNaN(best) || (most ? z > best : z < best))) best = z;
+    }
+    return number(best);
   }
   static Geometry wind(Geometry g, boolean ccw) {
     if (g instanceof Polygon) {
@@ -208,21 +348,21 @@ HELPERS = r"""
     return b.getDiagram(F);
   }
   static Geometry lines(Geometry g) {
-    List<Geometry> out = new ArrayList<>();
+    List out = new ArrayList();
     for (int i = 0; i < g.getNumGeometries(); i++) out.add(g.getGeometryN(i).getBoundary());
     return F.buildGeometry(out);
   }
   static Coordinate[] chaikin(Coordinate[] c, int rounds) {
     for (int k = 0; k < rounds && c.length > 2; k++) {
       boolean ring = c[0].equals2D(c[c.length - 1]);
-      List<Coordinate> out = new ArrayList<>();
+      List out = new ArrayList();
       if (!ring) out.add(c[0]);
       for (int i = 0; i + 1 < c.length; i++) {
         out.add(new Coordinate(0.75 * c[i].x + 0.25 * c[i + 1].x, 0.75 * c[i].y + 0.25 * c[i + 1].y));
         out.add(new Coordinate(0.25 * c[i].x + 0.75 * c[i + 1].x, 0.25 * c[i].y + 0.75 * c[i + 1].y));
       }
-      out.add(ring ? out.get(0).copy() : c[c.length - 1]);
-      c = out.toArray(new Coordinate[0]);
+      out.add(ring ? ((Coordinate) out.get(0)).copy() : c[c.length - 1]);
+      c = (Coordinate[]) out.toArray(new Coordinate[0]);
     }
     return c;
   }
@@ -234,15 +374,15 @@ HELPERS = r"""
   }
   static Geometry insert(Geometry g, Geometry p, int at) {
     if (!(g instanceof LineString) || at > g.getNumPoints()) return null;
-    List<Coordinate> c = new ArrayList<>(Arrays.asList(g.getCoordinates()));
+    List c = new ArrayList(Arrays.asList(g.getCoordinates()));
     c.add(at < 0 ? c.size() : at, p.getCoordinate());
-    return F.createLineString(c.toArray(new Coordinate[0]));
+    return F.createLineString((Coordinate[]) c.toArray(new Coordinate[0]));
   }
   static Geometry removeAt(Geometry g, int at) {
     if (!(g instanceof LineString) || at < 0 || at >= g.getNumPoints() || g.getNumPoints() < 3) return null;
-    List<Coordinate> c = new ArrayList<>(Arrays.asList(g.getCoordinates()));
+    List c = new ArrayList(Arrays.asList(g.getCoordinates()));
     c.remove(at);
-    return F.createLineString(c.toArray(new Coordinate[0]));
+    return F.createLineString((Coordinate[]) c.toArray(new Coordinate[0]));
   }
   static Geometry setAt(Geometry g, int at, Geometry p) {
     if (!(g instanceof LineString)) return null;
@@ -252,8 +392,8 @@ HELPERS = r"""
     c[i] = p.getCoordinate();
     return F.createLineString(c);
   }
-  static List<byte[]> parts(Geometry g) {
-    List<byte[]> out = new ArrayList<>();
+  static List parts(Geometry g) {
+    List out = new ArrayList();
     for (int i = 0; i < g.getNumGeometries(); i++) {
       Geometry p = g.getGeometryN(i);
       if (p instanceof GeometryCollection && p != g) out.addAll(parts(p)); else out.add(wkb(p));
@@ -281,32 +421,39 @@ HELPERS = r"""
     }
     return "{\"type\":\"" + g.getGeometryType() + "\",\"coordinates\":" + body(g) + "}";
   }
-  static Geometry fromGeojson(String s) throws Exception { return fromNode(new ObjectMapper().readTree(s)); }
+  static Geometry fromGeojson(String s) throws com.fasterxml.jackson.core.JsonProcessingException { return fromNode(new ObjectMapper().readTree(s)); }
   static Geometry fromNode(JsonNode n) {
-    String t = n.get("type").asText();
-    if (t.equals("Feature")) return fromNode(n.get("geometry"));
-    List<Geometry> all = new ArrayList<>();
+    String t = ((JsonNode) n.get("type")).asText();
+    if (t.equals("Feature")) return fromNode(((JsonNode) n.get("geometry")));
+    List all = new ArrayList();
     if (t.equals("FeatureCollection") || t.equals("GeometryCollection")) {
-      for (JsonNode k : n.get(t.startsWith("F") ? "features" : "geometries")) all.add(fromNode(k));
-      return F.createGeometryCollection(all.toArray(new Geometry[0]));
+      JsonNode parts = ((JsonNode) n.get(t.startsWith("F") ? "features" : "geometries"));
+      for (int i = 0; i < parts.size(); i++) all.add(fromNode(((JsonNode) parts.get(i))));
+      return F.createGeometryCollection((Geometry[]) all.toArray(new Geometry[0]));
+    }
+    JsonNode c = ((JsonNode) n.get("coordinates"));
+    if (t.equals("Point")) return F.createPoint(at(c));
+    if (t.equals("LineString")) return F.createLineString(list(c));
+    if (t.equals("Polygon")) return polygon(c);
+    if (t.equals("MultiPoint")) return F.createMultiPointFromCoords(list(c));
+    if (t.equals("MultiLineString")) {
+      LineString[] l = new LineString[c.size()];
+      for (int i = 0; i < l.length; i++) l[i] = F.createLineString(list(((JsonNode) c.get(i))));
+      return F.createMultiLineString(l);
     }
-    JsonNode c = n.get("coordinates");
-    switch (t) {
-      case "Point": return F.createPoint(at(c));
-      case "LineString": return F.createLineString(list(c));
-      case "Polygon": return polygon(c);
-      case "MultiPoint": return F.createMultiPointFromCoords(list(c));
-      case "MultiLineString": { List<LineString> l = new ArrayList<>(); for (JsonNode k : c) l.add(F.createLineString(list(k))); return F.createMultiLineString(l.toArray(new LineString[0])); }
-      case "MultiPolygon": { List<Polygon> l = new ArrayList<>(); for (JsonNode k : c) l.add(polygon(k)); return F.createMultiPolygon(l.toArray(new Polygon[0])); }
-      default: throw new IllegalArgumentException(t);
+    if (t.equals("MultiPolygon")) {
+      Polygon[] l = new Polygon[c.size()];
+      for (int i = 0; i < l.length; i++) l[i] = polygon(((JsonNode) c.get(i)));
+      return F.createMultiPolygon(l);
     }
+    throw new IllegalArgumentException(t);
   }
-  static Coordinate at(JsonNode n) { return n.size() > 2 ? new Coordinate(n.get(0).asDouble(), n.get(1).asDouble(), n.get(2).asDouble()) : new Coordinate(n.get(0).asDouble(), n.get(1).asDouble()); }
-  static Coordinate[] list(JsonNode n) { Coordinate[] c = new Coordinate[n.size()]; for (int i = 0; i < c.length; i++) c[i] = at(n.get(i)); return c; }
+  static Coordinate at(JsonNode n) { return n.size() > 2 ? new Coordinate(((JsonNode) n.get(0)).asDouble(), ((JsonNode) n.get(1)).asDouble(), ((JsonNode) n.get(2)).asDouble()) : new Coordinate(((JsonNode) n.get(0)).asDouble(), ((JsonNode) n.get(1)).asDouble()); }
+  static Coordinate[] list(JsonNode n) { Coordinate[] c = new Coordinate[n.size()]; for (int i = 0; i < c.length; i++) c[i] = at(((JsonNode) n.get(i))); return c; }
   static Polygon polygon(JsonNode n) {
     LinearRing[] holes = new LinearRing[Math.max(0, n.size() - 1)];
-    for (int i = 1; i < n.size(); i++) holes[i - 1] = F.createLinearRing(list(n.get(i)));
-    return F.createPolygon(F.createLinearRing(list(n.get(0))), holes);
+    for (int i = 1; i < n.size(); i++) holes[i - 1] = F.createLinearRing(list(((JsonNode) n.get(i))));
+    return F.createPolygon(F.createLinearRing(list(((JsonNode) n.get(0)))), holes);
   }
   static final String B32 = "0123456789bcdefghjkmnpqrstuvwxyz";
   static String geohash(Geometry g, int n) {
@@ -328,8 +475,9 @@ HELPERS = r"""
   static Geometry fromGeohash(String s) {
     double[] lat = {-90, 90}, lon = {-180, 180};
     boolean even = true;
-    for (char k : s.toLowerCase().toCharArray()) {
-      int v = B32.indexOf(k);
+    String low = s.toLowerCase();
+    for (int j = 0; j < low.length(); j++) {
+      int v = B32.indexOf(low.charAt(j));
       if (v < 0) return null;
       for (int b = 4; b >= 0; b--) {
         double[] r = even ? lon : lat;
@@ -385,8 +533,8 @@ HELPERS = r"""
     return new Coordinate(p.x + Math.toDegrees(L), Math.toDegrees(lat));
   }
   static Geometry transform(Geometry g, int from, int to) {
-    if (from == to) return g;
-    return map(g, c -> project(unproject(c, from), to));
+    if (from == to) return srid(g, to);
+    return srid(edit(g, new Projected(from, to)), to);
   }
   static Coordinate unproject(Coordinate c, int srid) {
     if (srid == 4326) return c;

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pelagia import function_queries
 from pelagia.functions import spatial, util, vocab
 from pelagia.operators import joins, sets
 from pelagia.session import Connection
@@ -132,6 +133,7 @@ PAIRS = {
         "SELECT n_nationkey, ST_ClusterDBSCAN(ST_Point(n_regionkey * 1000, n_nationkey), 500, 3) OVER () AS c FROM nation",
         "SELECT n_nationkey, CAST(dense_rank() OVER (ORDER BY m) - 1 AS INTEGER) AS c FROM (SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS m FROM nation)",
     ),
+    **function_queries.PAIRS,
     "geo_sql_text": ("SELECT n_nationkey, st_astext(st_geomfromtext('LINESTRING (0 0, 1 1)')) AS t, st_asgeojson(st_point(n_nationkey, 2)) AS j FROM nation", "SELECT n_nationkey, 'LINESTRING (0 0, 1 1)' AS t, '{\"type\":\"Point\",\"coordinates\":[' || n_nationkey || ',2]}' AS j FROM nation"),
 }
 

@@ -15,6 +15,7 @@ from pelagia.operators.sets import union_by_name
 from pelagia.operators.summarize import summarize
 from pelagia.plans import jsonquery
 from pelagia.plans.dialect import Rewriter
+from pelagia.plans.division import divisions
 from pelagia.sources import readers, sinks
 
 CONF = {
@@ -132,7 +133,7 @@ class Connection:
         self.root = root or tempfile.mkdtemp(prefix="pelagia-catalog-")
         self.datasets = datasets
         self.rewriter = Rewriter(
-            self._plain, _Functions(self), self._view, union_by_name, lambda fn, source, *more: spatial.cluster_over(self.sql(source).df, fn, *more)
+            lambda sql: self._plain(divisions(self._named(sql), self.spark, self._plain)), _Functions(self), self._view, union_by_name, lambda fn, source, *more: spatial.cluster_over(self.sql(source).df, fn, *more)
         )
         self.catalog = Catalog(spark, self.root)
         self.catalog.run = lambda sql: self.sql(sql).df
@@ -140,6 +141,7 @@ class Connection:
         self.user = user
         self.metrics: list[dict] = []
         self.default_table: str | None = None
+        spark.conf.set("spark.sql.timeType.enabled", "true")
         scalar.register(spark)
 
     # ---------------------------------------------------------------- helpers
@@ -160,11 +162,12 @@ class Connection:
         return self.spark.sql(sql, args={f"p{i + 1}": v for i, v in enumerate(args)}) if args else self.spark.sql(sql)
 
     def rewrite(self, sql: str) -> str:
+        return self._named(self.rewriter(sql))
+
+    def _named(self, text: str) -> str:
         from pelagia.plans.names import functions, tables
 
-        text = self.rewriter(sql)
-        text = functions(text, lambda: spatial.register(self.spark), self.spark)
-        return tables(text, self)
+        return tables(functions(text, lambda: spatial.register(self.spark), self.spark), self)
 
     # ---------------------------------------------------------------- queries
     def sql(self, sql: str, parameters: list | None = None) -> Relation:
@@ -179,7 +182,7 @@ class Connection:
             text = self.rewrite(sql)
             if self.user is not None:
                 self.authority.check_query(self, sql)
-            done = self._plain(text, parameters)
+            done = self._plain(divisions(text, self.spark, lambda t: self._plain(t, parameters)), parameters)
         self.metrics.append({"sql": sql, "seconds": time.time() - began})
         return Relation(self, done)
 
