@@ -126,26 +126,24 @@ def cut(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[pa.Table]:
-    """Tables that hold whole groups of a stream sorted by the keys: the last group of each waits for the next batch."""
+    """Tables that hold whole groups of a stream sorted by the keys: the last group of each waits for the batch that ends
+    it. A batch is looked at once, however long a group goes on."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
+        last = [batch.column(k)[batch.num_rows - 1] for k in keys]
+        same = np.ones(batch.num_rows, bool)
+        for k, v in zip(keys, last):
+            same &= batch.column(k).to_numpy() == v.as_py()
+        begin = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        fresh = held and [held[-1].column(k)[held[-1].num_rows - 1] for k in keys] != last
+        if rows + begin >= least and (begin or fresh):
+            yield pa.Table.from_batches([*held, batch.slice(0, begin)]).combine_chunks()
+            held, rows, batch = [], 0, batch.slice(begin)
         held.append(batch)
         rows += batch.num_rows
-        if rows < least:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks()
-        same = np.ones(rows, bool)
-        for k in keys:
-            col = whole[k].to_numpy()
-            same &= col == col[-1]
-        cutoff = rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cutoff:
-            yield whole.slice(0, cutoff)
-            rest = whole.slice(cutoff).combine_chunks()
-            held, rows = rest.to_batches(), rest.num_rows
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -9,11 +9,15 @@ long. Two exchanges, both aggregated in the task first, settle what repeats:
    passage in a third of all rows costs a row for each task; the others are settled on the spot. Where they meet,
    all but the earliest of an identical stretch are settled.
 2. texts: only where one anchor has different stretches do their texts meet, one for each distinct stretch, and
-   the caller's `resolve` decides which of their windows are repeats. An anchor with a crowd of different stretches
-   is dealt out window by window, by the window's own hash, so no anchor fills a task.
+   the caller's `resolve` decides which of their windows are repeats. An anchor with a crowd of different stretches (a
+   gram that a third of all rows may hold, in ever new surroundings) is salted: its stretches are cut into single windows
+   that meet by the window's own hash, and are resolved in the same way, so no anchor fills a task.
 
-Identity of stretches is decided on 128 bits (anchor and text hash). Rows are told apart by doc_id and a hash of their
-text, so repeated rows share one answer; a null doc_id counts as larger than all others.
+The first exchange brings the hashes of one anchor into one task (48 bytes a stretch), which holds MEET of them at most:
+a group that goes on is reduced to its different stretches, and once these are a crowd they pass through.
+
+Identity of stretches is decided on 128 bits (anchor and text hash). Rows are told apart by doc_id together with a hash of
+their text, so repeated rows share one answer; a null doc_id counts as larger than all others.
 """
 
 from __future__ import annotations
@@ -230,9 +234,11 @@ def _later(k: np.ndarray, s: np.ndarray, d: np.ndarray, start: np.ndarray, withi
 
 
 _SENT = "k long, s long, d long, row long, p long"
-_ENTRY = "row long, k long, p long"
+_ENTRY = "row long, d long, k long, p long"
 _TEXT = "k long, d long, row long, start int, n int, text binary, gone binary"
-_GONE = "row long, gone binary"
+_GONE = "row long, d long, gone binary"
+#: Stretches that a task holds of one anchor before it reduces them.
+MEET = 200_000
 
 
 def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -240,7 +246,7 @@ def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def entries(rows: DataFrame, p: Plan) -> DataFrame:
-    """row, k, p (start << 24 | windows): stretches that repeat an identical one wholly (k null), and those that share
+    """row, d, k, p (start << 24 | windows): stretches that repeat an identical one wholly (k null), and those that share
     anchor k with a different one."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,39 +287,79 @@ def entries(rows: DataFrame, p: Plan) -> DataFrame:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["k"], 100_000):
-            k, d, row, pos = (t[c].to_numpy() for c in ("k", "d", "row", "p"))
-            col = t["s"].combine_chunks()
-            settled = col.is_null().to_numpy(zero_copy_only=False)
-            s = col.fill_null(0).to_numpy()
-            at = np.flatnonzero(~settled)
-            order, lost = _later(k[at], s[at], d[at], pos[at], p.within)
-            order = at[order]
-            ok, os_ = k[order], s[order]
-            kept = order[~lost]
-            kk, ks = ok[~lost], os_[~lost]
-            group = np.cumsum(np.r_[True, ~_same(kk)]) - 1 if len(kk) else kk
-            texts = np.bincount(group, weights=np.r_[True, ~_same(kk, ks)]) if len(kk) else kk
-            mixed = kept[texts[group] > 1] if len(kk) else kept
-            crowded = texts[group][texts[group] > 1] > p.crowd if len(kk) else np.zeros(0, bool)
-            gone = np.concatenate([np.flatnonzero(settled), order[lost]])
-            yield pa.RecordBatch.from_arrays(
+        held: list[np.ndarray] = []  # columns k, s, d, row, p, settled in rows
+        count, hot = 0, None  # hot: an anchor whose stretches passed through already
+
+        def out(gone: np.ndarray, mixed: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+            """gone, mixed: columns k, s, d, row, p, settled of stretches that are done, and of those whose texts must meet."""
+            free = np.r_[np.ones(gone.shape[1], bool), np.zeros(mixed.shape[1], bool)]
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([row[gone], row[mixed]])),
-                    pa.array(np.concatenate([k[gone], k[mixed]]), mask=np.r_[np.ones(len(gone), bool), np.zeros(len(mixed), bool)]),
-                    pa.array(np.concatenate([pos[gone], pos[mixed] | (crowded.astype(np.int64) << 60)])),
+                    pa.array(np.concatenate([gone[3], mixed[3]])),
+                    pa.array(np.concatenate([gone[2], mixed[2]])),
+                    pa.array(np.concatenate([gone[0], mixed[0]]), mask=free),
+                    pa.array(np.concatenate([gone[4], mixed[4] | (crowded.astype(np.int64) << 60)])),
                 ],
-                ["row", "k", "p"],
+                ["row", "d", "k", "p"],
             )
 
+        def reduced(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Done, kept, and the number of different stretches of each kept one's anchor."""
+            live = np.flatnonzero(x[5] == 0)
+            k, s, d, _, pos, _ = x[:, live]
+            order, lost = _later(k, s, d, pos, p.within)
+            kept = live[order[~lost]]
+            kk, ks = x[0][kept], x[1][kept]
+            gone = x[:, np.concatenate([np.flatnonzero(x[5]), live[order[lost]]])]
+            if not len(kept):
+                return gone, x[:, kept], kept
+            group = np.cumsum(np.r_[True, ~_same(kk)]) - 1
+            texts = np.bincount(group, weights=np.r_[True, ~_same(kk, ks)]).astype(np.int64)
+            return gone, x[:, kept], texts[group]
+
+        def judged(x: np.ndarray) -> pa.RecordBatch:
+            gone, kept, texts = reduced(x)
+            crowded = (texts > p.crowd) | (kept[0] == hot if hot is not None else False)
+            mixed = (texts > 1) | crowded
+            return out(gone, kept[:, mixed], crowded[mixed])
+
+        def columns(batch: pa.RecordBatch) -> np.ndarray:
+            col = batch.column("s")
+            rest = [batch.column(c).to_numpy() for c in ("d", "row", "p")]
+            return np.stack([batch.column("k").to_numpy(), col.fill_null(0).to_numpy(), *rest, col.is_null().to_numpy(zero_copy_only=False).astype(np.int64)])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(columns(batch))
+                count += batch.num_rows
+            if count < MEET // 2:
+                continue
+            x = np.concatenate(held, axis=1)
+            last = int(np.searchsorted(x[0], x[0][-1]))
+            if last:
+                yield judged(x[:, :last])
+            x = x[:, last:]
+            if x.shape[1] > MEET // 2:
+                gone, kept, texts = reduced(x)
+                if (texts > p.crowd).any() or kept.shape[1] and kept[0][0] == hot:
+                    hot = kept[0][0]
+                    yield out(gone, kept, np.ones(kept.shape[1], bool))
+                    x = x[:, :0]
+                else:
+                    yield out(gone, kept[:, :0], np.zeros(0, bool))
+                    x = kept
+            held, count = [x], x.shape[1]
+        if count:
+            yield judged(np.concatenate(held, axis=1))
+
     sent = map_arrow(rows, send, _SENT)
     return map_arrow(sent.repartition("k").sortWithinPartitions("k"), meet, _ENTRY)
 
 
 def repeats(rows: DataFrame, p: Plan) -> DataFrame:
-    """row, gone: array of binaries, each pairs of int64 (first window, windows) that are repeats. rows: from keyed()."""
-    lists = entries(rows, p).groupBy("row").agg(F.collect_list(F.struct("k", "p")).alias("entries"))
-    joined = rows.repartition("row").join(lists, "row")
+    """row, d, gone: array of binaries, each pairs of int64 (first window, windows) that are repeats. rows: from keyed()."""
+    lists = entries(rows, p).groupBy("row", "d").agg(F.collect_list(F.struct("k", "p")).alias("entries"))
+    joined = rows.repartition("row", "d").join(lists, ["row", "d"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: dict[bytes, tuple[int, int, int]] = {}  # of crowds: the earliest place of each
@@ -393,26 +439,28 @@ def repeats(rows: DataFrame, p: Plan) -> DataFrame:
             done = t.filter(pa.array(settled))
             work = t.filter(pa.array(~settled))
             if work.num_rows:  # repeated rows send the same stretch twice
-                k, r, x = (work[c].to_numpy() for c in ("k", "row", "start"))
-                order = np.lexsort((x, r, k))
-                work = work.take(pa.array(np.sort(order[np.r_[True, ~_same(k[order], r[order], x[order])]])))
+                k, r, e, x = (work[c].to_numpy() for c in ("k", "row", "d", "start"))
+                order = np.lexsort((x, e, r, k))
+                work = work.take(pa.array(np.sort(order[np.r_[True, ~_same(k[order], r[order], e[order], x[order])]])))
             row, start = work["row"].to_numpy(), work["start"].to_numpy().astype(np.int64)
-            out_row, out = done["row"].to_pylist(), done["gone"].to_pylist()
+            out_row, out_d, out = done["row"].to_pylist(), done["d"].to_pylist(), done["gone"].to_pylist()
             if len(row):
-                i, first, count = p.resolve(work["d"].to_numpy(), start, work["text"].to_pylist())
-                order = np.argsort(row[i], kind="stable")
+                d = work["d"].to_numpy()
+                i, first, count = p.resolve(d, start, work["text"].to_pylist())
+                order = np.lexsort((d[i], row[i]))
                 i, first, count = i[order], first[order], count[order]
                 pairs = np.stack([start[i] + first, count], 1)
-                edge = np.flatnonzero(np.r_[True, row[i][1:] != row[i][:-1]]) if len(i) else i
+                edge = np.flatnonzero(np.r_[True, ~_same(row[i], d[i])]) if len(i) else i
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(i)]):
                     out_row.append(int(row[i[a]]))
+                    out_d.append(int(d[i[a]]))
                     out.append(pairs[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_row, pa.int64()), pa.array(out, pa.binary())], ["row", "gone"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_row, pa.int64()), pa.array(out_d, pa.int64()), pa.array(out, pa.binary())], ["row", "d", "gone"])
 
     # all columns of `rows` go in, so that this exchange of the texts is the one that with_repeats() joins again
     sent = map_arrow(joined, send, _TEXT)
     met = map_arrow(sent.repartition("k").sortWithinPartitions("k"), meet, _GONE)
-    return met.groupBy("row").agg(F.collect_list("gone").alias("gone"))
+    return met.groupBy("row", "d").agg(F.collect_list("gone").alias("gone"))
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -427,7 +475,7 @@ def merge(spans: np.ndarray) -> np.ndarray:
 def with_repeats(docs: DataFrame, p: Plan, rest: bool = False) -> DataFrame:
     """d, text, row, gone (null: nothing) for every row of docs; with rest, a struct of the other columns."""
     rows = keyed(docs, rest)
-    return rows.repartition("row").join(repeats(rows, p), "row", "left")
+    return rows.repartition("row", "d").join(repeats(rows, p), ["row", "d"], "left")
 
 
 def covered(n: int, gone: list[bytes] | None, length: int) -> np.ndarray:

@@ -1,11 +1,11 @@
-"""Suffix-array dedup by a truncated suffix sort.
+"""Suffix-array dedup by longest previous factors.
 
 Every byte covered by a string of `length` bytes that also starts earlier in the corpus (smaller doc_id, or
 earlier in the same document) is removed; the first copy stays. Candidate stretches of text meet by anchor (see
-routing); there they are put in corpus order into one text, whose window starts are sorted by their first `length` bytes only;
-all but the first of equal ones are repeats. These are the positions whose longest previous factor reaches `length`:
-suffix_order, lcp_array and longest_previous_factor compute that form, for the tests only. Stretches that are identical
-as a whole are resolved before, so the sort covers only text where copies differ.
+routing); there they are put in corpus order into one text. Its window starts get a suffix array with LCP values (both
+up to `length` bytes, as no longer factor is asked for); the previous and next smaller positions of each in suffix order
+give its longest previous factor, and where that reaches `length`, a window is a later copy. What routing settles before by
+128 bits of hash are stretches that repeat another as a whole.
 
 Defined cases: null text is empty; texts under `length` bytes lose nothing; overlapping repeats of one text
 count; repeated rows (same doc_id and text) get the same answer and do not repeat each other; a null doc_id
@@ -30,95 +30,65 @@ LENGTH = 100
 GRAM = 24
 
 
-def suffix_order(text: bytes, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their suffixes, and the rank of each position's first `depth` bytes (all, if None).
+def suffix_array(text: bytes, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices into `starts` (ascending positions) in the order of the first `depth` bytes of the suffixes there, ties in
+    text order, and each one's common prefix with its predecessor, up to depth.
 
-    Prefix doubling; with a depth, positions equal to that depth stay in text order."""
-    n = len(text)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pad = np.frombuffer(text + bytes(8), np.uint8).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    got = min(7 if depth is None else depth, 7)  # 9 bits a byte: the end of the text sorts before byte 0
-    for j in range(got):
-        live = np.arange(n) + j < n
-        key = key << np.uint64(9) | np.where(live, pad[j : j + n] + np.uint64(1), np.uint64(0))
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while got < (depth or n) and (depth is not None or rank.max() < n - 1):
-        step = got if depth is None else min(got, depth - got)
-        after = np.zeros(n, np.int64)
-        after[: max(n - step, 0)] = rank[step:] + 1
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
-        got += step
-    return np.argsort(rank, kind="stable"), rank
-
-
-def lcp_array(text: bytes, order: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix with its predecessor in suffix order (Kasai)."""
-    n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    lcp, h = [0] * n, 0
-    sa, at = order.tolist(), place.tolist()
-    for i in range(n):
-        if at[i]:
-            j = sa[at[i] - 1]
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            lcp[at[i]] = h
-            h -= h > 0
-        else:
-            h = 0
-    return np.array(lcp, np.int64)
-
-
-def longest_previous_factor(text: bytes) -> np.ndarray:
-    """For each position the longest match with an earlier one: the better of its previous and next smaller
-    position in suffix order."""
-    order, _ = suffix_order(text)
-    lcp = lcp_array(text, order).tolist()
-    sa = order.tolist()
-    out = [0] * len(sa)
-    stack: list[tuple[int, int]] = []  # (position, least LCP to what comes after it)
-    for i, p in enumerate(sa):
-        common = lcp[i]
-        while stack and stack[-1][0] > p:
-            q, c = stack.pop()
-            out[q] = max(out[q], common)  # p is q's next smaller position
-            common = min(common, c)
-        if stack:
-            out[p] = max(out[p], common)
-        stack.append((p, common))
-    return np.array(out, np.int64)
-
-
-def repeated_starts(text: bytes, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of these (ascending) positions have a longest previous factor, among them, of at least `length`.
-
-    The suffixes that start there are ordered eight bytes at a time; a suffix leaves as soon as no other shares its
-    prefix. Cut off at `length`, suffixes with that much in common are equal and stand in text order: for all of
-    them but the first the previous smaller position reaches `length`; for none does the next smaller one."""
+    Eight bytes at a time; a suffix keeps its place as soon as no other shares its prefix. Past its end the text counts as
+    zero bytes in the order, so zero bytes of its own must not stand within `depth` bytes of its end."""
     n = len(text)
     eight = np.empty(n + 8, np.uint64)
     pad = text + bytes(16)
     for o in range(8):
         eight[o::8] = np.frombuffer(pad, ">u8", len(range(o, n + 8, 8)), o)
-    at = np.arange(len(starts))  # in suffix order, as far as it is known
+    order, lcp = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    place = np.arange(len(starts))  # in the order, of suffixes that share their prefix with a neighbour
     group = np.zeros(len(starts), np.int64)
     done = 0
-    while done < length and len(at):
-        key = eight[starts[at] + done]
-        if length - done < 8:
-            key = key >> np.uint64(8 * (8 - (length - done)))
-        order = np.lexsort((key, group))
-        at, key, group = at[order], key[order], group[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]
+    while done < depth and len(place):
+        here = order[place]
+        key = eight[np.minimum(starts[here] + done, n)]
+        if depth - done < 8:
+            key = key & ~np.uint64((1 << 8 * (8 - (depth - done))) - 1)
+        by = np.lexsort((key, group))
+        key = key[by]
+        order[place] = here[by]
+        parted = np.r_[False, (key[1:] != key[:-1]) & (group[1:] == group[:-1])]
+        differ = key[parted] ^ key[np.flatnonzero(parted) - 1]
+        lcp[place[parted]] = done + sum((differ < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+        new = parted | np.r_[True, group[1:] != group[:-1]]
         group = np.cumsum(new)
         shared = ~new | ~np.r_[new[1:], True]
-        at, group = at[shared], group[shared]
+        place, group = place[shared], group[shared]
         done += 8
-    out = np.zeros(len(starts), bool)
-    out[at[1:][group[1:] == group[:-1]]] = True
+    if len(place):
+        lcp[place[np.r_[False, group[1:] == group[:-1]]]] = depth
+    room = n - starts[order]
+    return order, np.minimum(lcp, np.minimum(room, np.r_[0, room[:-1]]))
+
+
+def _smaller(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """Common prefix of each suffix with its previous smaller position in suffix order (0: none, or less than `least`).
+
+    All suffixes jump at once: what lies between a suffix and the one it looks at is larger than itself, so it may take over
+    that one's own jump."""
+    back, common = np.arange(len(order)) - 1, lcp.copy()
+    live = np.flatnonzero(common >= max(least, 1))
+    while len(live := live[order[back[live]] > order[live]]):
+        at = back[live]
+        common[live], back[live] = np.minimum(common[live], common[at]), back[at]
+        live = live[(common[live] >= max(least, 1)) & (back[live] >= 0)]
+    return np.where((back >= 0) & (order[back] < order) & (common >= least), common, 0)
+
+
+def longest_previous_factor(text: bytes, starts: np.ndarray, depth: int, least: int = 1) -> np.ndarray:
+    """For each of these (ascending) positions the longest match, up to `depth` bytes, with an earlier one of them: the better
+    of its previous and next smaller position in suffix order. Matches under `least` bytes may be given as 0."""
+    order, lcp = suffix_array(text, starts, depth)
+    before = _smaller(order, lcp, least)
+    after = _smaller(order[::-1], np.r_[0, lcp[:0:-1]] if len(lcp) else lcp, least)[::-1]
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -130,7 +100,8 @@ def _resolver(length: int):
         windows = size - length
         owner = np.repeat(np.arange(len(order)), windows)
         offset = np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]
-        at = np.flatnonzero(repeated_starts(flat, (np.cumsum(size) - size)[owner] + offset, length))
+        factor = longest_previous_factor(flat, (np.cumsum(size) - size)[owner] + offset, length, length)
+        at = np.flatnonzero(factor >= length)
         if not len(at):
             return at, at, at
         runs = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
@@ -199,3 +170,20 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+h AS (SELECT doc_id, i, md5(array_slice(x, i + 1, i + 100)) AS m
+      FROM (SELECT doc_id, x, unnest(range(0, octet_length(x) - 99)) AS i FROM d WHERE octet_length(x) >= 100)),
+later AS (SELECT doc_id, i FROM h QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS fresh FROM later),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM spans),
+kept AS (SELECT doc_id, string_agg(hex(array_slice(x, z + 1, a)), '' ORDER BY a) || hex(array_slice(any_value(x), max(b) + 1, octet_length(any_value(x)))) AS k,
+         sum(b - a) AS n, count(*) AS c FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(d.x) AS BIGINT) AS n_bytes, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(kept.c, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN kept.k IS NULL THEN d.x ELSE unhex(kept.k) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

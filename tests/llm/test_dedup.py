@@ -3,9 +3,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pelagia.llm import routing, substring_dedup, suffix_dedup
+from pelagia.llm import common, routing, substring_dedup, suffix_dedup
 
 
 def slow_bytes(docs, length):
@@ -118,18 +119,45 @@ def test_edge_rows(spark):
 
 def test_longest_previous_factor():
     r = random.Random(5)
-    for _ in range(40):
-        text = bytes(r.choice(b"ab") for _ in range(r.randrange(0, 60)))
+    for turn in range(60):
+        text = bytes(r.choice(b"ab" if turn % 3 else b"a\xff\x01") for _ in range(r.randrange(0, 60)))
         n = len(text)
-        want = [
-            max((next((k for k in range(n - i + 1) if i + k == n or text[j + k] != text[i + k]), 0) for j in range(i)), default=0)
-            for i in range(n)
-        ]
-        assert suffix_dedup.longest_previous_factor(text).tolist() == want
-        for length in (1, 3, 9):
-            starts = np.arange(max(n - length + 1, 0))
-            got = suffix_dedup.repeated_starts(text, starts, length)
-            assert got.tolist() == [want[i] >= length for i in starts]
+        match = lambda i, j: next((k for k in range(n - i + 1) if i + k == n or text[j + k] != text[i + k]), 0)  # noqa: B023, E731
+        for starts in (np.arange(n), np.array(sorted(r.sample(range(n), n // 2)), np.int64)):
+            want = [max((match(i, j) for j in starts.tolist() if j < i), default=0) for i in starts.tolist()]
+            for depth in (1, 3, 8, 9, 70):
+                got = suffix_dedup.longest_previous_factor(text, starts, depth)
+                assert got.tolist() == [min(w, depth) for w in want]
+                got = suffix_dedup.longest_previous_factor(text, starts, depth, depth)
+                assert (got >= depth).tolist() == [w >= depth for w in want]
+
+
+def test_whole_groups():
+    r = random.Random(8)
+    for _ in range(30):
+        keys = sorted(r.randrange(6) for _ in range(r.randrange(1, 80)))
+        table = pa.table({"k": pa.array(keys, pa.int64()), "v": pa.array(range(len(keys)))})
+        got = list(common.whole_groups(iter(table.to_batches(max_chunksize=r.randrange(1, 9))), ["k"], r.randrange(1, 20)))
+        assert [v for t in got for v in t["v"].to_pylist()] == list(range(len(keys)))
+        assert sum(len(set(t["k"].to_pylist())) for t in got) == len(set(keys))
+
+
+@pytest.mark.parametrize("most", [10, 200_000])
+def test_gram_in_every_document(spark, monkeypatch, most):
+    """One long gram in ever new surroundings, in more documents than a crowd, with real copies among them."""
+    monkeypatch.setattr(routing, "MEET", most)
+    r = random.Random(11)
+    gram = "the same frequent phrase that is in every single document here "
+    side = lambda: "".join(r.choice("abcdefghij") for _ in range(90))
+    rows = [(i, side() + gram + side()) for i in range(150)]
+    rows += [(200 + i, side() + rows[i][1] + side()) for i in range(0, 40, 5)]
+    for module, plan in ((suffix_dedup, suffix_dedup.plan), (substring_dedup, substring_dedup.plan)):
+        monkeypatch.setattr(module, "plan", lambda length, plan=plan: dataclasses.replace(plan(length), crowd=20, held=30))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.digests(docs).collect()}
+    assert got == {i: int(mask.sum()) for i, _, mask in slow_bytes(rows, 100)} and sum(got.values()) > 0
+    got = {x.doc_id: x.n_removed for x in substring_dedup.substring_dedup(docs, 8).collect()}
+    assert got == {i: int(mask.sum()) for i, _, mask in slow_words(rows, 8)}
 
 
 def test_windows_choose_equal_anchors():
