@@ -4,8 +4,10 @@ A text is split by a pattern; each match is encoded by itself. Matches that the
 encoded together: their bytes fill matrices of rows of similar length, padded with -1; in every round each row
 merges its leftmost pair of minimum rank, found by an open-addressing hash table of all pairs whose
 concatenation is in the vocabulary; rows that have no such pair leave the matrix, and the others are
-compacted by one column. Matches over LONG bytes, where a matrix would take quadratic work, go through
-a heap of the same pairs (same order: rank, then position). Results equal tiktoken's encode_ordinary.
+compacted by one column. Matches over LONG bytes would make wide matrices whose every round is as long as they are: they lie
+one after another in a matrix of tiles, where a round takes all places of the least rank at once (for pairs of one rank,
+that is the same as the leftmost first) and looks only at the tiles that hold it; merged places stay empty instead
+of being compacted. Results equal tiktoken's encode_ordinary.
 
 The vocabulary comes from a file whose path is a parameter; it and the pair table, whose size the vocabulary
 bounds, are broadcast. A worker remembers at most CACHE matches.
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pelagia.llm.common import arrow_map, long_ids, table
 
 LONG = 128
+TILE = 256
 CACHE = 200_000
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -125,14 +127,18 @@ class Bpe:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(pieces)
         by_width: dict[int, list[int]] = {}
+        wide: list[int] = []
         for k, p in enumerate(pieces):
             i = self.ranks.get(p)
             if i is not None:
                 out[k] = i.to_bytes(4, "little")
             elif len(p) > LONG:
-                out[k] = self._heap(p)
+                wide.append(k)
             else:
                 by_width.setdefault(max(4, 1 << (len(p) - 1).bit_length()), []).append(k)
+        if wide:
+            for k, ids in zip(wide, self._tiles([pieces[k] for k in wide])):
+                out[k] = ids
         for width, rows in by_width.items():
             for a in range(0, len(rows), 1 << 15):
                 self._matrix(pieces, rows[a : a + (1 << 15)], width, out)
@@ -170,27 +176,51 @@ class Bpe:
             has = j < w - 2
             rank[r[has], j[has]] = self.pair_ranks(ids[r[has], j[has]], ids[r[has], j[has] + 1])
 
-    def _heap(self, piece: bytes) -> bytes:
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        tokens, ranks = self.tokens, self.ranks
-        rank = lambda i: ranks.get(tokens[ids[i]] + tokens[ids[after[i]]]) if after[i] < n else None
-        heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or rank(i) != r:
-                continue
-            k = after[i]
-            ids[i], ids[k] = r, -1
-            after[i] = after[k]
-            if after[i] < n:
-                before[after[i]] = i
-            for m in (before[i], i):
-                if m >= 0 and (got := rank(m)) is not None:
-                    heapq.heappush(heap, (got, m))
-        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+    def _tiles(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of long pieces, which lie in tiles of TILE places, one piece after another with an empty place between."""
+        flat = b"\0".join(pieces)
+        n = -(-(len(flat) + 2) // TILE) * TILE  # an empty place at the end, which the first place's left neighbour wraps to
+        ids = np.full(n, -1, np.int32)
+        ids[: len(flat)] = self.byte_ids[np.frombuffer(flat, np.uint8)]
+        size = np.array([len(p) for p in pieces])
+        begin = np.cumsum(size + 1) - size - 1
+        ids[begin[1:] - 1] = -1
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[-1], before[0] = n - 1, n - 1
+        rank = self.pair_ranks(ids, ids[after])
+        tiles = rank.reshape(-1, TILE)
+        least = tiles.min(1)
+        while (r := least.min()) != _NONE:
+            held = np.flatnonzero(least == r)
+            row, col = np.nonzero(tiles[held] == r)
+            at = held[row] * TILE + col
+            # of places in a chain (each one's right neighbour is the next), every second stays: the leftmost come first
+            linked = np.r_[False, after[at[:-1]] == at[1:]]
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(linked, 0, place))) % 2 == 0]
+            left = before[at]
+            if len(at) > 1 and self._lower(ids, after, at, left, r):
+                at, left = at[:1], left[:1]
+            gone = after[at]
+            ids[at], ids[gone] = r, -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            rank[gone] = _NONE
+            rank[at] = self.pair_ranks(ids[at], ids[after[at]])
+            rank[left] = self.pair_ranks(ids[left], ids[after[left]])
+            touched = np.unique(np.concatenate([at, left, gone]) // TILE)
+            least[touched] = tiles[touched].min(1)
+        whole = [ids[a : a + m] for a, m in zip(begin.tolist(), size.tolist())]
+        return [x[x >= 0].astype("<u4").tobytes() for x in whole]
+
+    def _lower(self, ids: np.ndarray, after: np.ndarray, at: np.ndarray, left: np.ndarray, r: int) -> bool:
+        """Whether merging these places would make a pair of lower rank, which would then have to come before the next of
+        them; a vocabulary that was trained has no such pairs."""
+        right, kept = ids[after[after[at]]], ids[at]  # to the right stands what is not merged yet
+        ids[at] = r
+        found = min(self.pair_ranks(ids[at], right).min(), self.pair_ranks(ids[left], ids[at]).min())
+        ids[at] = kept
+        return bool(found < r)
 
     def split(self, text: str) -> list[str]:
         if self._fast is None or self._uncommon(text) and not self._odd.isdisjoint(text):
