@@ -2,12 +2,12 @@
 
 Texts are lower-cased and reduced to words of letters, digits and non-ASCII characters, joined by one
 space; every rule is a regular expression over that string, bounded by word edges. A rule runs only on texts
-that hold its keyword, and no rule at all runs on texts without one of GATES. Detections are resolved in rule
+that hold its keyword (which each of its matches contains), and no rule at all runs on texts without one of GATES. Detections are resolved in rule
 order (earlier rules have priority): one whose interval lies inside the interval of a detection of higher or
 equal priority is suppressed. What is left gives labels. Three base phrases are counted at every place where
 their words stand consecutively, and their labels always stay.
 
-score: 1 minus the product of (1 - confidence) over the distinct detections; 0.95 for full texts, 0.9 for
+score: 1 minus the product of (1 - confidence) over the labels, each by its surest detection; 0.95 for full texts, 0.9 for
 SPDX tags, base phrases and URLs, 0.8 for full names, 0.6 for short names; 0 without any.
 
 Defined cases: null or empty text: no words, no places, empty labels, score 0. Repeated rows: each scanned.
@@ -16,7 +16,10 @@ Defined cases: null or empty text: no words, no places, empty labels, score 0. R
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from pelagia.llm.common import ALNUM, arrow_map, long_ids, table, texts
 
 BASE = ((b" under the mit license ", "mit"), (b" apache license version 2 ", "apache-2"), (b" cc by nc ", "cc-by-nc"))
-#: Every keyword below contains one of these.
-GATES = (b"licen", b"copyright", b"spdx", b"public domain", b"creative", b"cc0", b" cc by ", b"gpl", b"warrant", b"redistribut", b"permission", b"reserved", b"copying", b"eula")
+#: Every keyword below contains one of these, and every match of a rule contains its keyword.
+GATES = (b"licen", b"copyright", b"spdx", b"public domain", b"creative", b"cc0", b" cc by ", b"gpl", b"warrant", b"redistribut", b"permission", b"reserved", b"copying", b"eula", b"consortium", b"endorse", b"advertising", b"reproduction", b"openssl", b"retain", b"eclipse", b"sil org", b"wtfpl")
 
 #: Sections in order of priority: (confidence, lines of `label | keyword | regex`). Words are lower case
 #: with single spaces; punctuation has become spaces (`Apache-2.0` is `apache 2 0`).
@@ -33,16 +36,16 @@ _TEXTS = r"""
 mit | permission | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit | permission | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 mit-0 | permission | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: \S+){10,40} furnished to do so the software is provided as is
-x11 | permission | except as contained in this notice the name of the x consortium shall not be used
+x11 | consortium | except as contained in this notice the name of the x consortium shall not be used
 isc | permission | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
 0bsd | permission | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software
 hpnd | permission | permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose
 bsd-2-clause | redistribut | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met(?! (?:\S+ ){0,120}neither the name)
-bsd-3-clause | redistribut | neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse or promote products
-bsd-4-clause | copyright | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd-3-clause | endorse | neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse or promote products
+bsd-4-clause | advertising | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 bsd-1-clause | redistribut | redistributions of source code must retain the above copyright notice this list of conditions
 apache-2 | licen | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
-apache-2 | licen | terms and conditions for use reproduction and distribution 1 definitions
+apache-2 | reproduction | terms and conditions for use reproduction and distribution 1 definitions
 apache-1.1 | redistribut | the end user documentation included with the redistribution if any must include the following acknowledge?ment
 gpl-2 | licen | gnu general public license version 2 june 1991
 gpl-3 | licen | gnu general public license version 3 29 june 2007
@@ -69,12 +72,12 @@ zlib | warrant | this software is provided as is without any express or implied
 bsl-1 | permission | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
 postgresql | permission | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
 artistic-2 | licen | this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed
-openssl | redistribut | this product includes software developed by the openssl project
+openssl | openssl | this product includes software developed by the openssl project
 ofl-1.1 | licen | this font software is licensed under the sil open font license version 1 1
 afl-3 | licen | licensed under the academic free license version 3 0
 osl-3 | licen | licensed under the open software license version 3 0
 eupl-1.2 | licen | licensed under the eupl (?:version )?1 2
-beerware | licen | as long as you retain this notice you can do whatever you want with this stuff
+beerware | retain | as long as you retain this notice you can do whatever you want with this stuff
 python-2 | licen | python software foundation license version 2
 ms-pl | licen | this license governs use of the accompanying software if you use the software you accept this license
 proprietary | reserved | all rights reserved unauthorized copying of this file via any medium is strictly prohibited
@@ -96,8 +99,8 @@ gfdl | licen | gnu org licenses fdl
 gpl | licen | gnu org licenses gpl
 lgpl | licen | gnu org licenses lgpl
 mpl-2 | licen | mozilla org mpl 2 0(?: licen[sc]e)?
-epl-2 | licen | eclipse org legal epl 2 0
-epl-1 | licen | eclipse org legal epl v10
+epl-2 | eclipse | eclipse org legal epl 2 0
+epl-1 | eclipse | eclipse org legal epl v10
 isc | licen | opensource org licenses? isc
 zlib | licen | opensource org licenses? zlib
 bsl-1 | licen | boost org license 1 0
@@ -123,30 +126,30 @@ public-domain | creative | creativecommons org publicdomain mark 1 0
 odbl-1 | licen | opendatacommons org licenses odbl
 odc-by-1 | licen | opendatacommons org licenses by
 pddl-1 | licen | opendatacommons org licenses pddl
-ofl-1.1 | licen | scripts sil org ofl
-wtfpl | licen | wtfpl net
+ofl-1.1 | sil org | scripts sil org ofl
+wtfpl | wtfpl | wtfpl net
 ogl-uk-3 | licen | nationalarchives gov uk doc open government licence version 3
 """
 _TAGS = r"""
 apache-2 | spdx | spdx license identifier apache 2 0
-mit | spdx | spdx license identifier mit
 mit-0 | spdx | spdx license identifier mit 0
+mit | spdx | spdx license identifier mit
 bsd-2-clause | spdx | spdx license identifier bsd 2 clause
 bsd-3-clause | spdx | spdx license identifier bsd 3 clause
 bsd-4-clause | spdx | spdx license identifier bsd 4 clause
 0bsd | spdx | spdx license identifier 0bsd
 isc | spdx | spdx license identifier isc
 zlib | spdx | spdx license identifier zlib
-gpl-2 | spdx | spdx license identifier gpl 2 0(?: only)?
 gpl-2-or-later | spdx | spdx license identifier gpl 2 0 or later
-gpl-3 | spdx | spdx license identifier gpl 3 0(?: only)?
+gpl-2 | spdx | spdx license identifier gpl 2 0(?: only)?
 gpl-3-or-later | spdx | spdx license identifier gpl 3 0 or later
-lgpl-2.1 | spdx | spdx license identifier lgpl 2 1(?: only)?
+gpl-3 | spdx | spdx license identifier gpl 3 0(?: only)?
 lgpl-2.1-or-later | spdx | spdx license identifier lgpl 2 1 or later
-lgpl-3 | spdx | spdx license identifier lgpl 3 0(?: only)?
+lgpl-2.1 | spdx | spdx license identifier lgpl 2 1(?: only)?
 lgpl-3-or-later | spdx | spdx license identifier lgpl 3 0 or later
-agpl-3 | spdx | spdx license identifier agpl 3 0(?: only)?
+lgpl-3 | spdx | spdx license identifier lgpl 3 0(?: only)?
 agpl-3-or-later | spdx | spdx license identifier agpl 3 0 or later
+agpl-3 | spdx | spdx license identifier agpl 3 0(?: only)?
 mpl-2 | spdx | spdx license identifier mpl 2 0
 mpl-1.1 | spdx | spdx license identifier mpl 1 1
 epl-1 | spdx | spdx license identifier epl 1 0
@@ -325,16 +328,32 @@ def detect(flat: bytes) -> list[tuple[int, int, str, float]]:
         return []
     has: dict[bytes, bool] = {}
     kept: list[tuple[int, int, str, float]] = []
+    starts: list[int] = []
+    reach: list[int] = []  # the furthest end of the kept detections up to each, in the order of their starts
     for label, keyword, pattern, confidence in RULES:
         if keyword not in has:
             has[keyword] = keyword in flat
         if not has[keyword]:
             continue
+        new = []  # a rule's own matches do not overlap
         for m in pattern.finditer(flat):
             a, b = m.span()
-            if not any(x <= a and b <= y for x, y, _, _ in kept):
-                kept.append((a, b, label, confidence))
-    return sorted(kept)
+            i = bisect_right(starts, a)
+            if not i or reach[i - 1] < b:
+                new.append((a, b, label, confidence))
+        if new:
+            kept += new
+            kept.sort()
+            starts = [x[0] for x in kept]
+            reach = list(accumulate((x[1] for x in kept), max))
+    return kept
+
+
+def word_numbers(flat: bytes, at: list[int]) -> list[int]:
+    """The words that start after the spaces at these offsets of b' word word ', counted from 0."""
+    if not at:
+        return []
+    return np.searchsorted(np.flatnonzero(np.frombuffer(flat, np.uint8) == 32), at).tolist()
 
 
 def base_places(flat: bytes) -> list[tuple[int, str]]:
@@ -355,7 +374,10 @@ def detections(docs: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for i, t in zip(long_ids(batch).to_pylist(), texts(batch)):
             flat = b" " + b" ".join(t.translate(ALNUM).split()) + b" "
-            rows += [(i, flat.count(b" ", 0, a) - 1, flat.count(b" ", a, b) + 1, x, c) for a, b, x, c in detect(flat)]
+            found = detect(flat)
+            first = word_numbers(flat, [a - 1 for a, *_ in found])
+            last = word_numbers(flat, [b for _, b, *_ in found])
+            rows += [(i, f, e - f, x, c) for f, e, (_, _, x, c) in zip(first, last, found)]
         cols = list(zip(*rows)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "first_word", "n_words", "label", "confidence"])
@@ -380,7 +402,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
             left = 1.0
             for label in sorted(sure):
                 left *= 1.0 - sure[label]
-            at = [flat.count(b" ", 0, p[0] + 1) - 1 for p in (places[:1] + places[-1:])]
+            at = word_numbers(flat, [p[0] for p in places[:1] + places[-1:]])
             row = (len(words), len(places), at[0] if at else None, at[-1] if at else None, ",".join(base), ",".join(sorted(sure)), 1.0 - left)
             for col, value in zip(cols, row):
                 col.append(value)
