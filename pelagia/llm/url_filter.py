@@ -8,12 +8,13 @@ until a level lets nothing wrong through. Over the universe from which it was bu
 no page is joined with the rules. A second cascade over the rules themselves tells block from allow.
 
 Sizes: the first level has about 1.44 * log2(universe / rules) bits a rule, the later ones a few bits for
-each key they hold, so what travels in the plan grows with the rules and the logarithm of the corpus; over
-`max_bits` in all the builder raises, and the caller should split the rules.
+each key they hold, so what travels in the plan grows with the rules and the logarithm of the corpus: one binary literal a
+level, of seven bits a byte (so that a byte is a character, which built-in functions turn into a number). Over `max_bits`
+in all (about 38 MB) or `max_levels` the builder raises, and the caller should split the rules.
 
 Defined cases: null url, or one without `://`: host and path empty, no rule, verdict `allow` (not listed).
 Empty table: no rows. Repeated rows: each judged. Other columns do not matter; clashing names are dropped
-before use. Between fitting rules the longest host + path wins (ties cannot occur: they would be one rule).
+before use. Between fitting rules the longest host + path wins; of rules of one length, that with the longest host.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ RULES = (
 class Level:
     bits: int
     hashes: int
-    words: tuple[int, ...]  # 64 bits each
+    packed: bytes  # 7 bits a byte, lowest first
 
 
 def _position(key: Column, level: int, i: int, bits: int) -> Column:
@@ -47,33 +48,34 @@ def _position(key: Column, level: int, i: int, bits: int) -> Column:
 
 
 def _passes(key: Column, level: int, f: Level) -> Column:
-    words = F.array(*[F.lit(w).cast("long") for w in f.words])
+    packed = F.lit(f.packed)
     hit = F.lit(True)
     for i in range(f.hashes):
         at = _position(key, level, i, f.bits)
-        word = F.element_at(words, (F.floor(at / 64) + 1).cast("int"))
-        bit = F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-        hit = hit & (bit == 1)
+        seven = F.ascii(F.substring(packed, (F.floor(at / 7) + 1).cast("int"), F.lit(1)).cast("string"))
+        hit = hit & (F.call_function("shiftright", seven, (at % 7).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return hit
 
 
 def _fill(keys: DataFrame, level: int, bits: int, hashes: int) -> Level:
-    """A level with all keys set: positions become 64-bit words by bit_or, before the shuffle."""
+    """A level with all keys set: positions become words of 56 bits by bit_or, before the shuffle; the driver gets these
+    words (no more than the level has)."""
     at = F.explode(F.array(*[_position(F.col("key"), level, i, bits) for i in range(hashes)]))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 56).cast("int"))
     got = (
         keys.select(at.alias("at"))
-        .groupBy(F.floor(F.col("at") / 64).cast("int").alias("w"))
+        .groupBy(F.floor(F.col("at") / 56).cast("int").alias("w"))
         .agg(F.bit_or(one).alias("bits"))
-        .collect()
+        .toLocalIterator()
     )
-    words = [0] * ((bits + 63) // 64)
-    for r in got:
-        words[r["w"]] = r["bits"]
-    return Level(bits, hashes, tuple(words))
+    packed = bytearray(8 * (-(-bits // 56)))
+    for w, word in got:
+        for k in range(8):
+            packed[8 * w + k] = word >> 7 * k & 127
+    return Level(bits, hashes, bytes(packed))
 
 
-def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 20, max_levels: int = 40) -> list[Level]:
+def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 28, max_levels: int = 40) -> list[Level]:
     """Levels that separate the keys of `listed` from all other keys of `universe` (both: column key).
 
     The driver gets counts and bit words, never keys."""
