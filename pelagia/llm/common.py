@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -36,7 +37,33 @@ def scratch(spark: SparkSession) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='pelagia-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/pelagia-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/pelagia-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Folders that this process made and has not deleted.
+_made: list[str] = []
+
+
+def made() -> int:
+    """A mark for drop_made()."""
+    return len(_made)
+
+
+def drop_made(spark: SparkSession, since: int, but: DataFrame | None = None) -> None:
+    """Deletes the folders made since the mark, except the one that `but` reads: what it was computed from is done."""
+    kept = but.inputFiles()[:1] if but is not None else []
+    for path in _made[since:]:
+        if not any(path.rsplit("/", 1)[1] in name for name in kept):
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
 
 
 #: Rows of a few numbers that one file of a small table holds.
@@ -58,11 +85,9 @@ def materialise(df: DataFrame, rows: int | None = None, **options) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes what materialise() wrote, through Hadoop's file system (any store)."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        folder = name.rsplit("/", 1)[0]
+        _delete(df.sparkSession, next((m for m in _made if m.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]), folder))
 
 
 def release() -> None:
@@ -87,6 +112,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         release()
 
     bounded(df.sparkSession)
+    ensure_package(df.sparkSession)
     return df.mapInArrow(tidy, schema)
 
 
@@ -168,7 +194,8 @@ def components(edges: DataFrame, most_rounds: int = 60, rows: int | None = None)
     """Connected components of edges (u, v): rows (node, component), component the smallest node reachable.
 
     Alternates large-star and small-star steps (each a partial aggregation and a join, which adaptive
-    execution splits when a node is hot), each written to the shared folder, until nothing changes. Nodes
+    execution splits when a node is hot), each written to the shared folder, until nothing changes (a number of rounds that
+    grows with the logarithm of the nodes; most_rounds only guards against an endless loop). Nodes
     without edges are not listed. Only counts come to the driver. rows: about how many nodes there are."""
     now = materialise(
         edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows
@@ -202,9 +229,9 @@ def components(edges: DataFrame, most_rounds: int = 60, rows: int | None = None)
 
 
 def ensure_package(spark: SparkSession) -> None:
-    """On a cluster of several machines, ships this package to the executors once."""
+    """Ships this package to the executors of a cluster, once a session: the driver serves the archive."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_pelagia_shipped", False):
+    if re.match(r"local(\[|$)", sc.master) or getattr(sc, "_pelagia_shipped", False):
         return
     import zipfile
 
