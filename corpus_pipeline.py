@@ -59,6 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    begun = common.made()
     for _, stage in STAGES:
         docs = common.materialise(stage(spark, docs, sf_dir))
+        common.drop_made(spark, begun, docs)  # the stage's predecessor and its own intermediates
     return docs
