@@ -8,9 +8,11 @@ bucket of its own key in each probed partition, and the buckets of keys up to t_
 candidates are verified on all 64 bits and only a spanning forest of the links is emitted, so a group of copies
 gives as many rows as it has members, not as pairs.
 
-A bucket of more than `dense` fingerprints is not searched pair by pair: its members are linked through all
-values at most half the radius away from them (two are within an even radius exactly if they share one),
-aggregated by value, which is linear in the members and spreads over the cluster.
+A bucket of more than `dense` fingerprints is split by the same principle over the bits outside its partition: bit
+statistics of the crowded members, partitions and thresholds anew, probes into finer buckets. A bucket that is crowded after
+ROUNDS rounds holds one tight cluster rather than many (each more round would repeat it in every part): it is linked
+through all values at most half the radius away from its members (two are within an even radius exactly if they share
+one), aggregated by value, which is linear in the members and spreads over the cluster.
 
 Components come from star contraction over written tables; nothing but counts, bit statistics (64 x 64) and
 thresholds reaches the driver.
@@ -24,7 +26,7 @@ row with a doc_id has one, else null, and links nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +41,7 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 DENSE = 20_000
+ROUNDS = 2
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -72,36 +75,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
-def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints, and how often two bits are both set: sums over the batches, added up by Spark."""
+def bit_statistics(rows: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """For each part (columns part, fp) the number of fingerprints, and how often two bits are both set: sums over the
+    batches, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, both = 0, np.zeros((64, 64))
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            v = batch.column(0).to_numpy().view(np.uint64)
+            v, part = batch.column("fp").to_numpy().view(np.uint64), batch.column("part").to_numpy()
             bits = ((v[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
-            both += bits.T @ bits
-            n += len(v)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(4097)), pa.array(np.r_[both.ravel(), n].astype(np.int64))], ["cell", "n"]
-        )
-
-    got = map_arrow(fps.select("fp"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cells = np.zeros(4097)
-    cells[got["cell"]] = got["n"]
-    return int(cells[-1]), cells[:-1].reshape(64, 64)
+            for p in np.unique(part).tolist():
+                some = bits[part == p]
+                sums[p] = sums.get(p, 0.0) + np.r_[(some.T @ some).ravel().astype(float), len(some)]
+        for p, cells in sums.items():
+            cols = [pa.array(np.full(4097, p, np.int32)), pa.array(np.arange(4097)), pa.array(cells.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "cell", "n"])
+
+    got = map_arrow(rows.select("part", "fp"), run, "part int, cell long, n long").groupBy("part", "cell").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for p, of in got.groupby("part"):
+        cells = np.zeros(4097)
+        cells[of["cell"]] = of["n"]
+        out[int(p)] = (int(cells[-1]), cells[:-1].reshape(64, 64))
+    return out
 
 
-def partition_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
-    """m groups of bits of near-equal size; each grows from an unused bit by its most correlated unused bits."""
+def partition_bits(n: int, both: np.ndarray, m: int, bits: Sequence[int] = range(64)) -> list[list[int]]:
+    """m groups of these bits, of near-equal size; each grows from an unused bit by its most correlated unused bits."""
     p = np.diag(both) / max(n, 1)
     cov = both / max(n, 1) - np.outer(p, p)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(cov / np.outer(sd, sd))
-    free = list(np.argsort(-(corr.sum(1) - np.diag(corr)), kind="stable"))
+    order = np.argsort(-(corr[:, list(bits)].sum(1) - np.diag(corr)), kind="stable").tolist()
+    free = [b for b in order if b in set(bits)]
+    total = len(free)
     groups = []
     for k in range(m):
-        size = 64 * (k + 1) // m - 64 * k // m
+        size = total * (k + 1) // m - total * k // m
         group = [int(free.pop(0))]
         while len(group) < size:
             best = max(range(len(free)), key=lambda i: (corr[free[i], group].sum(), -free[i]))
@@ -145,11 +155,11 @@ def allocate(n: int, p: np.ndarray, groups: list[list[int]], radius: int = RADIU
     return best[radius + 1] if radius + 1 in best else (math.inf, [radius - m + 1] * m)
 
 
-def plan(n: int, both: np.ndarray, radius: int = RADIUS) -> tuple[list[list[int]], list[int]]:
+def plan(n: int, both: np.ndarray, radius: int = RADIUS, bits: Sequence[int] = range(64)) -> tuple[list[list[int]], list[int]]:
     p = np.diag(both) / max(n, 1)
     best = None
-    for m in range(1, radius + 2):
-        groups = partition_bits(n, both, m)
+    for m in range(1, min(radius + 1, len(bits)) + 1):
+        groups = partition_bits(n, both, m, bits)
         cost, ts = allocate(n, p, groups, radius)
         if best is None or cost < best[0]:
             best = (cost, groups, ts)
@@ -194,27 +204,74 @@ def forest(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+_BUCKET = ["part", "bucket"]
+_ROW = "part int, bucket long, fp long, node long"
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
-    """Edges (u, v) of node ids whose forest is that of all links; nodes: fp (distinct), node long."""
-    n, both = bit_statistics(nodes)
-    groups, thresholds = plan(n, both, radius)
-    used = [(k, g, t, _masks(len(g), t)) for k, (g, t) in enumerate(zip(groups, thresholds)) if t >= 0]
+    """Edges (u, v) of node ids whose forest is that of all links; nodes: fp (distinct), node long.
+
+    A round splits the buckets of all parts at once, each part by its own plan over the bits that its buckets do not fix yet,
+    so the number of jobs grows with the depth alone; the first round has one bucket, of everything."""
+    rows = nodes.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("bucket"), "fp", "node")
+    open_bits: dict[int, list[int]] = {0: list(range(64))}
+    found = None
+    for depth in range(1, ROUNDS + 1):
+        plans: dict[int, list[tuple[int, list[int], np.ndarray]]] = {}
+        after: dict[int, list[int]] = {}
+        for p, (n, both) in sorted(bit_statistics(rows).items()):
+            groups, thresholds = plan(n, both, radius, open_bits[p])
+            for g, t in zip(groups, thresholds):
+                if t >= 0:
+                    plans.setdefault(p, []).append((len(after), g, _masks(len(g), t)))
+                    after[len(after)] = [b for b in open_bits[p] if b not in set(g)]
+        probed = arrow_map(rows, _prober(plans), _ROW)
+        hot = materialise(probed.groupBy(*_BUCKET).count().filter(F.col("count") > dense).select(*_BUCKET), 1)
+        parts = {r["part"] for r in hot.select("part").distinct().collect()}
+        cold = _searched(probed.join(hot, _BUCKET, "left_anti") if parts else probed, radius)
+        found = cold if found is None else found.unionByName(cold)
+        if not parts:
+            return found
+        crowd = materialise(probed.join(hot, _BUCKET, "left_semi").select("part", "bucket", "fp", "node"))
+        ends = [p for p in parts if len(after[p]) <= radius or depth == ROUNDS]
+        if ends:
+            found = found.unionByName(_middle(crowd.filter(F.col("part").isin(ends)).select("fp", "node").distinct(), radius))
+        open_bits = {p: after[p] for p in parts if p not in ends}
+        if not open_bits:
+            break
+        rows = crowd.filter(F.col("part").isin(list(open_bits)))
+    return found
+
+
+def _prober(plans: dict[int, list[tuple[int, list[int], np.ndarray]]]):
+    """Rows in the buckets of their keys, and of the keys near them, by the plan of their part."""
 
-    def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        part = batch.column("part").to_numpy()
         v = batch.column("fp").to_numpy().view(np.uint64)
-        node = batch.column("node").to_numpy()
-        out: list[tuple] = []
-        for k, bits, _, masks in used:
-            key = (_gather(v, bits)[:, None] ^ masks[None, :]).ravel()
-            out.append((np.full(len(key), k), key.view(np.int64), np.repeat(v, len(masks)).view(np.int64), np.repeat(node, len(masks))))
+        above, node = batch.column("bucket").to_numpy().view(np.uint64), batch.column("node").to_numpy()
+        out: list[tuple] = [(np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3)]
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            for k, group, masks in plans.get(p, []):
+                key = _gather(v[at], group)[:, None] ^ masks[None, :]
+                # buckets that fall together by chance only add candidates
+                bucket = _mixed(key + _mixed(above[at] + np.uint64(p))[:, None]).ravel()
+                out.append((np.full(len(bucket), k), bucket.view(np.int64), np.repeat(v[at], len(masks)).view(np.int64), np.repeat(node[at], len(masks))))
         cols = [pa.array(np.concatenate(c)) for c in zip(*out)]
-        return pa.RecordBatch.from_arrays([cols[0].cast(pa.int32()), *cols[1:]], ["part", "key", "fp", "node"])
+        return pa.RecordBatch.from_arrays([cols[0].cast(pa.int32()), *cols[1:]], ["part", "bucket", "fp", "node"])
+
+    return run
+
+
+def _searched(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges of the forest of each bucket."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["part", "key"]):
-            part, key, fp, node = (t[c].to_numpy() for c in ("part", "key", "fp", "node"))
+        for t in whole_groups(batches, _BUCKET):
+            part, bucket, fp, node = (t[c].to_numpy() for c in ("part", "bucket", "fp", "node"))
             fp = fp.view(np.uint64)
-            edge = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1]), True])
+            edge = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1]), True])
             us, vs = [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 if b - a > 1:
@@ -225,21 +282,18 @@ def links(nodes: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFra
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    rows = arrow_map(nodes.select("fp", "node"), probe, "part int, key long, fp long, node long")
-    counts = rows.groupBy("part", "key").count().filter(F.col("count") > dense)
-    hot = materialise(counts.select("part", "key"))
-    if hot.isEmpty():
-        return map_arrow(rows.repartition("part", "key").sortWithinPartitions("part", "key"), search, "u long, v long")
-    cold = rows.join(hot, ["part", "key"], "left_anti")
-    found = map_arrow(cold.repartition("part", "key").sortWithinPartitions("part", "key"), search, "u long, v long")
-    thick = rows.join(hot, ["part", "key"], "left_semi").select("fp", "node").distinct()
-    return found.unionByName(_middle(thick, radius))
+    return map_arrow(rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET), search, "u long, v long")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
 
 def _middle(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links through shared values: within an even radius r exactly if a value is within r / 2 of both; for an odd
-    one a side goes one bit further, and the links are verified."""
-    masks = _masks(64, (radius + 1) // 2)
+    """Links through shared values: within an even radius r exactly if a value is within r / 2 of both. For an odd radius
+    there is no such value, so one beyond raises."""
+    masks = _masks(64, radius // 2)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         v, node = batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy()

@@ -41,7 +41,7 @@ def slow_components(fps):
     return {ids[i]: ids[root(i)] for i in range(len(v))}
 
 
-@pytest.mark.parametrize("dense", [20_000, 2])
+@pytest.mark.parametrize("dense", [20_000, 12])
 def test_whole_table_against_brute_force(spark, sf, dense):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.simhash(docs, dense=dense).collect()}
@@ -50,7 +50,17 @@ def test_whole_table_against_brute_force(spark, sf, dense):
     assert slow_components(want) == {i: x[1] for i, x in got.items()}
 
 
-@pytest.mark.parametrize("dense", [20_000, 30])
+def test_partitions_of_some_bits():
+    rng = np.random.default_rng(1)
+    bits = sorted(rng.choice(64, 23, replace=False).tolist())
+    v = (rng.random((500, 64)) < 0.5).astype(float)
+    groups, ts = S.plan(500, v.T @ v, 4, bits)
+    assert sorted(b for g in groups for b in g) == bits and sum(ts) == 4 - len(groups) + 1
+    groups, ts = S.plan(500, v.T @ v, 4, bits[:3])
+    assert sorted(b for g in groups for b in g) == bits[:3] and sum(ts) == 4 - len(groups) + 1
+
+
+@pytest.mark.parametrize("dense", [20_000, 60])
 def test_links_of_planted_chains(spark, dense):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
