@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A-Z to a-z on UTF-8 bytes; no other byte changes, so multi-byte characters stay whole.
@@ -174,6 +174,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def within_bytes(rows: DataFrame, column: str, order: list, most: int) -> DataFrame:
+    """The first of these (few) rows, in the given order, whose column holds no more than `most` bytes together."""
+    size = F.sum(F.octet_length(column)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("__bytes", size).filter(F.col("__bytes") <= most).drop("__bytes")
+
+
 def starts_and_ends(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of words in b' '.join(words)."""
     n = np.fromiter(map(len, words), np.int64, len(words))

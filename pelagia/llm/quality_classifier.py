@@ -3,7 +3,7 @@
 Tokens are runs of letters and digits (lower-cased; a run in capitals also counts as the token <caps>) and
 runs of one punctuation character; a bigram of equal tokens also counts as <again>. Unigrams and bigrams are hashed to `2 ** LOG_BUCKETS` buckets; a feature's
 value is its count over the text's number of features. Weights are learnt by FTRL-proximal on a bounded sample
-of labelled rows (`sample_docs`, those with the smallest xxhash64 of doc_id) whose crc32(doc_id as text) mod 3
+of labelled rows (`sample_docs`, those with the smallest xxhash64 of doc_id, up to `sample_bytes` of features in all) whose crc32(doc_id as text) mod 3
 is not 1; the other rows are held out. Labels, lang, source and doc_id are no inputs of a score. The weight
 vector has a fixed size and is broadcast.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import arrow_map, table
+from pelagia.llm.common import arrow_map, table, within_bytes
 
 LOG_BUCKETS = 18
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -90,8 +90,9 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> np.ndarray | None:
-    """Weights from at most sample_docs labelled rows that are not held out; their buckets come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_bytes: int = 128 << 20) -> np.ndarray | None:
+    """Weights from at most sample_docs labelled rows that are not held out, with sample_bytes of features (4 bytes each);
+    these come to the driver."""
     picked = (
         labels.select(F.col("doc_id").cast("long"), "quality")
         .filter("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -110,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> np.nda
             [batch.column("doc_id"), batch.column("quality"), pa.array(parts, pa.binary())], ["doc_id", "quality", "f"]
         )
 
-    got = arrow_map(rows, run, "doc_id long, quality int, f binary").toArrow()
+    found = arrow_map(rows, run, "doc_id long, quality int, f binary")
+    got = within_bytes(found, "f", [F.xxhash64("doc_id"), "doc_id", "f"], sample_bytes).toArrow()
     rows_ = sorted(zip(got["doc_id"].to_pylist(), got["quality"].to_pylist(), got["f"].to_pylist()))
     if len({q for _, q, _ in rows_}) < 2:
         return None

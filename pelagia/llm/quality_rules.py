@@ -4,7 +4,7 @@ Each line with a word gets ten features; Viterbi decoding of a two-state chain m
 boilerplate, and a document whose content lines hold at least `least_share` of its word characters is kept.
 
 The chain is fitted on a bounded sample of labelled documents (`sample_docs`, those with the smallest
-xxhash64 of doc_id): lines of documents with quality 1 count as content, of quality 0 as boilerplate. The
+xxhash64 of doc_id, up to `sample_bytes` of line features in all): lines of documents with quality 1 count as content, of quality 0 as boilerplate. The
 fit maximises the conditional likelihood with a penalty on the distance from PRIOR, so that with few or no
 labels (empty table, one class) PRIOR itself decides. All counts cover whole texts.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import arrow_map, long_ids, table, texts
+from pelagia.llm.common import arrow_map, long_ids, table, texts, within_bytes
 
 FEATURES = ("one", "symbols", "bangs", "upper", "digits", "pipes", "repeated", "short", "word_length", "stop")
 #: Weights of boilerplate minus content for each feature, and the bonus for staying in a state.
@@ -113,6 +113,40 @@ def viterbi(unary: list[float], stay: float) -> list[bool]:
     return out[::-1]
 
 
+def likelihood(x: list[np.ndarray], y: np.ndarray, w: np.ndarray, stay: float) -> tuple[float, np.ndarray]:
+    """Log-likelihood of chains whose every line has its chain's label y, and its gradient by w and stay.
+
+    x: for each place in a chain the features of all chains that reach it, the longest chains first."""
+    alive = [len(a) for a in x]
+    most = len(x)
+    u = [a @ w for a in x]
+    fwd = [np.zeros((alive[0], 2))]
+    fwd[0][:, 1] = u[0]
+    for t in range(1, most):
+        p = fwd[-1][: alive[t]]
+        a = np.logaddexp(p[:, 0] + stay, p[:, 1])
+        b = np.logaddexp(p[:, 0], p[:, 1] + stay)
+        fwd.append(np.stack([a, b + u[t]], 1))
+    bwd = np.zeros((alive[0], 2))
+    value, grad, gstay = 0.0, np.zeros(len(w)), 0.0
+    logz = np.zeros(alive[0])
+    for t in range(most - 1, -1, -1):
+        ends = slice(alive[t + 1] if t + 1 < most else 0, alive[t])
+        logz[ends] = np.logaddexp(fwd[t][ends, 0], fwd[t][ends, 1])
+        if t + 1 < most:
+            i = alive[t + 1]
+            nxt = bwd[:i] + np.stack([np.zeros(i), u[t + 1]], 1)
+            z = logz[:i]
+            same = np.exp(fwd[t][:i, 0] + stay + nxt[:, 0] - z) + np.exp(fwd[t][:i, 1] + stay + nxt[:, 1] - z)
+            gstay += (1.0 - same).sum()  # the labelled chains never change state
+            value += stay * i
+            bwd[:i] = np.stack([np.logaddexp(nxt[:, 0] + stay, nxt[:, 1]), np.logaddexp(nxt[:, 0], nxt[:, 1] + stay)], 1)
+        p1 = np.exp(fwd[t][:, 1] + bwd[: alive[t], 1] - logz[: alive[t]])
+        value += y[: alive[t]] @ u[t]
+        grad += (y[: alive[t]] - p1) @ x[t]
+    return float(value - logz.sum()), np.r_[grad, gstay]
+
+
 def fit(lines: list[np.ndarray], bad: list[int], rounds: int = 60, penalty: float = 2.0) -> tuple[np.ndarray, float]:
     """Conditional maximum likelihood of the chain by Adam; all chains step through their lines together."""
     if not lines or len(set(bad)) < 2:
@@ -120,47 +154,21 @@ def fit(lines: list[np.ndarray], bad: list[int], rounds: int = 60, penalty: floa
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
     seqs, y = [lines[i] for i in order], np.array([bad[i] for i in order], float)
     n = np.array([len(s) for s in seqs])
-    most = int(n[0])
-    alive = [int((n > t).sum()) for t in range(most)]
-    x = [np.stack([s[t] for s in seqs[: alive[t]]]) for t in range(most)]
+    x = [np.stack([s[t] for s in seqs[: int((n > t).sum())]]) for t in range(int(n[0]))]
     w, stay = PRIOR.copy(), PRIOR_STAY
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     total = n.sum()
     for k in range(1, rounds + 1):
-        u = [a @ w for a in x]
-        fwd = [np.zeros((alive[0], 2))]
-        fwd[0][:, 1] = u[0]
-        for t in range(1, most):
-            p = fwd[-1][: alive[t]]
-            a = np.logaddexp(p[:, 0] + stay, p[:, 1])
-            b = np.logaddexp(p[:, 0], p[:, 1] + stay)
-            fwd.append(np.stack([a, b + u[t]], 1))
-        bwd = np.zeros((alive[0], 2))
-        grad, gstay = np.zeros(len(w)), 0.0
-        logz = np.zeros(len(seqs))
-        for t in range(most - 1, -1, -1):
-            ends = slice(alive[t + 1] if t + 1 < most else 0, alive[t])
-            logz[ends] = np.logaddexp(fwd[t][ends, 0], fwd[t][ends, 1])
-            if t + 1 < most:
-                i = alive[t + 1]
-                nxt = bwd[:i] + np.stack([np.zeros(i), u[t + 1]], 1)
-                z = logz[:i]
-                same = np.exp(fwd[t][:i, 0] + stay + nxt[:, 0] - z) + np.exp(fwd[t][:i, 1] + stay + nxt[:, 1] - z)
-                gstay += (1.0 - same).sum()  # the labelled chains never change state
-                bwd[:i] = np.stack(
-                    [np.logaddexp(nxt[:, 0] + stay, nxt[:, 1]), np.logaddexp(nxt[:, 0], nxt[:, 1] + stay)], 1
-                )
-            p1 = np.exp(fwd[t][:, 1] + bwd[: alive[t], 1] - logz[: alive[t]])
-            grad += (y[: alive[t]] - p1) @ x[t]
-        g = np.r_[grad, gstay] / total - penalty * (np.r_[w, stay] - np.r_[PRIOR, PRIOR_STAY]) / total
+        g = likelihood(x, y, w, stay)[1] / total - penalty * (np.r_[w, stay] - np.r_[PRIOR, PRIOR_STAY]) / total
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
         w, stay = w + step[:-1], min(float(stay + step[-1]), 2.0)
     return w, stay
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> tuple[np.ndarray, float]:
-    """Weights fitted on at most sample_docs labelled documents; their line features come to the driver, rounded."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_bytes: int = 64 << 20) -> tuple[np.ndarray, float]:
+    """Weights fitted on at most sample_docs labelled documents with sample_bytes of line features (40 bytes a line), which
+    come to the driver, rounded."""
     picked = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -176,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> tuple[
             [long_ids(batch), batch.column("quality"), pa.array(got, pa.binary())], ["doc_id", "quality", "lines"]
         )
 
-    got = arrow_map(rows, features, "doc_id long, quality int, lines binary").collect()
+    found = arrow_map(rows, features, "doc_id long, quality int, lines binary")
+    got = within_bytes(found, "lines", [F.xxhash64("doc_id"), "doc_id", "lines"], sample_bytes).collect()
     got = sorted((r for r in got if r["lines"]), key=lambda r: (r["doc_id"], bytes(r["lines"])))
     lines = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(FEATURES)).astype(float) for r in got]
     pieces = [(x[a : a + CHAIN], int(r["quality"] == 0)) for x, r in zip(lines, got) for a in range(0, len(x), CHAIN)]

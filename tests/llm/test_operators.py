@@ -81,6 +81,56 @@ def test_viterbi_is_the_best_labelling():
         assert score(tuple(quality_rules.viterbi(u.tolist(), stay))) == pytest.approx(score(best))
 
 
+def test_chain_likelihood_and_gradient():
+    """Against the sum over all labellings of short chains, and finite differences."""
+    rng = np.random.default_rng(4)
+    sizes, k = [5, 5, 3, 1], 3
+    seqs = [rng.normal(size=(n, k)) for n in sizes]
+    x = [np.stack([s[t] for s in seqs if len(s) > t]) for t in range(5)]
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+
+    def slow(w, stay):
+        out = 0.0
+        for s, label in zip(seqs, y):
+            score = lambda z: sum(a @ w for a, b in zip(s, z) if b) + stay * sum(a == b for a, b in zip(z, z[1:]))  # noqa: B023, E731
+            every = [score([j >> i & 1 for i in range(len(s))]) for j in range(1 << len(s))]
+            out += score([int(label)] * len(s)) - np.logaddexp.reduce(every)
+        return out
+
+    w, stay = rng.normal(size=k), 0.7
+    value, grad = quality_rules.likelihood(x, y, w, stay)
+    assert value == pytest.approx(slow(w, stay))
+    for i in range(k + 1):
+        d = np.zeros(k + 1)
+        d[i] = 1e-5
+        want = (slow(w + d[:k], stay + d[k]) - slow(w - d[:k], stay - d[k])) / 2e-5
+        assert grad[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_verdicts_against_every_labelling(spark):
+    """Content share by trying all labellings of texts with few lines; features from their definition."""
+    rng = random.Random(3)
+    pool = ["A fine line of some words here.", "### $$$ buy | now !!!", "MENU | HOME | 2024", "short", "another good sentence, with more words in it.", "", "  "]
+    w, stay = quality_rules.PRIOR, 1.3
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 9)) + ["tail words " + " ".join(f"w{i}x{j}" for j in range(45))])) for i in range(60)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), w, stay).collect()}
+    for i, text in rows:
+        lines, seen = [], set()
+        for line in text.split("\n"):
+            words = line.split()
+            if words:
+                flat = "".join(words)
+                n, some = len(flat), lambda f: sum(map(f, flat)) / n  # noqa: B023
+                lines.append((n, [1, some(lambda c: c in "#*$%&|<>"), min(1, flat.count("!") / len(words)), some(str.isupper), some(str.isdigit), min(1, flat.count("|") / len(words)), line in seen, len(words) < 3, min(n / len(words), 20) / 10, flat[-1] in ".?!:;"]))
+                seen.add(line)
+        u = [float(np.float32(f).astype(float) @ w) for _, f in lines]
+        score = lambda z: sum(a for a, b in zip(u, z) if b) + stay * sum(a == b for a, b in zip(z, z[1:]))  # noqa: B023, E731
+        best = max(([j >> k & 1 for k in range(len(u))] for j in range(1 << len(u))), key=score)
+        share = sum(n for (n, _), b in zip(lines, best) if not b) / sum(n for n, _ in lines)
+        assert got[i].content_share == pytest.approx(share), text
+        assert got[i].kept == (not got[i].base_failed and share >= 0.5)
+
+
 # ------------------------------------------------------------------ WARC
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a/", "x" * 120), (2, "http://b/\n", "x" * 120), (3, None, None), (4, "u", "tiny"), (5, "u", "tiny"), (None, "n", "x" * 120), (1, "again", "x" * 120), (6, "é", "é" * 90_000)]
@@ -173,6 +223,59 @@ def test_ftrl_learns_a_word():
     assert w[good].sum() > 0 > w[bad].sum()
 
 
+def slow_features(text):
+    """Buckets from their definition, one token at a time."""
+    mask, mix, bits = (1 << 64) - 1, 0x9E3779B97F4A7C15, quality_classifier.LOG_BUCKETS
+    down = lambda v: (v & mask) * mix % (1 << 64) >> 64 - bits
+    tokens = [m[0] for m in re.finditer(r"[^\W_]+|([^\w\s]|_)\1*", text or "")]
+    h = [zlib.crc32(t.lower().encode()) for t in tokens]
+    out = [down(x + 1) for x in h]
+    out += [down(a * 0x100000001B3 + b) for a, b in zip(h, h[1:])]
+    out += [down(7)] * sum(len(t) > 1 and t.isupper() for t in tokens)
+    return out + [down(11)] * sum(a == b for a, b in zip(h, h[1:]))
+
+
+def slow_ftrl(rows, epochs=2, alpha=0.3, beta=1.0, l1=2.0, l2=0.1):
+    z, g2 = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(g2[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for buckets, y in rows:
+            x = {i: quality_classifier.SCALE * c / max(len(buckets), 1) for i, c in Counter(buckets).items()} | {"one": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(g2[i] + g * g) - math.sqrt(g2[i])) / alpha * w[i]
+                g2[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_classifier_against_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    picked = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1 and i in text)
+    order = np.random.default_rng(7).permutation(len(picked))
+    want = slow_ftrl([(slow_features(text[picked[k]]), int(labels[picked[k]] == 1)) for k in order])
+    got = quality_classifier.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert got[-1] == pytest.approx(want.pop("one"))
+    full = np.zeros(len(got) - 1)
+    for i, v in want.items():
+        full[i] = v
+    assert np.allclose(got[:-1], full, atol=1e-9) and (full != 0).sum() > 5
+    some = sorted(text)[:60]
+    scores = {r.doc_id: r.score for r in quality_classifier.score(docs, got).collect()}
+    for i in some:
+        f = slow_features(text[i])
+        dot = quality_classifier.SCALE * sum(full[b] for b in f) / max(len(f), 1) + got[-1]
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, dot)))), abs=1e-5)
+    few = quality_classifier.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), sample_bytes=50_000)
+    assert few is not None and not np.array_equal(few, got)
+
+
 # ------------------------------------------------------------------ license scan
 def test_license_base_against_brute_force(spark, odd):
     text = "Under the MIT License; under the mit license. CC-BY-NC cc by nc cc by nc! Apache License, Version 2.0 é under the mit licenses"
