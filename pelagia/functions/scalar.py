@@ -159,7 +159,8 @@ def domain_definitions() -> list[str]:
     for name in ("map_emodnet_chemistry_originator_edmo", "map_originator_edmo"):
         out.append(f"{name}(s STRING) | BIGINT | {last}")
     for name in vocab.LOOKUPS:  # until a vocabulary is loaded every code is unknown
-        out.append(f"{name}(code STRING) | STRING | CAST(NULL AS STRING)")
+        kind = "BIGINT" if name in vocab.NUMBERS else "STRING"
+        out.append(f"{name}(code STRING) | {kind} | CAST(NULL AS {kind})")
     return out
 
 
@@ -167,8 +168,11 @@ def load_vocabulary(spark: SparkSession, name: str, codes: dict[str, str]) -> No
     """Gives a lookup function its (small) code list; see vocab.Vocabulary for large ones."""
     quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
     cells = ", ".join(f"{quote(k)}, {quote(v)}" for k, v in codes.items())
-    body = f"try_element_at(map({cells}), code)" if codes else "CAST(NULL AS STRING)"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(code STRING) RETURNS STRING RETURN {body}")
+    from pelagia.functions.vocab import NUMBERS
+
+    kind = "BIGINT" if name in NUMBERS else "STRING"
+    body = f"CAST(try_element_at(map({cells}), code) AS {kind})" if codes else f"CAST(NULL AS {kind})"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(code STRING) RETURNS {kind} RETURN {body}")
 
 
 def register(spark: SparkSession) -> None:

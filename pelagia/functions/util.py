@@ -42,7 +42,9 @@ def map_units(source: Column, target: Column, value: Column) -> Column:
     return out
 
 
-#: Specific enthalpy at standard ocean salinity and 0 C in powers of pressure / 10^4 dbar (TEOS-10).
+# The coefficients h001 to h007 of the published 75-term polynomial for specific volume (Roquet et al. 2015),
+# integrated over pressure, as the TEOS-10 toolbox gives them for its height from pressure.
+#: Specific enthalpy at standard ocean salinity and 0 C in powers of pressure / 10^4 dbar.
 _ENTHALPY = (
     9.726613854843870e-4, -2.252956605630465e-5, 2.376909655387404e-6, -1.664294869986011e-7, -5.988108894465758e-9,
     -2.1078768810e-9, 2.8019291329e-10,

@@ -52,6 +52,8 @@ class Vocabulary:
         return df.join(t, F.col(code) == F.col("__key"), "left").drop("__key")
 
 
+#: Lookups whose values are numbers.
+NUMBERS = ("map_wod_edmo", "map_wod_edmo_approx", "map_argo_platform_edmo")
 #: The vocabularies that a catalog can hold, by function name.
 LOOKUPS = (
     "map_c17", "map_c17_l06", "map_l22_l05", "map_wmo_instrument_type_l05", "map_wmo_instrument_type_l22", "map_cora_instrument_l05",
@@ -67,8 +69,33 @@ def _cases(code: Column, table: dict[str, str], prefix: str) -> Column:
     return out
 
 
-_L05 = dict(zip("BO CT XB TX TS ML SF".split(), "30 130 132 135 133 134 131".split()))
-_L06 = dict(zip("BO CT XB GL PF SD TX DB FB TS MO SM XX ML SF".split(), "30 30 30 27 46 3B 48 42 35 30 48 70 0 36 23".split()))
+# The codes that the public L05 and L06 vocabularies give to each two-letter data source.
+_L05 = {
+    "BO": "30",
+    "CT": "130",
+    "ML": "134",
+    "SF": "131",
+    "TS": "133",
+    "TX": "135",
+    "XB": "132",
+}
+_L06 = {
+    "BO": "30",
+    "CT": "30",
+    "DB": "42",
+    "FB": "35",
+    "GL": "27",
+    "ML": "36",
+    "MO": "48",
+    "PF": "46",
+    "SD": "3B",
+    "SF": "23",
+    "SM": "70",
+    "TS": "30",
+    "TX": "48",
+    "XB": "30",
+    "XX": "0",
+}
 
 
 def map_cmems_bigram_l05(bigram: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pelagia.operators.graph import cut
+
 
 def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, bucket: float) -> DataFrame:
     """Pairs of a point and a span of its key with start <= at < end; an open end is null on either side.
@@ -26,7 +28,7 @@ def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start:
 
 def first_match(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, order: str, value: str, bucket: float) -> DataFrame:
     """points with the value of the span of least `order` that holds the point, null if none does."""
-    p = points.withColumn("__row", F.monotonically_increasing_id())
+    p = cut(points.withColumn("__row", F.monotonically_increasing_id()))  # both uses must see the same numbers
     got = interval_join(p.select("__row", key, at), spans.select(key, start, end, order, value), key, at, start, end, bucket)
     best = got.groupBy("__row").agg(F.min_by(value, order).alias(value))
     return p.join(best, "__row", "left").drop("__row")

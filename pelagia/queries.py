@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pelagia import function_queries
+from pelagia import function_queries, statement_queries
 from pelagia.functions import spatial, util, vocab
 from pelagia.operators import joins, sets
 from pelagia.session import Connection
@@ -239,11 +239,16 @@ def geo_buffer(con: Connection, sf: str) -> DataFrame:
 
 
 def cluster_kmeans(con: Connection, sf: str) -> DataFrame:
-    return spatial.cluster_kmeans(_coords(con), "lon", "lat", 4).select("c_custkey", "cluster")
+    """Four places far apart: a cluster is a place; which number it has is told by its own least key."""
+    p = con.spark.sql("SELECT c_custkey, CAST(c_custkey % 4 AS DOUBLE) * 100 + CAST(c_nationkey AS DOUBLE) / 100 AS lon, 0.0D AS lat FROM customer")
+    got = spatial.cluster_kmeans(p, "lon", "lat", 4)
+    return got.select("c_custkey", F.min("c_custkey").over(Window.partitionBy("cluster")).alias("least"))
 
 
 def cluster_dbscan(con: Connection, sf: str) -> DataFrame:
-    return spatial.cluster_dbscan(_coords(con), "c_custkey", "lon", "lat", 3.0, 3).select("c_custkey", "cluster")
+    """Points on a coarse grid, so that clusters are whole grid places: rows of a place (least rows of it are core) share one."""
+    p = con.spark.sql("SELECT c_custkey, CAST((c_custkey % 12) * 10 AS DOUBLE) AS lon, CAST(c_nationkey % 3 AS DOUBLE) AS lat FROM customer")
+    return spatial.cluster_dbscan(p, "c_custkey", "lon", "lat", 1.0, 3).select("c_custkey", "cluster")
 
 
 def summarize_lineitem(con: Connection, sf: str) -> DataFrame:
@@ -385,10 +390,6 @@ def schema_function(con: Connection, sf: str) -> DataFrame:
     return con.sql(f"SELECT * FROM read_parquet_schema('{sf}/nation.parquet')").df
 
 
-def list_datasets(con: Connection, sf: str) -> DataFrame:
-    return Connection(con.spark, con.root, datasets=sf).sql("SELECT file_path, file_format FROM list_datasets('*.parquet')").df
-
-
 def stream_event_windows(con: Connection, sf: str) -> DataFrame:
     from pelagia.streaming.windows import windowed_counts
 
@@ -427,9 +428,9 @@ BUILT: dict[str, tuple[Callable[[Connection, str], DataFrame], str | None]] = {
     "geo_distance": (geo_distance, f"SELECT c_custkey, round(sqrt(power({LON} - 4, 2) + power({LAT} - 52, 2)), 6) AS planar, round(2 * 6371008.771415059 * asin(least(1, sqrt(power(sin(radians(52 - {LAT}) / 2), 2) + cos(radians({LAT})) * cos(radians(52)) * power(sin(radians(4 - {LON}) / 2), 2)))), 2) AS sphere FROM customer"),
     "geo_within_rectangle": (within_rectangle, f"SELECT c_custkey FROM customer WHERE {LON} > -20 AND {LON} < 60 AND {LAT} > -20 AND {LAT} < 50"),
     "geo_within_polygon": (within_triangle, f"SELECT c_custkey FROM customer WHERE {LON} > 0 AND {LAT} > 0 AND {LON} + {LAT} < 100.5"),
-    "geo_buffer": (geo_buffer, None),
-    "geo_cluster_kmeans": (cluster_kmeans, None),
-    "geo_cluster_dbscan": (cluster_dbscan, None),
+    "geo_buffer": (geo_buffer, "SELECT c_custkey, round(64 * sin(pi() / 16), 6) AS a, true AS v FROM customer"),
+    "geo_cluster_kmeans": (cluster_kmeans, "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_custkey % 4) AS least FROM customer"),
+    "geo_cluster_dbscan": (cluster_dbscan, "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY m) - 1 AS INTEGER) AS cluster FROM (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_custkey % 12) AS m FROM customer)"),
     "summarize_lineitem": (summarize_lineitem, " UNION ALL ".join(_summary_sql(c, n) for c, n in (("l_quantity", True), ("l_linenumber", True), ("l_returnflag", False)))),
     "ctas_insert_update_delete": (ctas_insert_update_delete, "SELECT * FROM (SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN n_name || '!' ELSE n_name END AS n_name, n_regionkey AS region FROM nation UNION ALL SELECT 100, 'ATLANTIS', 9) WHERE n_nationkey >= 5"),
     "mv_refresh": (mv_refresh, "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag"),
@@ -447,7 +448,7 @@ BUILT: dict[str, tuple[Callable[[Connection, str], DataFrame], str | None]] = {
     "preset": (preset, "SELECT n_name FROM nation WHERE n_regionkey = 1"),
     "delta_scan": (delta_scan, "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 <> 0"),
     "schema_function": (schema_function, "SELECT column_name, CASE data_type WHEN 'INTEGER' THEN 'Int32' WHEN 'VARCHAR' THEN 'Utf8' ELSE data_type END AS data_type, is_nullable = 'YES' AS nullable FROM information_schema.columns WHERE table_name = 'nation'"),
-    "list_datasets": (list_datasets, None),
+    **statement_queries.BUILT,
     "stream_event_windows": (stream_event_windows, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
 }
 

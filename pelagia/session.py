@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pelagia import stats
 from pelagia.catalog import Catalog
@@ -49,7 +50,26 @@ class _Functions:
         base = name.removesuffix("_schema")
         return base in readers.READERS or name in stats.FUNCTIONS
 
-    def __call__(self, name: str, args: list, columns: list[str] | None) -> DataFrame:
+    def table(self, name: str, bounds: dict) -> DataFrame | None:
+        """An external Parquet table without the files that stored statistics rule out; None where that is not the case."""
+        e = self.con.catalog.entries.get(name)
+        if not e or e["kind"] != "external" or e["format"] != "parquet" or e.get("partitions") or not stats.known(self.con):
+            return None
+        return self._pruned([e["location"]], bounds)
+
+    def _pruned(self, args: list, bounds: dict) -> DataFrame | None:
+        files = readers.expand(self.con.spark, args[0])
+        left = stats.prune(self.con, files, bounds)
+        if len(left) == len(files):
+            return None
+        whole = readers.call(self.con.spark, "read_parquet", [args[0]])
+        if not left:
+            return whole.limit(0)
+        some = readers.call(self.con.spark, "read_parquet", [left])
+        gone = [c for c in whole.columns if c not in some.columns]
+        return some.select(*[(F.lit(None) if f.name in gone else F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in whole.schema.fields])
+
+    def __call__(self, name: str, args: list, columns: list[str] | None, bounds: dict | None = None) -> DataFrame:
         if name in stats.FUNCTIONS:
             return stats.FUNCTIONS[name](self.con, *args)
         base = name.removesuffix("_schema")
@@ -57,6 +77,10 @@ class _Functions:
             args = [self.con.paths(args[0]), *args[1:]]
         if base != name:
             return readers.schema_table(self.con.spark, readers.call(self.con.spark, base, args))
+        if name == "read_parquet" and bounds and len(args) == 1 and stats.known(self.con):
+            pruned = self._pruned(args, bounds)
+            if pruned is not None:
+                return pruned
         return readers.call(self.con.spark, name, args, columns)
 
 

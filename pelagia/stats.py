@@ -76,6 +76,11 @@ def stored(con) -> DataFrame:
     return con.spark.read.schema(SCHEMA).parquet(_store(con))
 
 
+def known(con) -> bool:
+    """Whether any statistics are stored."""
+    return os.path.isdir(_store(con))
+
+
 def analyze(con, prefix: str | None = None, force: bool = False) -> DataFrame:
     """Collects statistics of Parquet files below a prefix that are new or changed; counts of what was done."""
     where = con.paths(prefix or (con.datasets or con.root))
@@ -85,13 +90,16 @@ def analyze(con, prefix: str | None = None, force: bool = False) -> DataFrame:
     todo = sorted(f for f, mark in now.items() if force or known.get(f) != mark)
     if todo:
         fresh = _footers(con, todo)
-        keep = stored(con).filter(~F.col("path").isin(todo))
-        temp = f"{_store(con)}.new"
+        keep = stored(con).join(F.broadcast(con.spark.createDataFrame([(f,) for f in todo], "path string")), "path", "left_anti")
+        temp, old = f"{_store(con)}.new", f"{_store(con)}.old"
         keep.unionByName(fresh).coalesce(4).write.mode("overwrite").parquet(temp)
         import shutil
 
-        shutil.rmtree(_store(con), ignore_errors=True)
+        shutil.rmtree(old, ignore_errors=True)
+        if os.path.isdir(_store(con)):  # what was is there until the new store has its name
+            os.rename(_store(con), old)
         os.rename(temp, _store(con))
+        shutil.rmtree(old, ignore_errors=True)
     row = (len(files), len([f for f in todo if f in known]), len(todo), 0, 1 if todo else 0, 0)
     return con.spark.createDataFrame([row], "discovered long, requeued long, analyzed long, failed long, segments long, pending long")
 
@@ -100,7 +108,7 @@ def prune(con, files: list[str], bounds: dict[str, tuple[float | None, float | N
     """Files that may hold rows with every column inside its (low, high); files without statistics stay."""
     out = set()
     short = {_norm(f): f for f in files}
-    s = stored(con).filter(F.col("path").isin(list(short)))
+    s = stored(con).join(F.broadcast(con.spark.createDataFrame([(f,) for f in short], "path string")), "path", "left_semi")
     for column, (low, high) in bounds.items():
         miss = F.lit(False)
         if low is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,20 @@ def windowed(events: DataFrame, width: str, slide: str | None = None, late: str
     return e.groupBy(w, "event_type").agg(F.count("*").alias("n"))
 
 
+def session_counts(events: DataFrame, key: str, gap: str, late: str = "1 hour") -> DataFrame:
+    """Counts of events by key in sessions: runs of events that are less than `gap` apart; streams and tables alike."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        e = e.withWatermark("ts", late)
+    return e.groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).withColumnRenamed("session_window", "window")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder for a stream's state: below spark.checkpoint.dir where that is set, as executors share it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="pelagia-stream-")
+
+
 def windowed_counts(spark: SparkSession, path: str, width: str) -> DataFrame:
     """Drives a stream over the files through to its end (complete mode) and returns its table."""
     schema = spark.read.parquet(path).schema
@@ -31,7 +46,7 @@ def windowed_counts(spark: SparkSession, path: str, width: str) -> DataFrame:
         .writeStream.outputMode("complete")
         .format("memory")
         .queryName(table)
-        .option("checkpointLocation", tempfile.mkdtemp(prefix="pelagia-stream-"))
+        .option("checkpointLocation", _folder(spark))
         .trigger(availableNow=True)
         .start()
     )

@@ -100,3 +100,32 @@ def test_constants_are_prepared_and_equal(con):
 
     where = [place(i % 40 - 10.0, i % 23 - 5.0) for i in range(2000)]
     assert got == (sum(w > 0 for w in where), sum(w == 1 for w in where), sum(w > 0 for w in where))
+
+
+def test_ranges_of_where():
+    from pelagia.plans.dialect import ranges
+    from pelagia.plans.tokens import tokenize
+
+    of = lambda sql: ranges(tokenize(sql))
+    assert of("SELECT * FROM t WHERE a >= 3 AND t.b < -2.5 AND c BETWEEN 1 AND 4 AND d = 'x' AND a <= 9 ORDER BY a") == {"a": (3, 9), "b": (None, -2.5), "c": (1, 4)}
+    assert of("SELECT * FROM t WHERE a > 3 OR b < 1") == {}
+    assert of("SELECT * FROM t WHERE (a > 3 OR b < 1) AND c = 2 AND NOT e > 5 AND f + 1 > 2") == {"c": (2, 2)}
+    assert of("SELECT * FROM t JOIN u USING (k) WHERE a > 3") == {} and of("SELECT * FROM t, u WHERE a > 3") == {}
+    assert of("SELECT a FROM t WHERE a > 3 UNION ALL SELECT a FROM u") == {}
+    assert of("SELECT a FROM t") == {}
+
+
+def test_statistics_prune_sql_scans(spark, tmp_path):
+    con = Connection(spark, root=str(tmp_path / "root"), datasets=str(tmp_path / "data"))
+    for k in range(4):
+        spark.range(k * 10, k * 10 + 10).selectExpr("id AS a", f"'{k}' AS b", *(["1.5D AS extra"] if k == 3 else [])).coalesce(1).write.parquet(str(tmp_path / "data" / str(k)))
+    con.sql(f"CREATE EXTERNAL TABLE t STORED AS PARQUET LOCATION '{tmp_path}/data/*/*.parquet'")
+    con.sql(f"ANALYZE FILES '{tmp_path}/data'")
+    for source in (f"read_parquet('{tmp_path}/data/*/*.parquet')", "t"):
+        df = con.sql(f"SELECT a, b, extra FROM {source} WHERE a BETWEEN 12 AND 18 AND b <> '9'").df
+        assert len(df.inputFiles()) == 1 and sorted(r.a for r in df.collect()) == list(range(12, 19)) and df.columns == ["a", "b", "extra"]
+        assert con.sql(f"SELECT count(*) AS n FROM {source} WHERE a > 1000").fetchone() == (0,)
+        assert con.sql(f"SELECT count(*) AS n FROM {source} WHERE a > 1000 OR b = '2'").fetchone() == (10,)
+        assert len(con.sql(f"SELECT x.a FROM {source} x WHERE x.a < 5").df.inputFiles()) == 1
+    assert con.sql("SELECT t.a FROM t WHERE t.a = 25").fetchall() == [(25,)]
+    assert con.sql("SELECT count(*) FROM (SELECT a FROM t WHERE a >= 30) q JOIN t ON q.a = t.a").fetchone() == (10,)
