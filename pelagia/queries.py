@@ -26,6 +26,8 @@ SAME = {
     "scan_count_all": "SELECT count(*) AS n FROM lineitem",
     "scan_project_expr": "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2, l_quantity + l_linenumber AS s FROM lineitem",
     "filter_compare": "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25 AND l_discount <= 0.05 AND l_returnflag <> 'R'",
+    "filter_multi": "SELECT count(*) AS n, sum(l_extendedprice) AS s FROM lineitem WHERE l_quantity > 40 AND l_discount BETWEEN 0.02 AND 0.04 AND l_returnflag = 'N'",
+    "spatial_box": f"SELECT count(*) AS n FROM (SELECT c_custkey FROM customer WHERE {LON} BETWEEN -20 AND 60 AND {LAT} BETWEEN -20 AND 50) sub",
     "filter_between": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 900",
     "filter_in": "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey IN (1, 3)",
     "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%STEEL%' OR p_name LIKE 'a%'",
