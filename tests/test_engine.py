@@ -1,4 +1,5 @@
 import json
+import math
 import os
 import zlib
 
@@ -390,6 +391,26 @@ def test_joins_cover_all_rows(con):
     assert sorted(map(tuple, queries.join_spatial_grid(con, "").collect())) == near and len({b for _, b in near}) == 60
 
 
+def test_grid_join_is_whole_and_even(con):
+    """Neighbours whose quotients round to cells two apart are found; the pairs of one place's copies are dealt over the tasks."""
+    from pyspark.sql import functions as F
+
+    from pelagia.operators import joins
+
+    a, b = -1e-18, 0.1
+    assert (a - b) * (a - b) <= 0.1 * 0.1
+    left = con.spark.createDataFrame([(1, a, 0.0), (2, None, 0.0), (3, math.nan, 0.0), (4, math.inf, 0.0)], "k long, x double, y double")
+    right = con.spark.createDataFrame([(5, b, 0.0), (6, math.nan, 0.0), (7, 0.0, None)], "o long, u double, v double")
+    assert [(r.k, r.o) for r in joins.grid_join(left, right, "x", "y", "u", "v", 0.1).collect()] == [(1, 5)]
+    copies = con.spark.sql("SELECT id AS k, 0.5D AS x, 0.5D AS y FROM range(3000)")
+    got = joins.grid_join(copies, copies.selectExpr("k AS o", "x AS u", "y AS v"), "x", "y", "u", "v", 1.0)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000 * 3000 and max(sizes) < 0.4 * sum(sizes)
+    assert got.select("k", "o").distinct().count() == 3000 * 3000
+    rows = con.spark.sql("SELECT 1 AS k, 0.5D AS x, 0.5D AS y FROM range(2500)")  # equal rows share a hash
+    assert joins.grid_join(rows, rows.selectExpr("k AS o", "x AS u", "y AS v"), "x", "y", "u", "v", 0.0).count() == 2500 * 2500
+
+
 def test_projection_and_sort_keep_all_rows(spark, sf):
     from pelagia import queries
 
