@@ -357,6 +357,39 @@ def test_clusters(con):
     assert len({k[i] for i in range(3)}) == 3 and all(k[i] == k[i % 3] for i in range(60))
 
 
+def test_dbscan_against_brute_force(con):
+    """Random places of both kinds of cells, some twice, some without numbers, and neighbours whose quotients round to cells two apart."""
+    rng = np.random.default_rng(2)
+    pts = [(i, int(i % 2), float(rng.integers(-8, 8)) / 2 + (i % 5 == 0) * float(rng.normal()), float(rng.integers(-4, 4)) / 3) for i in range(300)]
+    pts += [(300, 0, None, 0.0), (301, 0, math.nan, 0.0), (302, 1, math.inf, 0.0)] + [(303 + i, 2, x, 0.0) for i, x in enumerate((-1e-18, 0.1, 0.2))]
+    for eps, least in ((0.5, 4), (0.1, 2), (0.0, 2)):
+        near = {p[0]: [q[0] for q in pts if p[1] == q[1] and all(v is not None and math.isfinite(v) for v in (p[2], q[2])) and (p[2] - q[2]) * (p[2] - q[2]) + (p[3] - q[3]) * (p[3] - q[3]) <= eps * eps] for p in pts}
+        first = {}
+        for k in (k for k in near if len(near[k]) >= least and k not in first):
+            reached = [k]
+            while reached:
+                j = reached.pop()
+                if len(near[j]) >= least and j not in first:
+                    first[j] = k
+                    reached += near[j]
+        want = first | {k: min(first[j] for j in v if j in first) for k, v in near.items() if k not in first and any(j in first for j in v)}
+        number = {(g, c): i for g in range(3) for i, c in enumerate(sorted({c for k, c in first.items() if pts[k][1] == g}))}
+        df = con.spark.createDataFrame(pts, "id long, g int, x double, y double")
+        got = {r.id: r.cluster for r in spatial.cluster_dbscan(df, "id", "x", "y", eps, least, by=["g"]).collect()}
+        assert got == {k: number[pts[k][1], want[k]] if k in want else None for k in near}
+
+
+def test_dbscan_of_crowded_cells(con):
+    """No pairs of rows: copies of two places, and two crowds of different places that only their nearest places link, or don't."""
+    rows = "SELECT id, CAST(id % 2 AS DOUBLE) AS x, 0D AS y FROM range(200000)"
+    got = spatial.cluster_dbscan(con.spark.sql(rows), "id", "x", "y", 1.0, 100001).groupBy("cluster").count().collect()
+    assert [tuple(r) for r in got] == [(0, 200000)]
+    for gap, clusters in ((1.0, 1), (1.001, 2)):
+        rows = f"SELECT id, CAST(id DIV 2 AS DOUBLE) / 1e6 * if(id % 2 = 0, -1, 1) + if(id % 2 = 0, 0, {gap}D) AS x, 0D AS y FROM range(200000)"
+        got = spatial.cluster_dbscan(con.spark.sql(rows), "id", "x", "y", 1.0, 5).groupBy("cluster").count().collect()
+        assert sorted(map(tuple, got)) == [(c, 200000 // clusters) for c in range(clusters)]
+
+
 def test_kmeans_of_repeated_points(con):
     """Thousands of copies of a few places: still k clusters, one a place, over the whole input and in every partition."""
     df = con.spark.sql("SELECT id, id % 2 AS half, CAST(if(id < 24000, 0, id % 4) * 10 AS DOUBLE) AS x, CAST(if(id < 24000, 0, id % 4) AS DOUBLE) AS y FROM range(24400)")
